@@ -30,4 +30,25 @@ SELECT page_id, host, path, rule,
 FROM ruled r LEFT JOIN listed l ON r.address = l.address
 """
 
-ORACLES = {"op6_url_filter": OP6}
+OP10 = r"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                      ('0x' || substr(md5('1:' || doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS chance FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+named AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM totals),
+weighed AS (SELECT *, [5, 2, 1][((k - 1) % 3 + 1)::INTEGER] AS weight, source_size * 3 AS cap FROM named),
+running AS (SELECT *, (SELECT sum(source_size)::BIGINT FROM weighed)
+                      - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS remains,
+                      (SELECT sum(weight)::BIGINT FROM weighed)
+                      - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS share FROM weighed),
+limits AS (SELECT *, cap * share < remains * weight AS limited FROM running),
+opened AS (SELECT remains AS r, share AS s FROM limits WHERE NOT limited ORDER BY share DESC, remains DESC LIMIT 1),
+goals AS (SELECT source, source_size, CASE WHEN limited OR s IS NULL THEN cap::DOUBLE ELSE (r * weight)::DOUBLE / s END AS target
+          FROM limits LEFT JOIN opened ON true),
+parts AS (SELECT *, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS copies FROM goals),
+ranked AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.copies, round(g.target)::BIGINT - g.copies * g.source_size AS rest,
+                  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.chance, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+           FROM sized d JOIN parts g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, source, size, source_size, target, (copies * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM ranked
+"""
+
+ORACLES = {"op6_url_filter": OP6, "op10_mixing": OP10}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter
+from . import mixing, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,8 @@ URL_RULES = [
 ]
 #: Sites whose pages make the list of unwanted addresses (fixed values).
 LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+#: Weights of the sources in order of their names, repeating, and how often a document may be repeated (fixed values).
+MIX_WEIGHTS, MIX_MOST = [5, 2, 1], 3
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES, url_filter.listed_urls(pages, LISTED_SITES))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_table(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_MOST)
+
+
 QUERIES: dict[str, Query] = {
     "op6_url_filter": op6_url_filter,
+    "op10_mixing": op10_mixing,
 }
