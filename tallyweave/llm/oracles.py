@@ -30,6 +30,15 @@ SELECT page_id, host, path, rule,
 FROM ruled r LEFT JOIN listed l ON r.address = l.address
 """
 
+OP7 = """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::INTEGER) AS v FROM embeddings
+               WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+           FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 OP10 = r"""
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                       ('0x' || substr(md5('1:' || doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS chance FROM documents),
@@ -51,4 +60,4 @@ ranked AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.copies,
 SELECT doc_id, source, size, source_size, target, (copies * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM ranked
 """
 
-ORACLES = {"op6_url_filter": OP6, "op10_mixing": OP10}
+ORACLES = {"op6_url_filter": OP6, "op7_topk": OP7, "op10_mixing": OP10}

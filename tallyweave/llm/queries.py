@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, url_filter
+from . import mixing, topk, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,11 +31,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES, url_filter.listed_urls(pages, LISTED_SITES))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, dims=64)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_MOST)
 
 
 QUERIES: dict[str, Query] = {
     "op6_url_filter": op6_url_filter,
+    "op7_topk": op7_topk,
     "op10_mixing": op10_mixing,
 }
