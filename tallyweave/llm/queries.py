@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, topk, url_filter
+from . import licences, mixing, topk, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets"
 MIX_WEIGHTS, MIX_MOST = [5, 2, 1], 3
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.filter_urls(pages, URL_RULES, url_filter.listed_urls(pages, LISTED_SITES))
@@ -40,6 +44,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_licences": op3_licences,
     "op6_url_filter": op6_url_filter,
     "op7_topk": op7_topk,
     "op10_mixing": op10_mixing,
