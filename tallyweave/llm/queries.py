@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, mixing, topk, url_filter, winnow
+from . import langid, licences, mixing, topk, url_filter, winnow
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, dims=64)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), langid.crc32_mod(F.col("doc_id"), 4) != 2)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_MOST)
 
@@ -52,5 +56,6 @@ QUERIES: dict[str, Query] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_url_filter": op6_url_filter,
     "op7_topk": op7_topk,
+    "op8_language": op8_language,
     "op10_mixing": op10_mixing,
 }
