@@ -71,6 +71,19 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+OP9 = r"""
+WITH cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM cut WHERE len(words) >= 50),
+windows AS (SELECT doc_id, s, md5(array_to_string(words[s:s + 49], ' ')) AS w FROM starts),
+least AS (SELECT w, min(doc_id) AS m FROM windows GROUP BY w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS k FROM windows JOIN least USING (w) WHERE doc_id > m),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM cut),
+kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.k) AS text, count(*) AS n FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.k = g.k
+         WHERE g.k IS NULL GROUP BY e.doc_id)
+SELECT c.doc_id, len(c.words)::BIGINT AS n_words, (len(c.words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM cut c LEFT JOIN kept k ON c.doc_id = k.doc_id
+"""
+
 OP10 = r"""
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                       ('0x' || substr(md5('1:' || doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS chance FROM documents),
@@ -92,4 +105,4 @@ ranked AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.copies,
 SELECT doc_id, source, size, source_size, target, (copies * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM ranked
 """
 
-ORACLES = {"op3_licences": _op3(), "op6_url_filter": OP6, "op7_topk": OP7, "op10_mixing": OP10}
+ORACLES = {"op3_licences": _op3(), "op6_url_filter": OP6, "op7_topk": OP7, "op9_substrings": OP9, "op10_mixing": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licences, mixing, simhash, topk, url_filter, winnow
+from . import langid, licences, mixing, simhash, substrings, topk, url_filter, winnow
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), langid.crc32_mod(F.col("doc_id"), 4) != 2)
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_MOST)
 
@@ -62,5 +66,6 @@ QUERIES: dict[str, Query] = {
     "op6_url_filter": op6_url_filter,
     "op7_topk": op7_topk,
     "op8_language": op8_language,
+    "op9_substrings": op9_substrings,
     "op10_mixing": op10_mixing,
 }
