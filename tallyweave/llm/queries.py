@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licences, mixing, sentencepiece, simhash, substrings, topk, url_filter, winnow
+from . import langid, licences, mixing, sentencepiece, simhash, substrings, topk, toxicity, url_filter, winnow
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets"
 MIX_WEIGHTS, MIX_MOST = [5, 2, 1], 3
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.toxicity(docs, labels, langid.crc32_mod(F.col("doc_id"), 3) != 1)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encoded(table(spark, sf_dir, "documents"), sentencepiece.public_model())
 
@@ -64,6 +69,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_licences": op3_licences,
     "op4_simhash": op4_simhash,
