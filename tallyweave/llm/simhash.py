@@ -114,9 +114,8 @@ def near_pairs(x: np.ndarray, most: int = MOST, fan: int = FAN) -> tuple[np.ndar
     return a[keep], b[keep]
 
 
-def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n items the smallest index of its component, given the pairs."""
-    label = np.arange(n)
+def _smallest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label``, the smallest index of each item's component, after joining the pairs."""
     while len(a):
         la, lb = label[a], label[b]
         low = np.minimum(la, lb)
@@ -136,106 +135,110 @@ def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _bucket_links(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one bucket's distinct fingerprints: (fingerprint, smallest of its group there)."""
-    x = fp.view(np.uint64)
-    if len(x) <= 64:  # one node of the tree is all there is
-        apart = np.bitwise_count(x[:, None] ^ x[None, :]) <= most
-        a, b = np.nonzero(np.triu(apart, 1))
-        order = np.arange(len(x))
-    else:
-        order = np.argsort(gray_rank(x), kind="stable")
-        a, b = near_pairs(x[order], most)
-    if not len(a):
-        return fp[:0], fp[:0]
-    label = _smallest(len(x), a, b)
-    fp = fp[order]
-    low = np.full(len(x), np.iinfo(np.int64).max)
-    np.minimum.at(low, label, fp)
+def _bucket_links(rows: np.ndarray, most: int, check_most: int) -> np.ndarray:
+    """Links (node, smallest node of its group there) of one bucket, as two rows; ``rows``: fp, node and check."""
+    x = rows[0].view(np.uint64)
+    order = np.argsort(gray_rank(x), kind="stable")
+    (x, node, check), n = rows[:, order].view(np.uint64), len(order)
+    if n <= 64:  # one node of the tree is all there is
+        a, b = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= most, 1))
+    elif n <= 4 * BUCKET_ROWS:
+        a, b = near_pairs(x, most)
+    else:  # equal fingerprints of many nodes can't be dealt further; they are compared block by block
+        label = np.arange(n)
+        for i in range(0, n, BUCKET_ROWS):
+            for j in range(i, n, BUCKET_ROWS):
+                near = np.bitwise_count(x[i : i + BUCKET_ROWS, None] ^ x[None, j : j + BUCKET_ROWS]) <= most
+                near &= np.bitwise_count(check[i : i + BUCKET_ROWS, None] ^ check[None, j : j + BUCKET_ROWS]) <= check_most
+                p, q = np.nonzero(near)
+                label = _smallest(label, p + i, q + j)
+        a = b = np.empty(0, np.int64)
+    if n <= 4 * BUCKET_ROWS:
+        good = np.bitwise_count(check[a] ^ check[b]) <= check_most
+        label = _smallest(np.arange(n), a[good], b[good])
+    node = node.view(np.int64)
+    low = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(low, label, node)
     to = low[label]
-    moved = to != fp
-    return fp[moved], to[moved]
+    moved = to != node
+    return np.stack([node[moved], to[moved]])
 
 
-def _links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Links from (bucket, fp) sorted by bucket; a bucket may go on from one batch to the next."""
-    held: list[np.ndarray] = []
-    held_bucket = None
+def _links(batches: Iterator[pa.RecordBatch], most: int, check_most: int) -> Iterator[pa.RecordBatch]:
+    """Links from (bucket, fp, node, check) sorted by bucket; a bucket may go on from one batch to the next."""
+    held = np.empty((4, 0), np.int64)
 
-    def done(fp: np.ndarray, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = [_bucket_links(fp[i:j], most) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i > 1]
-        found = [x for x in found if len(x[0])]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], names=["a", "b"])
+    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not rows.shape[1]:
+            return
+        cuts = np.concatenate([[0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1, [rows.shape[1]]]).tolist()
+        out = [_bucket_links(rows[1:, i:j], most, check_most) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i > 1]
+        links = np.concatenate([np.empty((2, 0), np.int64), *out], axis=1)
+        if links.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], names=["a", "b"])
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        bucket, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if held and bucket[0] != held_bucket:
-            x = np.concatenate(held)
-            yield from done(x, np.array([0, len(x)]))
-            held = []
-        last = int(np.searchsorted(bucket, bucket[-1], side="left")) if (bucket[:-1] <= bucket[1:]).all() else int(np.flatnonzero(bucket != bucket[-1])[-1] + 1)
-        if last and held:
-            first = int(np.flatnonzero(bucket != held_bucket)[0])
-            x = np.concatenate([*held, fp[:first]])
-            yield from done(x, np.array([0, len(x)]))
-            held, fp, bucket, last = [], fp[first:], bucket[first:], last - first
-        if last:
-            cuts = np.concatenate([[0], np.flatnonzero(bucket[1:last] != bucket[: last - 1]) + 1, [last]])
-            yield from done(fp[:last], cuts)
-        held_bucket = bucket[-1]
-        held.append(fp[last:])
-    if held:
-        x = np.concatenate(held)
-        yield from done(x, np.array([0, len(x)]))
-
-
-def _dealt(rows: DataFrame) -> DataFrame:
-    """(bucket, fixed, fp): each row of ``rows`` in four buckets, one for each quarter of the bits not fixed yet."""
+        if batch.num_rows:
+            held = np.concatenate([held, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])], axis=1)
+            last = int(np.flatnonzero(np.concatenate([[True], held[0, 1:] != held[0, :-1]]))[-1])
+            yield from found(held[:, :last])
+            held = held[:, last:]
+    yield from found(held)
+
+
+def _dealt(rows: DataFrame, parts: int = 4) -> DataFrame:
+    """(bucket, fixed, fp, node, check): each row in four buckets, one for each quarter of the bits not fixed yet."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, fixed, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            x = fp.view(np.uint64)
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            bucket, fixed, x = (c.view(np.uint64) for c in columns[:3])
             out = []
-            for mask in np.unique(fixed):  # few: the sets of bits fixed so far
-                at = np.flatnonzero(fixed == mask)
-                free = [i for i in range(64) if not int(mask) >> i & 1]
-                for q in range(4):
-                    part = sum(1 << i for i in free[q * len(free) // 4 : (q + 1) * len(free) // 4])
-                    now = np.uint64((int(mask) & 0xFFFFFFFFFFFFFFFF) | part)
+            for mask in np.unique(fixed).tolist():  # few: the sets of bits fixed so far
+                at = np.flatnonzero(fixed == np.uint64(mask))
+                free = [i for i in range(64) if not mask >> i & 1]
+                for q in range(parts):
+                    part = sum(1 << i for i in free[q * len(free) // parts : (q + 1) * len(free) // parts])
+                    if not part:
+                        continue
+                    now = np.uint64(mask | part)
                     key = (x[at] & now) * np.uint64(0x9E3779B97F4A7C15)
-                    key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) ^ (bucket[at].view(np.uint64) * np.uint64(31) + np.uint64(q + 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-                    out.append((key.view(np.int64), np.full(len(at), now, np.uint64).view(np.int64), fp[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["bucket", "fixed", "fp"])
+                    key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                    key ^= (bucket[at] * np.uint64(31) + np.uint64(q + 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+                    out.append([key.view(np.int64), np.full(len(at), now, np.uint64).view(np.int64), *(c[at] for c in columns[2:])])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(5)], names=["bucket", "fixed", "fp", "node", "check"])
+
+    return rows.mapInArrow(deal, "bucket long, fixed long, fp long, node long, check long")
 
-    return rows.mapInArrow(deal, "bucket long, fixed long, fp long")
 
+def links(rows: DataFrame, most: int = MOST, bucket_rows: int = BUCKET_ROWS, check_most: int = 64) -> DataFrame:
+    """(a, b): links between nodes whose components are those of all pairs that differ in at most ``most`` bits.
 
-def links(distinct: DataFrame, most: int = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b): links between distinct fingerprints ``fp`` whose components are those of all pairs within ``most`` bits."""
+    ``rows``: (fp, node, check), a row per node; pairs must also differ in at most ``check_most`` bits of check.
+    """
     if most > 3:
         raise ValueError("quarters find pairs that differ in at most 3 bits")
     bucket_rows = max(bucket_rows, 16)  # down to three free bits, which eight fingerprints share at most
-    rows = distinct.select(F.lit(0).cast("bigint").alias("bucket"), F.lit(0).cast("bigint").alias("fixed"), "fp")
+    zero = F.lit(0).cast("bigint")
+    rows = rows.select(zero.alias("bucket"), zero.alias("fixed"), "fp", "node", "check")
     small = []
     while True:
         rows = stored(_dealt(rows), "simhash-buckets")
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-        large = stored(sizes.filter(F.col("n") > bucket_rows).select("bucket"), "simhash-large")
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fixed").alias("least"))
+        large = stored(sizes.filter((F.col("n") > bucket_rows) & (F.col("least") != -1)).select("bucket"), "simhash-large")
         if large.isEmpty():
             small.append(rows)
             break
         small.append(rows.join(large, "bucket", "left_anti"))
-        rows = rows.join(large, "bucket", "left_semi").select("bucket", "fixed", "fp")
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.join(large, "bucket", "left_semi").select("bucket", "fixed", "fp", "node", "check")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = None
     for level in small:
-        found = level.select("bucket", "fp").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _links(b, most), "a long, b long")
+        found = level.select("bucket", "fp", "node", "check").repartition(n, "bucket").sortWithinPartitions("bucket")
+        found = found.mapInArrow(lambda b: _links(b, most, check_most), "a long, b long")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -264,38 +267,65 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return edges
 
 
-def grouped(prints: DataFrame, most: int = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(fp, root, component_id) of each distinct fingerprint, from stored (doc_id, fp); root is a fingerprint."""
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(links(distinct, most, bucket_rows)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    named = stored(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+def grouped(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root, component_id) of each of the stored ``nodes`` (node, first: its smallest doc_id); root is a node."""
+    roots = components(edges).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    named = stored(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "simhash-roots")
     names = stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-names")
-    return stored(named.join(names, "root").select("fp", "root", "component_id"), "simhash-groups")
+    return stored(named.join(names, "root").select("node", "root", "component_id"), "simhash-groups")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, most: int = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
     prints = stored(fingerprints(docs, words), "simhash-prints")
-    out = prints.join(grouped(prints, most, bucket_rows), "fp")
+    nodes = stored(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    edges = links(nodes.select(F.col("node").alias("fp"), "node", F.col("node").alias("check")), most, bucket_rows)
+    groups = grouped(edges, nodes).withColumnRenamed("node", "fp")
+    out = prints.join(groups, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, most: int = MOST) -> DataFrame:
+def _wide(batches: Iterator[pa.RecordBatch], words: int, keys: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, mark, node, check, keys): a fingerprint of the shingles, and some of the set of words."""
+    for batch in pieces(batches):
+        checks, rest = [], []
+        for text in byte_texts(batch.column(1)):
+            checks.append(fingerprint(shingle_hashes(text, words)))
+            found = set(text.lower().split())
+            h = np.fromiter(map(_hash, found), np.uint64, len(found))
+            rest.append([fingerprint((h ^ (h >> np.uint64(31))) * np.uint64(2 * k + 0x9E3779B97F4A7C15)) for k in range(keys)])
+        every = np.column_stack([np.array(checks, np.uint64), np.array(rest, np.uint64)])
+        node = np.zeros(len(every), np.uint64)
+        for c in every.T:
+            node = (node ^ c) * np.uint64(0xD6E8FEB86659FD93)
+            node ^= node >> np.uint64(29)
+        arrays = [batch.column(0), batch.column(2), pa.array(node.view(np.int64)), pa.array(every[:, 0].view(np.int64)), pa.array(list(every[:, 1:].view(np.int64)), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "node", "check", "keys"])
+
+
+def one_of_each(docs: DataFrame, words: int = 5, most_bits: int = 13, keys: int = 6) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest doc_id stays, once.
 
-    Of rows with that doc_id and different texts the one whose text has the smallest hash stays.
+    Documents link if the fingerprints of their ``words``-word shingles differ in at most ``most_bits`` bits (13 of 64:
+    an angle whose cosine is 0.8) and one of ``keys`` fingerprints of their sets of words in at most 3, which is how
+    the index finds them. Of rows with the smallest doc_id and different texts the one whose text has the smallest
+    hash stays.
     """
-    names, mark = docs.columns, F.xxhash64("text")
-    prints = stored(fingerprints(docs.select("doc_id", "text"), words, marked=True), "simhash-prints")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    prints = stored(rows.mapInArrow(lambda b: _wide(b, words, keys), "doc_id long, mark long, node long, check long, keys array<long>"), "simhash-prints")
+    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("check").alias("check"), F.min("keys").alias("keys")), "simhash-distinct")
+    edges = None
+    for k in range(keys):
+        found = links(nodes.select(F.col("keys")[k].alias("fp"), "node", "check"), check_most=most_bits)
+        edges = found if edges is None else edges.unionByName(found)
+    groups = grouped(edges, nodes.select("node", "first"))
     key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")
-    keep = prints.join(grouped(prints, most), "fp").groupBy("root").agg(F.min(key).alias("k")).select("k.doc_id", "k.mark")
-    repeated = prints.groupBy("doc_id", "mark").count().filter("count > 1")
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("mark").eqNullSafe(F.col("kept_mark"))
-    keep = stored(keep.withColumnsRenamed({"doc_id": "kept_id", "mark": "kept_mark"}), "simhash-kept")
-    again = stored(repeated.join(keep, same, "left_semi").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")), "simhash-again")
-    here = F.col("doc_id").eqNullSafe(F.col("kept_id")) & mark.eqNullSafe(F.col("kept_mark"))
+    keep = prints.select("doc_id", "mark", "node").join(groups, "node").groupBy("root").agg(F.min(key).alias("k"))
+    keep = stored(keep.select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark")), "simhash-kept")
+    repeated = prints.groupBy(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")).count().filter("count > 1").select("kept_id", "kept_mark")
+    again = stored(repeated.intersect(keep), "simhash-again")
+    here = F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.xxhash64("text").eqNullSafe(F.col("kept_mark"))
     out = docs.join(keep, here, "left_semi")
     if again.isEmpty():
         return out
-    twice = out.join(again, here, "left_semi")
-    return out.join(again, here, "left_anti").unionByName(twice.dropDuplicates(["doc_id", "text"])).select(*names)
+    return out.join(again, here, "left_anti").unionByName(out.join(again, here, "left_semi").dropDuplicates(["doc_id", "text"]))
