@@ -228,9 +228,9 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _keyed(docs)
     found = rows.mapInArrow(_anchor_rows, "key long, c long, doc long, kind byte")
     shared = F.when(F.col("kind") == 0, F.col("c"))
-    same = Window.partitionBy("key", "c")
-    found = found.withColumn("least", F.min(F.when(F.col("kind") == 0, F.col("doc"))).over(same))
+    # by key first: the rows then lie right for both windows
     found = found.withColumn("several", F.min(shared).over(Window.partitionBy("key")) < F.max(shared).over(Window.partitionBy("key")))
+    found = found.withColumn("least", F.min(F.when(F.col("kind") == 0, F.col("doc"))).over(Window.partitionBy("key", "c")))
     covered = (F.col("kind") == 1) | (F.col("kind") == 0) & (F.col("doc") > F.col("least"))
     check = (F.col("kind") == 2) | (F.col("kind") == 0) & F.col("several") & ~covered
     fates = found.select("doc", F.when(covered, F.col("c")).alias("covered"), F.when(check, F.col("c")).alias("check")).filter("covered is not null or check is not null")
