@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import pieces
+from .common import fresh, pieces
 
 #: Lengths of n-grams, n-grams kept of a language, cells per n-gram, and bits of the cell index per kept n-gram.
 LENGTHS, KEPT, HASHES, CELLS_PER_GRAM = (3, 4), 600, 3, 32
@@ -158,17 +159,17 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return [model.languages[b] if ok else "und" for b, ok in zip(best, has, strict=True)], score, np.clip(covered, 0.0, 1.0)
 
 
-def tagged(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """``columns`` of the documents with __lang, __score and __covered. The model is small and of fixed size."""
-    kept = docs.select(*columns, F.col("text").alias("__text"))
-    schema = kept.drop("__text").schema.add("__lang", "string").add("__score", "double").add("__covered", "double")
+def tagged(docs: DataFrame, model: Model, columns: list[str], names: list[str]) -> DataFrame:
+    """``columns`` of the documents, then language, score and covered under ``names``. The model is of fixed size."""
+    last = len(columns)
+    kept = docs.select(*columns, F.col("text").alias(fresh("text", columns)))
+    schema = T.StructType([*kept.schema.fields[:last], *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = len(columns)
         for batch in pieces(batches, text=last):
             lang, score, covered = predict(model, batch.column(last).to_pylist())
             arrays = [*batch.columns[:last], pa.array(lang, pa.string()), pa.array(score), pa.array(covered)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "__lang", "__score", "__covered"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *names])
 
     return kept.mapInArrow(run, schema)
 
@@ -177,14 +178,11 @@ def identify(docs: DataFrame, learned: Column, sample: int = 2000) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, covered) of every document; those with ``learned`` may be learned from."""
     rows = docs.select("doc_id", "text", "lang")
     model = learn(rows.filter(learned), sample)
-    out = tagged(rows.withColumn("held_out", F.coalesce(~learned, F.lit(False))), model, ["doc_id", "held_out"])
-    return out.select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__covered").alias("covered"))
+    return tagged(rows.withColumn("held_out", F.coalesce(~learned, F.lit(False))), model, ["doc_id", "held_out"], ["lang_pred", "score", "covered"])
 
 
 def fluent(docs: DataFrame, sample: int = 2000, least: float = 0.15) -> DataFrame:
     """The documents whose language is told: not ``und``, and at least ``least`` of their n-grams are the language's own."""
-    model = learn(docs, sample)
-    out = tagged(docs, model, docs.columns)
-    return out.filter((F.col("__lang") != "und") & (F.col("__covered") >= least)).select(*docs.columns)
-
-
+    names = [fresh(n, docs.columns) for n in ("lang_pred", "lang_score", "lang_covered")]
+    out = tagged(docs, learn(docs, sample), docs.columns, names)
+    return out.filter((F.col(names[0]) != "und") & (F.col(names[2]) >= least)).select(*docs.columns)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts, pieces, stored
+from .common import byte_texts, fresh, pieces, stored
 
 #: Words of a window; a perfect difference cover and its period (fixed values); words of an anchor.
 WINDOW, PERIOD = 50, 31
@@ -291,8 +291,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A document of which nothing is left goes; one that came without words stays.
     """
     covered, windows = repeats(docs.select("doc_id", "text"))
-    what = covered.join(windows, "doc", "full").select(F.col("doc").alias("__doc"), F.col("covered").alias("__covered"), F.col("windows").alias("__windows"))
+    doc, a, b = (fresh(n, docs.columns) for n in ("doc", "covered", "windows"))
+    what = covered.join(windows, "doc", "full").select(F.col("doc").alias(doc), F.col("covered").alias(a), F.col("windows").alias(b))
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
-    rows = docs.join(what, key == F.col("__doc"), "left").select(*docs.columns, "__covered", "__windows")
+    rows = docs.join(what, key == F.col(doc), "left").select(*docs.columns, a, b)
     at = docs.columns.index("text")
-    return rows.mapInArrow(lambda b: _stripped(b, at), docs.schema)
+    return rows.mapInArrow(lambda batches: _stripped(batches, at), docs.schema)
