@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ratio(a: str, b: str) -> float:
@@ -68,12 +69,12 @@ def _best(a: str, b: str) -> float:
     return max(token_set_ratio(a, b), weighted_ratio(a, b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_set(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def best(a: pd.Series, b: pd.Series) -> pd.Series:
     """The higher of the token-set and the weighted ratio."""
     return pd.Series([_best(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -17,8 +17,8 @@ def _check(name: str, bad: Column, df: DataFrame) -> DataFrame:
 def entity_differences(fact: DataFrame, rollup: DataFrame) -> DataFrame:
     """Entities whose totals differ by more than a cent between fact and rollup; both sides are aggregated first."""
     a = fact.groupBy("entity_id").agg(F.sum("transaction_amount").cast(MONEY).alias("fact_total"), F.count("*").alias("fact_count"))
-    b = rollup.groupBy("entity_id").agg(F.sum("total_amount").cast(MONEY).alias("rollup_total"), F.sum("txn_count").alias("rollup_count"))
-    both = a.join(b, a["entity_id"].eqNullSafe(b["entity_id"]), "full").select(F.coalesce(a["entity_id"], b["entity_id"]).alias("entity_id"), "fact_total", "rollup_total", "fact_count", "rollup_count")
+    b = rollup.groupBy(F.col("entity_id").alias("entity_b")).agg(F.sum("total_amount").cast(MONEY).alias("rollup_total"), F.sum("txn_count").alias("rollup_count"))
+    both = a.join(b, F.col("entity_id").eqNullSafe(F.col("entity_b")), "full").select(F.coalesce("entity_id", "entity_b").alias("entity_id"), "fact_total", "rollup_total", "fact_count", "rollup_count")
     difference = F.abs(F.coalesce("fact_total", F.lit(0)) - F.coalesce("rollup_total", F.lit(0)))
     return both.filter((difference > 0.01) | ~F.col("fact_count").eqNullSafe(F.col("rollup_count")))
 

@@ -95,8 +95,8 @@ def _tiers() -> str:
     words = "list_filter(string_split(merchant_norm, ' '), lambda w: w <> '')"
     short = f"list_filter({words}, lambda w: NOT list_contains([{legal}], w))"
     return f"""{_BASE}, {_MENTIONS}, asked AS (SELECT *, {sql_normalised("name")} AS q FROM mentions),
-        branded AS (SELECT *, CASE q {brand} END AS brand FROM asked WHERE q <> ''),
-        both_ AS (SELECT b.mention_id, b.q, b.brand, b.name, d.merchant_norm, d.txn_count, d.counterparty_kind FROM branded b JOIN dim d ON b.entity_id = d.entity_id WHERE merchant_norm <> 'UNKNOWN'),
+        asked_brand AS (SELECT *, CASE q {brand} END AS brand FROM asked WHERE q <> ''),
+        both_ AS (SELECT b.mention_id, b.q, b.brand, b.name, d.merchant_norm, d.txn_count, d.counterparty_kind FROM asked_brand b JOIN dim d ON b.entity_id = d.entity_id WHERE merchant_norm <> 'UNKNOWN'),
         hits AS (SELECT mention_id, merchant_norm, txn_count, CASE WHEN merchant_norm = q THEN 1 WHEN merchant_norm = brand THEN 2 WHEN lower(merchant_norm) = lower(trim(name)) THEN 3
             WHEN length(q) >= 2 AND ({initials(words)} = q OR {initials(short)} = q) THEN 4 WHEN contains(' ' || merchant_norm || ' ', ' ' || q || ' ') THEN 5
             WHEN contains(merchant_norm, q) AND length(q) >= 3 THEN 6 END AS tier FROM both_),
@@ -175,7 +175,7 @@ ORACLES = {
     "redacted_descriptions": f"{_TXN} SELECT transaction_id, regexp_replace(description, '\\d{{9,}}', '[REDACTED]', 'g') AS description FROM txn",
     "adhoc_weekend_counts": f"{_BASE} SELECT entity_id, count(*) FILTER (WHERE dayofweek(transaction_date) NOT IN (0, 6)) AS weekday, count(*) FILTER (WHERE dayofweek(transaction_date) IN (0, 6)) AS weekend FROM fact GROUP BY entity_id",
     "adhoc_channel_by_month": f"{_BASE} SELECT txn_month, channel, count(*) AS txns, sum(transaction_amount)::DECIMAL(25,2) AS total FROM fact GROUP BY txn_month, channel",
-    "adhoc_select": f"{_BASE} SELECT channel, count(*) AS txns, sum(transaction_amount) AS total FROM fact WHERE entity_id = '3' AND dayofweek(transaction_date) IN (0, 6) AND {_DEBIT} GROUP BY channel",
+    "adhoc_select": f"{_BASE} SELECT channel, count(*) AS txns, sum(transaction_amount)::DECIMAL(25,2) AS total FROM fact WHERE entity_id = '3' AND dayofweek(transaction_date) IN (0, 6) AND {_DEBIT} GROUP BY channel",
     "quality_report": f"""{_BASE} SELECT 'rows_missing_from_fact' AS "check", (SELECT count(*) FROM txn t WHERE NOT EXISTS (SELECT 1 FROM fact f WHERE f.transaction_id = t.transaction_id)) AS found
         UNION ALL SELECT 'entities_that_differ', 0 UNION ALL SELECT 'rows_without_entity', (SELECT count(*) FROM fact WHERE entity_id IS NULL)
         UNION ALL SELECT 'duplicate_keys', (SELECT count(*) FROM (SELECT transaction_id FROM fact GROUP BY transaction_id HAVING count(*) > 1) x)
