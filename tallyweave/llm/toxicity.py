@@ -7,8 +7,8 @@ overlapping the next by half. A text's score is a logistic function of the highe
 probability and the share of likely windows, so that one chance word in a long text doesn't make it toxic.
 
 The network learns from a bounded sample: up to ``most`` documents of each label (those with the smallest hash of
-doc_id) and up to ``windows`` windows of each; further labelled documents change nothing. The sample is collected and
-trained on once; tasks get the weights, whose size is fixed. Only the text is an input of a score.
+doc_id) and up to ``windows`` windows of each; further labelled documents change nothing. One task trains on the sample;
+the others get the weights, whose size is fixed. Only the text is an input of a score.
 
 Defined results: a null or empty text, or one without a letter, has no window and scores 0. Without labels of both
 kinds there is nothing to learn and all texts score 0. Words of over ``CHARS`` characters are read in parts, texts are
@@ -17,6 +17,7 @@ read whole. Documents without doc_id are scored but not learned from. Repeated r
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import pieces
+from .common import fresh, pieces
 
 #: Words of a window and of its step; characters of a word; sizes of embeddings and states.
 SPAN, STEP, CHARS = 32, 16, 16
@@ -260,7 +262,7 @@ def _spread(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows[np.minimum(at, len(rows) - 1)], mask.astype(np.float32)[:, :, None]
 
 
-def train(texts: list[str], labels: np.ndarray, windows: int = 48, seed: int = 3, rounds: tuple[int, ...] = (350, 200, 200), batch: int = 48) -> Model | None:
+def train(texts: list[str], labels: np.ndarray, windows: int = 32, seed: int = 3, rounds: tuple[int, ...] = (300, 150, 150), batch: int = 48) -> Model | None:
     """A model from texts and labels 0 or 1.
 
     A toxic text's windows needn't all be toxic: the first round learns from any of them, later rounds from the
@@ -405,14 +407,16 @@ class Scorer:
         return np.where(n > 0, 1 / (1 + np.exp(-np.clip(x, -30, 30))), 0.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = 1500, windows: int = 48) -> Model | None:
-    """A model from up to ``most`` documents of each label. Labels are ranked without texts; only the sample's meet them."""
+def learn(docs: DataFrame, labels: DataFrame, most: int = 1500, windows: int = 32) -> Model | None:
+    """A model from up to ``most`` documents of each label, trained in one task of a bounded size.
+
+    Labels are ordered without texts, each task keeping its first ones; only the sample's labels meet their texts.
+    """
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).select("doc_id", "toxic")
+    first = [rows.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     # at most 2 * most rows, whatever the input
-    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), "doc_id").select("doc_id", "toxic", "text")
     width = SPAN + STEP * (windows - 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,21 +431,27 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 1500, windows: int = 4
                 texts.append(" ".join(ws))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "toxic", "text"])
 
-    sample = sorted(found.mapInArrow(cut, found.schema).collect())
-    return train([r["text"] for r in sample], np.array([r["toxic"] for r in sample]), windows)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted((r["doc_id"], r["toxic"], r["text"]) for batch in batches for r in batch.to_pylist())
+        model = train([r[2] for r in sample], np.array([r[1] for r in sample]), windows)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    model = found.mapInArrow(cut, found.schema).repartition(1).mapInArrow(fit, "model binary").first()
+    return pickle.loads(bytes(model["model"])) if model else None
 
 
-def scored(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
-    """``columns`` of the documents and double __score."""
-    kept = docs.select(*columns, F.col("text").alias("__text"))
-    schema = kept.drop("__text").schema.add("__score", "double")
+def scored(docs: DataFrame, model: Model | None, columns: list[str], name: str = "score") -> DataFrame:
+    """``columns`` of the documents, then their score under ``name``."""
+    last = len(columns)
+    kept = docs.select(*columns, F.col("text").alias(fresh("text", columns)))
+    schema = T.StructType([*kept.schema.fields[:last], T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, last = (Scorer(model) if model else None), len(columns)
+        scorer = Scorer(model) if model else None
         for batch in pieces(batches, text=last, most=2 << 20):
             texts = batch.column(last).to_pylist()
             score = scorer.score(texts) if scorer else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(score, pa.float64())], names=[*columns, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(score, pa.float64())], names=[*columns, name])
 
     return kept.mapInArrow(run, schema)
 
@@ -449,5 +459,6 @@ def scored(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFram
 def toxicity(docs: DataFrame, labels: DataFrame, learned: Column, threshold: float = 0.7, most: int = 1500) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; ``learned``, of doc_id, tells which labels may be used."""
     model = learn(docs, labels.filter(learned), most)
-    out = scored(docs.withColumn("held_out", F.coalesce(~learned, F.lit(False))).select("doc_id", "text", "held_out"), model, ["doc_id", "held_out"])
-    return out.select("doc_id", "held_out", F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    rows = docs.select("doc_id", "text", F.coalesce(~learned, F.lit(False)).alias("held_out"))
+    out = scored(rows, model, ["doc_id", "held_out"])
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
