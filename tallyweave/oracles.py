@@ -169,6 +169,14 @@ ORACLES = {
             CASE WHEN g.n IS NULL THEN 0.0::DOUBLE WHEN g.n = 1 OR g.tier <= 3 THEN [1.0, 0.98, 1.0, 0.96, 0.95, 0.92][g.tier]::DOUBLE ELSE 0.9::DOUBLE END AS confidence,
             CASE WHEN g.n IS NULL THEN 'none' ELSE ['exact', 'brand', 'case', 'acronym', 'word', 'part'][g.tier] END AS method
         FROM mentions m LEFT JOIN grouped g ON m.mention_id = g.mention_id""",
+    "mention_detection": f"""{_BASE}, clean AS (SELECT transaction_id AS text_id, entity_id, ' ' || trim(regexp_replace(upper(description), '[^A-Z0-9&.''-]+', ' ', 'g')) || ' ' AS c FROM fact),
+        hits AS (SELECT text_id, merchant_norm, row_number() OVER (PARTITION BY text_id ORDER BY length(merchant_norm) DESC, merchant_norm DESC) AS k FROM clean t JOIN dim d ON t.entity_id = d.entity_id
+            WHERE merchant_norm <> 'UNKNOWN' AND contains(c, ' ' || merchant_norm || ' '))
+        SELECT text_id, merchant_norm FROM hits WHERE k = 1""",
+    "period_gate": f"""{_BASE} SELECT f.transaction_id AS question_id, coalesce(d.active_months, 0) > 1 AND f.transaction_id::BIGINT % 2 = 0 AND f.transaction_id::BIGINT % 5 <> 0 AS ask_period
+        FROM fact f LEFT JOIN dim d ON f.entity_id = d.entity_id AND f.merchant_norm = d.merchant_norm""",
+    "scorecard": """SELECT event_type AS run, count(*) AS cases, round(avg(CASE WHEN value > 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS pass_rate, count(*) FILTER (WHERE NOT value > 5) AS failures,
+        round(quantile_cont(value, 0.5), 4) AS p50_ms, max(value) AS max_ms FROM events GROUP BY event_type""",
     "resolve_people": f"""{_BASE}, ranked AS (SELECT entity_id, merchant_norm, total_credit, row_number() OVER (PARTITION BY entity_id ORDER BY total_credit DESC, merchant_norm)::INTEGER AS rank FROM dim WHERE counterparty_kind = 'person')
         SELECT entity_id, rank, merchant_norm, total_credit FROM ranked WHERE rank <= 5""",
     "masked_accounts": f"{_TXN} SELECT account_id, {_MASK.format(c='account_number')} AS account_number FROM account",

@@ -42,7 +42,9 @@ def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.fact(_extracted(spark, sf_dir), _aliases(spark, sf_dir), _tables(spark, sf_dir)["account"])
+    t = _tables(spark, sf_dir)
+    rows = narration.extracted(t["transaction"], t["bank"])
+    return model.fact(rows, vocabulary.aliases(vocabulary.vocabulary(rows), cluster=False), t["account"])
 
 
 def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,8 @@ def _dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rows(spark: SparkSession, sf_dir: str, window: tuple[date, date] | None, aligned: bool = True) -> DataFrame:
     start, end = window or (None, None)
-    return spend.routed(_fact(spark, sf_dir), _rollup(spark, sf_dir), start, end, aligned)
+    fact = _fact(spark, sf_dir)
+    return spend.routed(fact, model.rollup(fact), start, end, aligned)
 
 
 def _payouts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -205,6 +208,27 @@ def adhoc_weekend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adhoc.run(spark, tables, text, ["debit"])[0]
 
 
+def mention_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counterparty that each narration names, found in the text itself."""
+    fact = _fact(spark, sf_dir)
+    texts = fact.select(F.col("transaction_id").alias("text_id"), "entity_id", F.col("description").alias("text"))
+    return resolve.mentioned(texts, resolve.vocabulary(model.merchant_dim(fact)))
+
+
+def period_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which questions need a period, a question per transaction."""
+    fact, key = _fact(spark, sf_dir), F.col("transaction_id").cast("bigint")
+    asked = fact.select(F.col("transaction_id").alias("question_id"), "entity_id", "merchant_norm", F.when(key % 2 == 1, "last_month").alias("period"), (key % 5 == 0).alias("bounded"))
+    return conversations.needs_period(asked, model.merchant_dim(fact))
+
+
+def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pass rates and times of cases, events standing in for them."""
+    cases = spark.read.parquet(f"{sf_dir}/events.parquet")
+    out = trust.scorecard(cases.select(F.col("event_type").alias("run"), (F.col("value") > 5).alias("passed"), F.col("value").alias("ms")))
+    return out.withColumn("p50_ms", F.round("p50_ms", 4))
+
+
 def _events(f: Callable[..., DataFrame], window: tuple[date, date] | None, *args: object, aligned: bool = True, **kw: object) -> Query:
     return lambda spark, sf_dir: f(_rows(spark, sf_dir, window, aligned), *args, **kw)
 
@@ -277,6 +301,9 @@ QUERIES: dict[str, Query] = {
     "resolve_tiers": lambda s, d: resolve.tiered(_mentions(s, d), resolve.vocabulary(_dim(s, d))),
     "resolve_exact": lambda s, d: resolve.resolved(_mentions(s, d), resolve.vocabulary(_dim(s, d)), fuzzy=False).select("mention_id", "status", "entity", "confidence", "method"),
     "resolve_cascade": lambda s, d: resolve.resolved(_mentions(s, d), resolve.vocabulary(_dim(s, d))),
+    "mention_detection": mention_detection,
+    "period_gate": period_gate,
+    "scorecard": scorecard,
     "resolve_people": lambda s, d: resolve.people(resolve.vocabulary(_dim(s, d))),
     "masked_accounts": lambda s, d: _tables(s, d)["account"].select("account_id", privacy.masked(F.col("account_number")).alias("account_number")),
     "redacted_descriptions": lambda s, d: _tables(s, d)["transaction"].select("transaction_id", privacy.redacted(F.col("description")).alias("description")),
