@@ -16,7 +16,6 @@ Only vec_id and embedding are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
