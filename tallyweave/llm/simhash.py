@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, pieces, stored
+from .common import byte_texts, fresh, pieces, stored
 
 WORDS, SEED, MOST = 3, 42, 3
 #: Fingerprints of a bucket that a task compares; fan-out of the tree's nodes.
@@ -217,13 +217,14 @@ def _dealt(rows: DataFrame, parts: int = 4) -> DataFrame:
 def links(rows: DataFrame, most: int = MOST, bucket_rows: int = BUCKET_ROWS, check_most: int = 64) -> DataFrame:
     """(a, b): links between nodes whose components are those of all pairs that differ in at most ``most`` bits.
 
-    ``rows``: (fp, node, check), a row per node; pairs must also differ in at most ``check_most`` bits of check.
+    ``rows``: (fp, node, check), a row per node; pairs must also differ in at most ``check_most`` bits of check. With a
+    column ``key`` rows are compared within their key only, and a node has a row for each.
     """
     if most > 3:
         raise ValueError("quarters find pairs that differ in at most 3 bits")
     bucket_rows = max(bucket_rows, 16)  # down to three free bits, which eight fingerprints share at most
-    zero = F.lit(0).cast("bigint")
-    rows = rows.select(zero.alias("bucket"), zero.alias("fixed"), "fp", "node", "check")
+    key = F.col("key") if "key" in rows.columns else F.lit(0)
+    rows = rows.select(key.cast("bigint").alias("bucket"), F.lit(0).cast("bigint").alias("fixed"), "fp", "node", "check")
     small = []
     while True:
         rows = stored(_dealt(rows), "simhash-buckets")
@@ -314,17 +315,15 @@ def one_of_each(docs: DataFrame, words: int = 5, most_bits: int = 13, keys: int
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     prints = stored(rows.mapInArrow(lambda b: _wide(b, words, keys), "doc_id long, mark long, node long, check long, keys array<long>"), "simhash-prints")
     nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("check").alias("check"), F.min("keys").alias("keys")), "simhash-distinct")
-    edges = None
-    for k in range(keys):
-        found = links(nodes.select(F.col("keys")[k].alias("fp"), "node", "check"), check_most=most_bits)
-        edges = found if edges is None else edges.unionByName(found)
+    edges = links(nodes.select(F.posexplode("keys").alias("key", "fp"), "node", "check"), check_most=most_bits)
     groups = grouped(edges, nodes.select("node", "first"))
     key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")
     keep = prints.select("doc_id", "mark", "node").join(groups, "node").groupBy("root").agg(F.min(key).alias("k"))
-    keep = stored(keep.select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark")), "simhash-kept")
-    repeated = prints.groupBy(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")).count().filter("count > 1").select("kept_id", "kept_mark")
+    kept_id, kept_mark = (fresh(n, docs.columns) for n in ("kept_id", "kept_mark"))
+    keep = stored(keep.select(F.col("k.doc_id").alias(kept_id), F.col("k.mark").alias(kept_mark)), "simhash-kept")
+    repeated = prints.groupBy(F.col("doc_id").alias(kept_id), F.col("mark").alias(kept_mark)).count().filter("count > 1").select(kept_id, kept_mark)
     again = stored(repeated.intersect(keep), "simhash-again")
-    here = F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.xxhash64("text").eqNullSafe(F.col("kept_mark"))
+    here = F.col("doc_id").eqNullSafe(F.col(kept_id)) & F.xxhash64("text").eqNullSafe(F.col(kept_mark))
     out = docs.join(keep, here, "left_semi")
     if again.isEmpty():
         return out
