@@ -1,13 +1,14 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
 Each language has a Bloom filter of its most frequent n-grams of letters. The filters lie side by side as slices: a
-cell is a bitmask with a bit per language, so the AND of an n-gram's cells gives all languages that have it at once.
+cell is a bitmask with a bit per language, in as many words of 64 bits as the languages need, so the AND of an
+n-gram's cells gives all languages that have it at once.
 The bits are counted per language over a text; what the filter's false positives add on average is taken off; the
 language with the highest corrected count wins.
 
 The profiles are learned from a bounded sample: about ``sample`` documents of each language, chosen by a hash of
-doc_id; further documents change nothing. Up to 64 languages, the most frequent ones, are told apart. Only the text is
-an input of a prediction.
+doc_id; further documents change nothing. All languages of the documents are told apart. Only the text is an input of
+a prediction.
 
 Defined results: ``und`` with score 0 for a null text, an empty one or one without a letter, and for all texts when
 there is nothing to learn from. A text with letters but no known n-gram gets the language with the most documents, score
@@ -29,7 +30,6 @@ from .common import fresh, pieces
 
 #: Lengths of n-grams, n-grams kept of a language, cells per n-gram, and bits of the cell index per kept n-gram.
 LENGTHS, KEPT, HASHES, CELLS_PER_GRAM = (3, 4), 600, 3, 32
-MOST_LANGUAGES = 64
 
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 _BASE = np.uint64(0x100000001B3)
@@ -91,21 +91,22 @@ def _cells(h: np.ndarray, size: int) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, the sliced filter, and each slice's rate of false positives."""
+    """Languages, the sliced filter of the first 64, each slice's rate of false positives, and filters of further 64s."""
 
     languages: list[str]
     cells: np.ndarray
     wrong: np.ndarray
+    more: np.ndarray
 
 
 def build(languages: list[str], profiles: dict[str, np.ndarray]) -> Model:
     size = 1 << max(10, (KEPT * CELLS_PER_GRAM - 1).bit_length())
-    cells = np.zeros(size, np.uint64)
+    cells = np.zeros((max(1, -(-len(languages) // 64)), size), np.uint64)
     for i, language in enumerate(languages):
         for at in _cells(profiles.get(language, np.empty(0, np.uint64)), size):
-            cells[at] |= np.uint64(1 << i)
-    full = np.array([((cells >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
-    return Model(languages, cells, full**HASHES)
+            cells[i // 64, at] |= np.uint64(1 << i % 64)
+    full = np.array([((cells[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
+    return Model(languages, cells[0], full**HASHES, cells[1:])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,15 +121,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, sample: int = 2000) -> Model:
-    """A model from (doc_id, text, lang); rows without lang are left out. What reaches the driver is bounded: the profiles."""
+    """A model from (doc_id, text, lang); rows without lang are left out. What reaches the driver: a profile of each language."""
     known = docs.select("doc_id", "text", "lang").filter("lang is not null and lang <> 'und'")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in counts]
     if not languages:
         return build([], {})
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in counts], "lang string, share double")
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    some = known.filter(chance < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("lang", "text")
+    some = known.join(F.broadcast(share), "lang").filter(chance < F.col("share")).select("lang", "text")
     sums = some.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = sums.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= KEPT).select("lang", "gram").collect()
@@ -144,10 +145,14 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     n = np.bincount(of, minlength=len(texts)).astype(float)
     if not model.languages:
         return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-    mask = np.full(len(h), 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for at in _cells(h, len(model.cells)):
-        mask &= model.cells[at]
-    hits = np.stack([np.bincount(of[(mask >> np.uint64(i)) & np.uint64(1) == 1], minlength=len(texts)) for i in range(len(model.languages))], axis=1)
+    hits = np.empty((len(texts), len(model.languages)), np.int64)
+    places = _cells(h, len(model.cells))
+    for word, cells in enumerate([model.cells, *model.more]):
+        mask = np.full(len(h), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for at in places:
+            mask &= cells[at]
+        for i in range(64 * word, min(64 * word + 64, len(model.languages))):
+            hits[:, i] = np.bincount(of[(mask >> np.uint64(i % 64)) & np.uint64(1) == 1], minlength=len(texts))
     true = np.maximum(0.0, (hits - n[:, None] * model.wrong) / (1.0 - model.wrong))
     best = true.argmax(axis=1)
     won = true[np.arange(len(texts)), best]

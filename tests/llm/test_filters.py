@@ -103,3 +103,14 @@ def test_language_of_nothing(spark, empty, docs):
     assert langid.identify(empty, F.lit(True)).count() == 0
     assert langid.fluent(empty).count() == 0
     assert {r.lang_pred for r in langid.identify(docs, F.lit(False)).collect()} == {"und"}
+
+
+def test_more_languages_than_a_mask_word_has_bits(spark):
+    rng = np.random.default_rng(4)
+    letters = [[chr(0x4E00 + 10 * k + i) for i in range(10)] for k in range(70)]
+    rows = [(10 * k + i, " ".join("".join(rng.choice(letters[k], 5)) for _ in range(30)), f"l{k:02}") for k in range(70) for i in range(10 - (k > 63))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model.languages) == 70
+    assert langid.predict(model, [t for _, t, _ in rows])[0] == [lang for _, _, lang in rows]
+    assert langid.fluent(docs).count() == len(rows)
