@@ -104,6 +104,55 @@ def test_one_of_each(docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def shingle_set(text, n=5):
+    words = WORDS.findall((text or "").lower())
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def first_of_each(rows, least=0.8):
+    """The smallest doc_id of each component of pairs with a Jaccard similarity of at least ``least``, over all pairs."""
+    sets, parent = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    kept = {}
+    for i, (doc_id, _) in enumerate(rows):
+        kept[find(i)] = min(kept.get(find(i), doc_id), doc_id)
+    return sorted(kept.values())
+
+
+def test_one_of_each_is_that_of_all_pairs(spark):
+    """Chains of changes: similarities on both sides of 0.8, and pairs that only a middle text connects."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(40):
+        words = [f"w{i}" for i in rng.integers(0, 500, 120)]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(5):
+            for at in rng.integers(0, 120, rng.integers(1, 5)):
+                words[at] = f"w{rng.integers(0, 500)}"
+            rows.append((len(rows), " ".join(words)))
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == first_of_each(rows)
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_similar_links_compare_all_pairs_of_a_bucket(spark, block):
+    """All in one bucket: 0 is the smallest and like none of them; the others are alike in twos."""
+    sets = {0: list(range(1000, 1010))} | {i: [*range(100 * (i // 2), 100 * (i // 2) + 20), 5000 + i] for i in range(2, 22)}
+    prints = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
+    nodes = prints.selectExpr("node", "array(7L) as keys", "size(shingles) as size")
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.similar_links(prints, nodes, 8, block).collect()}
+    assert got == {(i, i + 1) for i in range(2, 22, 2)}
+
+
 def plain_choices(text, k=8, window=32):
     return winnow.chosen(winnow.code_points(text), k, window)
 
