@@ -217,14 +217,14 @@ def _dealt(rows: DataFrame, parts: int = 4) -> DataFrame:
 def links(rows: DataFrame, most: int = MOST, bucket_rows: int = BUCKET_ROWS, check_most: int = 64) -> DataFrame:
     """(a, b): links between nodes whose components are those of all pairs that differ in at most ``most`` bits.
 
-    ``rows``: (fp, node, check), a row per node; pairs must also differ in at most ``check_most`` bits of check. With a
-    column ``key`` rows are compared within their key only, and a node has a row for each.
+    ``rows``: (fp, node, check), a row per node; pairs must also differ in at most ``check_most`` bits of check.
+    Fingerprints are distinct: a bucket is dealt down to three free bits, which eight of them share at most; nodes of
+    one fingerprint couldn't be dealt apart.
     """
     if most > 3:
         raise ValueError("quarters find pairs that differ in at most 3 bits")
     bucket_rows = max(bucket_rows, 16)  # down to three free bits, which eight fingerprints share at most
-    key = F.col("key") if "key" in rows.columns else F.lit(0)
-    rows = rows.select(key.cast("bigint").alias("bucket"), F.lit(0).cast("bigint").alias("fixed"), "fp", "node", "check")
+    rows = rows.select(F.lit(0).cast("bigint").alias("bucket"), F.lit(0).cast("bigint").alias("fixed"), "fp", "node", "check")
     small = []
     while True:
         rows = stored(_dealt(rows), "simhash-buckets")

@@ -143,6 +143,17 @@ def test_one_of_each_is_that_of_all_pairs(spark):
     assert sorted(r.doc_id for r in kept.collect()) == first_of_each(rows)
 
 
+def test_one_of_each_among_many_texts_of_the_same_words(spark):
+    """More texts of one set of words than a bucket holds, none alike; ten have a copy in which the set differs, too."""
+    rng = np.random.default_rng(9)
+    words = np.array([f"w{i}" for i in range(60)])
+    rows = [(i, " ".join(rng.permutation(words))) for i in range(simhash.BUCKET_ROWS + 100)]
+    many = len(rows)
+    rows += [(many + i, f"{t} extra{i}") for i, t in rows[:10]]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(many))
+
+
 @pytest.mark.parametrize("block", [2, 512])
 def test_similar_links_compare_all_pairs_of_a_bucket(spark, block):
     """All in one bucket: 0 is the smallest and like none of them; the others are alike in twos."""
