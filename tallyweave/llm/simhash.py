@@ -29,7 +29,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_texts, fresh, pieces, stored
@@ -310,21 +310,31 @@ def band_keys(shingles: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return key
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int, rows: int, bands: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, mark, node, keys, shingles): the set of a text's shingles, its hash and its band keys."""
+def _banded(batches: Iterator[pa.RecordBatch], words: int, rows: int, bands: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, mark, row, node, size, keys): the hash, size and band keys of the set of a text's shingles."""
     for batch in pieces(batches):
         sets = [np.unique(shingle_hashes(t, words)) for t in byte_texts(batch.column(1))]
-        node = np.array([_hash(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-        keys = [band_keys(x, rows, bands).view(np.int64) for x in sets]
-        lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, [x.view(np.int64) for x in sets])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node), *lists], names=["doc_id", "mark", "node", "keys", "shingles"])
+        node = pa.array(np.array([_hash(x.tobytes()) for x in sets], np.uint64).view(np.int64))
+        keys = pa.array([band_keys(x, rows, bands).view(np.int64) for x in sets], pa.list_(pa.int64()))
+        arrays = [batch.column(0), batch.column(2), batch.column(3), node, pa.array([len(x) for x in sets], pa.int64()), keys]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "row", "node", "size", "keys"])
 
 
-def _confirmed(pairs: DataFrame, prints: DataFrame, tenths: int) -> DataFrame:
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) of rows (row, text)."""
+    for batch in pieces(batches):
+        sets = [np.unique(shingle_hashes(t, words)) for t in byte_texts(batch.column(1))]
+        node = pa.array(np.array([_hash(x.tobytes()) for x in sets], np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([node, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+
+def _fits(x: str, y: str, tenths: int) -> Column:
+    """Whether sets of these sizes can be as similar as that."""
+    return 10 * F.least(x, y) >= tenths * F.greatest(x, y)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of at least ``tenths`` tenths."""
-    pairs = stored(pairs, "near-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(prints.select("node", "shingles").join(asked, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return stored(both.filter((10 + tenths) * shared >= tenths * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
@@ -359,17 +369,22 @@ def _across(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.Recor
         yield from found(held)
 
 
-def similar_links(prints: DataFrame, nodes: DataFrame, tenths: int, block: int = 512) -> DataFrame:
+def similar_links(texts: DataFrame, nodes: DataFrame, tenths: int, block: int = 512, words: int = 5) -> DataFrame:
     """(a, b): links whose components are those of all pairs that share a band key and are similar enough.
 
-    ``prints``: (node, shingles); ``nodes``: (node, keys, size). A bucket is the nodes of one key. First each node is
+    ``texts``: (row, text); ``nodes``: (node, row, keys, size), row being that of one of its texts. Only texts of nodes
+    that share a key are read for their sets. A bucket is the nodes of one key. First each node is
     compared with the smallest of each of its buckets; then, in the buckets whose nodes aren't one component yet, all
     pairs across components are, by blocks of ``block`` nodes, so that a large bucket is spread over tasks.
     """
     rows = nodes.select(F.explode("keys").alias("key"), "node", "size")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("low")).filter("n > 1")
     members = stored(rows.join(stored(shared, "near-keys"), "key"), "near-buckets")
-    first = _confirmed(members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), prints, tenths)
+    star = members.filter((F.col("node") != F.col("low.node")) & _fits("size", "low.size", tenths))
+    asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select("row")
+    sets = texts.join(asked, "row", "left_semi").dropDuplicates(["row"]).select("row", "text")
+    sets = stored(sets.mapInArrow(lambda b: _sets(b, words), "node long, shingles array<long>"), "near-sets")
+    first = _confirmed(star.select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct(), sets, tenths)
     roots = components(first).select(F.col("a").alias("node"), F.col("b").alias("root"))
     placed = stored(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-placed")
     apart = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
@@ -378,9 +393,9 @@ def similar_links(prints: DataFrame, nodes: DataFrame, tenths: int, block: int =
     units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     unit = F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other"))
     units = units.select(unit.alias("unit"), "node", "root", F.col("side").cast("bigint").alias("side"), F.col("size").cast("bigint").alias("size"))
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = units.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(lambda b: _across(b, tenths), "a long, b long")
-    return first.unionByName(_confirmed(pairs.distinct(), prints, tenths))
+    return first.unionByName(_confirmed(pairs.distinct(), sets, tenths))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, tenths: int = 8, rows: int = 5, bands: int = 20) -> DataFrame:
@@ -392,11 +407,12 @@ def one_of_each(docs: DataFrame, words: int = 5, tenths: int = 8, rows: int = 5,
     doc_id and different texts the one whose text has the smallest hash stays.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    schema = "doc_id long, mark long, node long, keys array<long>, shingles array<long>"
-    prints = stored(texts.mapInArrow(lambda b: _sets(b, words, rows, bands), schema), "near-prints")
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("keys").alias("keys"), F.min(F.size("shingles")).alias("size"))
+    texts = texts.withColumn("row", F.xxhash64("doc_id", "mark"))
+    schema = "doc_id long, mark long, row long, node long, size long, keys array<long>"
+    prints = stored(texts.mapInArrow(lambda b: _banded(b, words, rows, bands), schema), "near-prints")
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.min("keys").alias("keys"), F.min("size").alias("size"))
     nodes = stored(nodes, "near-nodes")
-    groups = grouped(similar_links(prints, nodes, tenths), nodes.select("node", "first"))
+    groups = grouped(similar_links(texts.select("row", "text"), nodes, tenths, words=words), nodes.select("node", "first"))
     key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")
     keep = prints.select("doc_id", "mark", "node").join(groups, "node").groupBy("root").agg(F.min(key).alias("k"))
     kept_id, kept_mark = (fresh(n, docs.columns) for n in ("kept_id", "kept_mark"))

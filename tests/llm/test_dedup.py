@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -156,12 +157,15 @@ def test_one_of_each_among_many_texts_of_the_same_words(spark):
 
 @pytest.mark.parametrize("block", [2, 512])
 def test_similar_links_compare_all_pairs_of_a_bucket(spark, block):
-    """All in one bucket: 0 is the smallest and like none of them; the others are alike in twos."""
-    sets = {0: list(range(1000, 1010))} | {i: [*range(100 * (i // 2), 100 * (i // 2) + 20), 5000 + i] for i in range(2, 22)}
-    prints = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
-    nodes = prints.selectExpr("node", "array(7L) as keys", "size(shingles) as size")
-    got = {tuple(sorted((r.a, r.b))) for r in simhash.similar_links(prints, nodes, 8, block).collect()}
-    assert got == {(i, i + 1) for i in range(2, 22, 2)}
+    """All in one bucket: the first is like none of them; the others are alike in twos."""
+    texts = [" ".join(f"w{k}" for k in range(9000, 9030))]
+    for i in range(2, 22):
+        texts.append(" ".join(f"w{k}" for k in [*range(100 * (i // 2), 100 * (i // 2) + 30), 5000 + i]))
+    nodes = [next(simhash._sets([pa.record_batch({"row": [0], "text": [t]})], 5)).column(0)[0].as_py() for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    keyed = spark.createDataFrame([(n, i, [7], 26 + (i > 0)) for i, n in enumerate(nodes)], "node long, row long, keys array<long>, size long")
+    got = {frozenset((r.a, r.b)) for r in simhash.similar_links(rows, keyed, 8, block).collect()}
+    assert got == {frozenset(nodes[i : i + 2]) for i in range(1, 21, 2)}
 
 
 def plain_choices(text, k=8, window=32):
