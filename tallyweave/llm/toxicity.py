@@ -146,6 +146,16 @@ def _summed(at: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def leaning(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """How far the share of toxic texts among those with a word lies from the whole's, in standard deviations.
+
+    Words of few texts stay near zero, so what it says holds in a small sample, too.
+    """
+    p = n_toxic / (n_toxic + n_clean)
+    n = toxic + clean
+    return np.clip((toxic - p * n) / np.sqrt((n + 1) * p * (1 - p)), -4, 8)
+
+
 def _initial(rng: np.random.Generator, vocabulary: int, alphabet: int) -> Weights:
     def some(*shape: int) -> np.ndarray:
         return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
@@ -262,11 +272,12 @@ def _spread(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows[np.minimum(at, len(rows) - 1)], mask.astype(np.float32)[:, :, None]
 
 
-def train(texts: list[str], labels: np.ndarray, windows: int = 32, seed: int = 3, rounds: tuple[int, ...] = (300, 150, 150), batch: int = 48) -> Model | None:
+def train(texts: list[str], labels: np.ndarray, windows: int = 32, seed: int = 3, rounds: tuple[int, ...] = (200, 150, 150), batch: int = 48) -> Model | None:
     """A model from texts and labels 0 or 1.
 
-    A toxic text's windows needn't all be toxic: the first round learns from any of them, later rounds from the
-    highest-scored quarter of each toxic text, against windows of other texts, half of them the highest-scored ones.
+    A toxic text's windows needn't all be toxic: the network learns from the highest-scored quarter of each toxic text,
+    against windows of other texts, half of them the highest-scored ones. What scores the windows of the first round is
+    the word in them that leans most to toxic texts; that leaning is also what word embeddings start with.
     """
     rng = np.random.default_rng(seed)
     split = [words_of(t) for t in texts]
@@ -280,6 +291,10 @@ def train(texts: list[str], labels: np.ndarray, windows: int = 32, seed: int = 3
     letters = Counter(c for w in counts for c in w)
     alphabet = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
     m = Model(_initial(rng, len(frequent), len(alphabet)), {w: i + 1 for i, w in enumerate(frequent)}, {c: i + 1 for i, c in enumerate(alphabet)})
+    in_toxic = Counter(w for ws, y in zip(split, labels, strict=True) if y == 1 for w in set(ws))
+    both = np.array([(in_toxic[w], counts[w] - in_toxic[w]) for w in frequent], float).reshape(-1, 2)
+    lean = leaning(both[:, 0], both[:, 1], int((labels == 1).sum()), int((labels == 0).sum()))
+    m.weights["words"][1:, 0] = 0.5 * lean
     vocabulary = sorted(counts)
     row = {w: i for i, w in enumerate(vocabulary)}
     spelling, numbers = m.spelled(vocabulary)
@@ -301,32 +316,30 @@ def train(texts: list[str], labels: np.ndarray, windows: int = 32, seed: int = 3
     if min((labels[aside] == 1).sum(), (labels[aside] == 0).sum()) < 10:
         aside = aside[:0]
     seen = ~np.isin(of, aside)
-    good, bad, step = np.flatnonzero(seen & (y == 1)), np.flatnonzero(seen & (y == 0)), 0
-    hard = bad
+    bad, step = np.flatnonzero(seen & (y == 0)), 0
+    leans = np.concatenate([[0.0], lean])[numbers]
 
     def scores() -> np.ndarray:
         projected = np.concatenate([m.project(m.read(spelling[:, i : i + 4096], numbers[i : i + 4096])[0]) for i in range(0, len(numbers), 4096)])
         return np.concatenate([m.windows(projected[at[:, i : i + 1024]], mask[:, i : i + 1024])[0] for i in range(0, at.shape[1], 1024)])
 
     for k, steps in enumerate(rounds):
-        if k:
-            s = scores()
-            order = np.lexsort((-s, of))
-            begin = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
-            size = np.diff(np.concatenate([begin, [len(order)]]))
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order)) - np.repeat(begin, size)
-            top = rank < np.maximum(1, np.ceil(0.25 * size[of]))
-            good = np.flatnonzero(seen & (y == 1) & top)
-            hard = bad[np.argsort(-s[bad], kind="stable")[: max(batch, len(bad) // 8)]]
-        total = max(1, steps)
+        s = scores() if k else leans[at].max(axis=0)
+        order = np.lexsort((-s, of))
+        begin = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
+        size = np.diff(np.concatenate([begin, [len(order)]]))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - np.repeat(begin, size)
+        top = rank < np.maximum(1, np.ceil(0.25 * size[of]))
+        good = np.flatnonzero(seen & (y == 1) & top)
+        hard = bad[np.argsort(-s[bad], kind="stable")[: max(batch, len(bad) // 8)]]
         for j in range(steps):
             some = np.concatenate([rng.choice(good, batch), rng.choice(bad, batch // 2), rng.choice(hard, batch // 2)])
             rows, local = np.unique(at[:, some], return_inverse=True)
             shown = np.where(rng.random(len(rows)) < HIDDEN, 0, numbers[rows])  # some words are known by their letters only
             g = _gradients(m, spelling[:, rows], shown, local.reshape(SPAN, -1), mask[:, some], y[some], np.full(len(some), 1 / len(some), np.float32))
             step += 1
-            rate = RATE * (1 - 0.8 * j / total) * (1 if k == 0 else 0.6)
+            rate = RATE * (1 - 0.8 * j / steps) * (1 if k == 0 else 0.6)
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             scale = min(1.0, 1.0 / max(norm, 1e-9))
             for name, v in g.items():
@@ -361,82 +374,233 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _letters() -> np.ndarray:
+    """Whether each code point of the basic plane is a letter in the sense of ``words_of``; made once per process."""
+    if not len(_is_letter[0]):
+        _is_letter[0] = np.array([bool(_WORD.match(chr(i))) for i in range(0x10000)])
+    return _is_letter[0]
+
+
+_is_letter: list[np.ndarray] = [np.empty(0, bool)]
+
+
+def spellings(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points (words, CHARS) of all texts' words, 0 after a word's end, and how many words each text has.
+
+    The words are those of ``words_of``, found in one pass over all texts.
+    """
+    lower = [(t or "").lower() for t in texts]
+    points = np.frombuffer(("\0" + "\0".join(lower) + "\0").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    letter = _letters()[np.minimum(points, 0xFFFF)]
+    for i in np.flatnonzero(points > 0xFFFF).tolist():
+        letter[i] = _WORD.match(chr(points[i])) is not None
+    turns = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    start, size = turns[::2], turns[1::2] - turns[::2]
+    parts = -(-size // CHARS)
+    if len(parts) and parts.max() > 1:
+        nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = np.repeat(start, parts) + CHARS * nth
+        size = np.minimum(np.repeat(size, parts) - CHARS * nth, CHARS)
+    out = np.zeros((len(start), CHARS), np.uint32)
+    for j in range(CHARS):
+        some = np.flatnonzero(size > j)
+        out[some, j] = points[start[some] + j]
+    ends = np.cumsum(np.fromiter(map(len, lower), np.int64, len(lower)) + 1)
+    return out, np.diff(np.searchsorted(start, ends, side="left"), prepend=0)
+
+
+def _hashed(points: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(points), np.uint64)
+    for j in range(points.shape[1]):
+        h = (h + points[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def advance(tables: list[np.ndarray], u: list[np.ndarray], at: np.ndarray, h: np.ndarray, out: np.ndarray, buffers: list[np.ndarray]) -> None:
+    """The states after one more input, written to ``out``, which may be ``h``.
+
+    ``tables`` have each input's share of update gate, reset gate and candidate; all arrays are whole, so no step works on
+    slices. The gates' shares are halved beforehand, as sigmoid(x) is (tanh(x / 2) + 1) / 2, and so is u's of the
+    candidate, as the reset gate is used as 1 + tanh.
+    """
+    z, r, n, g = (b[: len(h)] for b in buffers)
+    np.take(tables[0], at, axis=0, out=z, mode="clip")
+    z += np.matmul(h, u[0], out=g)
+    np.tanh(z, out=z)
+    np.take(tables[1], at, axis=0, out=r, mode="clip")
+    r += np.matmul(h, u[1], out=g)
+    np.tanh(r, out=r)
+    r += np.float32(1)
+    np.matmul(h, u[2], out=g)
+    g *= r
+    np.take(tables[2], at, axis=0, out=n, mode="clip")
+    n += g
+    np.tanh(n, out=n)
+    z *= np.float32(0.5)
+    z += np.float32(0.5)
+    np.subtract(h, n, out=g)
+    g *= z
+    np.add(n, g, out=out)
+
+
+def _gates(x: np.ndarray, last: float = 1.0) -> list[np.ndarray]:
+    """The three gates' columns of ``x`` on their own, scaled for ``advance``."""
+    return [np.ascontiguousarray(part) * np.float32(f) for part, f in zip(np.split(x, 3, axis=1), (0.5, 0.5, last), strict=True)]
+
+
 class Scorer:
-    """Scores texts; inputs of words that it has met are kept up to a bound."""
+    """Scores texts; inputs of words that it has met are kept up to a bound. Windows of one length are read together."""
+
+    ROWS = 2048
 
     def __init__(self, model: Model):
         self.m = model
-        self.known: dict[str, int] = {}
-        self.table = np.empty((0, 6 * STATE), np.float32)
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > WORDS_KEPT:
-            self.known = {}
-            self.table = np.empty((0, 6 * STATE), np.float32)
-        parts = [self.table]
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            parts.append(self.m.project(self.m.read(*self.m.spelled(some))[0]))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.table = np.concatenate(parts)
+        w = model.weights
+        self.known: dict[int, int] = {}
+        self.tables = {side: [np.empty((0, STATE), np.float32)] * 3 for side in "fb"}
+        self.u = {side: _gates(w[f"wu{side}"], 0.5) for side in "fb"}
+        self.chars = {side: (_gates(w["chars"] @ w[f"cw{side}"] + w[f"cb{side}"]), _gates(w[f"cu{side}"], 0.5)) for side in "fb"}
+        self.number = np.full(0x10000, len(model.chars) + 1, np.int64)
+        self.number[0] = 0
+        for c, i in model.chars.items():
+            if ord(c) < 0x10000:
+                self.number[ord(c)] = i
+        self.words = {int(h): i for h, i in zip(_hashed(self._points(list(model.words))), model.words.values(), strict=True)}
+        self.attend = np.ascontiguousarray(w["aw"][:STATE]), np.ascontiguousarray(w["aw"][STATE:]), w["ab"], w["av"], w["ow"]
+        self.ahead = np.empty((SPAN, self.ROWS, STATE), np.float32)
+        self.buffers = [np.empty((self.ROWS, STATE), np.float32) for _ in range(4)]
+        self.spelling = [np.empty((4096, CHAR_STATE), np.float32) for _ in range(4)]
+
+    @staticmethod
+    def _points(words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), CHARS), np.uint32)
+        for i, w in enumerate(words):
+            out[i, : len(w)] = list(map(ord, w))
+        return out
+
+    def _read(self, points: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Vectors of distinct words, as ``Model.read`` gives them."""
+        size = (points > 0).sum(axis=1)
+        order = np.argsort(-size, kind="stable")
+        numbers = self.number[np.minimum(points[order], 0xFFFF)]
+        for i, j in np.argwhere(points[order] > 0xFFFF).tolist():
+            numbers[i, j] = self.m.chars.get(chr(points[order[i], j]), len(self.m.chars) + 1)
+        size = size[order]
+        back = np.take_along_axis(numbers, np.maximum(0, size[:, None] - 1 - np.arange(CHARS)), axis=1)
+        active = np.searchsorted(-size, -np.arange(CHARS), side="left")
+        out = [self.m.weights["words"][np.fromiter((self.words.get(h, 0) for h in hashes.tolist()), np.int64, len(hashes))]]
+        for side, read in (("f", np.ascontiguousarray(numbers.T)), ("b", np.ascontiguousarray(back.T))):
+            tables, u = self.chars[side]
+            h = np.zeros((len(points), CHAR_STATE), np.float32)
+            for t, k in enumerate(active.tolist()):
+                if k:
+                    advance(tables, u, read[t, :k], h[:k], h[:k], self.spelling)
+            last = np.empty_like(h)
+            last[order] = h
+            out.append(last)
+        return np.concatenate(out, axis=1)
+
+    def _learn(self, points: np.ndarray, hashes: np.ndarray) -> None:
+        w, parts = self.m.weights, {side: [[t] for t in self.tables[side]] for side in "fb"}
+        for i in range(0, len(points), 4096):
+            vectors = self._read(points[i : i + 4096], hashes[i : i + 4096])
+            for side in "fb":
+                for found, gate in zip(parts[side], _gates(vectors @ w[f"ww{side}"] + w[f"wb{side}"]), strict=True):
+                    found.append(gate)
+        self.known.update(zip(hashes.tolist(), range(len(self.known), len(self.known) + len(hashes)), strict=True))
+        self.tables = {side: [np.concatenate(p) for p in parts[side]] for side in "fb"}
+
+    def logits(self, at: np.ndarray) -> np.ndarray:
+        """Logits of up to ROWS windows of one length; ``at`` (length, windows) has the numbers of their words."""
+        (length, n), (af, ab, bias, av, ow) = at.shape, self.attend
+        h = np.zeros((n, STATE), np.float32)
+        for t in range(length):
+            advance(self.tables["f"], self.u["f"], at[t], h, self.ahead[t, :n], self.buffers)
+            h = self.ahead[t, :n]
+        h, e, s = np.zeros((n, STATE), np.float32), np.empty((length, n), np.float32), np.empty((length, n), np.float32)
+        for t in range(length - 1, -1, -1):
+            advance(self.tables["b"], self.u["b"], at[t], h, h, self.buffers)
+            a = self.ahead[t, :n] @ af
+            a += h @ ab
+            a += bias
+            np.tanh(a, out=a)
+            np.dot(a, av, out=e[t])
+            s[t] = self.ahead[t, :n] @ ow[:STATE] + h @ ow[STATE:]
+        e -= e.max(axis=0)
+        np.exp(e, out=e)
+        return (e * s).sum(axis=0) / e.sum(axis=0) + self.m.weights["ob"][0]
+
+    def numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Table rows of all texts' words, and how many words each text has."""
+        points, n = spellings(texts)
+        hashes, first, at = np.unique(_hashed(points), return_index=True, return_inverse=True)
+        get = self.known.get
+        row = np.fromiter((get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            if len(self.known) + len(new) > WORDS_KEPT:
+                self.known, new = {}, np.arange(len(hashes))
+                self.tables = {side: [t[:0] for t in self.tables[side]] for side in "fb"}
+            row[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._learn(points[first[new]], hashes[new])
+        return row[at], n
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        split = [words_of(t) for t in texts]
-        distinct = {w for ws in split for w in ws}
-        if any(w not in self.known for w in distinct):
-            if len(self.known) + len(distinct) > WORDS_KEPT:
-                self.known, self.table = {}, self.table[:0]
-            self._learn(sorted(distinct.difference(self.known)))
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        rows = np.fromiter((self.known[w] for ws in split for w in ws), np.int64, int(n.sum()))
+        rows, n = self.numbered(texts)
         begin = np.cumsum(n) - n
         starts = [window_starts(k) for k in n.tolist()]
         of = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
         if not len(of):
             return np.zeros(len(texts))
         start = np.concatenate(starts) + begin[of]
-        end = (begin + n)[of]
+        length = np.minimum(n[of], SPAN)
         logits = np.empty(len(of), np.float32)
-        for i in range(0, len(of), 2048):
-            cut = slice(i, i + 2048)
-            at = start[None, cut] + np.arange(SPAN)[:, None]
-            mask = at < end[None, cut]
-            some = self.table[rows[np.minimum(at, len(rows) - 1)]]
-            logits[cut] = self.m.windows(some, mask.astype(np.float32)[:, :, None])[0]
+        for k in np.unique(length).tolist():
+            some = np.flatnonzero(length == k)
+            for i in range(0, len(some), self.ROWS):
+                cut = some[i : i + self.ROWS]
+                logits[cut] = self.logits(rows[start[cut] + np.arange(k)[:, None]])
         x = features(logits, of, len(texts)) @ self.m.last
         return np.where(n > 0, 1 / (1 + np.exp(-np.clip(x, -30, 30))), 0.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = 1500, windows: int = 32) -> Model | None:
-    """A model from up to ``most`` documents of each label, trained in one task of a bounded size.
+def sampled(docs: DataFrame, labels: DataFrame, most: int, windows: int) -> DataFrame:
+    """(doc_id, toxic, text): up to ``most`` documents of each label, long texts cut to as many words as the windows hold.
 
-    Labels are ordered without texts, each task keeping its first ones; only the sample's labels meet their texts.
+    Labels are ordered without texts, each task keeping its first ones; only the sample's labels meet their texts. One
+    text stands for a doc_id, however often it comes, so the sample has at most 2 * ``most`` rows.
     """
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = [rows.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
-    # at most 2 * most rows, whatever the input
-    found = docs.select("doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), "doc_id").select("doc_id", "toxic", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), "doc_id")
+    found = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     width = SPAN + STEP * (windows - 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A sample's words, of very long texts as many as the windows hold, from places spread over the text."""
         for batch in pieces(batches, text=2):
             texts = []
             for t in batch.column(2).to_pylist():
                 ws = words_of(t)
-                if len(ws) > width:
+                if len(ws) > width:  # from places spread over the text
                     at = np.linspace(0, len(ws) - SPAN, width // SPAN).astype(int)
                     ws = [w for i in at for w in ws[i : i + SPAN]]
                 texts.append(" ".join(ws))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "toxic", "text"])
 
+    return found.mapInArrow(cut, found.schema)
+
+
+def learn(docs: DataFrame, labels: DataFrame, most: int = 1500, windows: int = 32) -> Model | None:
+    """A model from up to ``most`` documents of each label, trained in one task of a bounded size."""
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = sorted((r["doc_id"], r["toxic"], r["text"]) for batch in batches for r in batch.to_pylist())
         model = train([r[2] for r in sample], np.array([r[1] for r in sample]), windows)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    model = found.mapInArrow(cut, found.schema).repartition(1).mapInArrow(fit, "model binary").first()
+    model = sampled(docs, labels, most, windows).repartition(1).mapInArrow(fit, "model binary").first()
     return pickle.loads(bytes(model["model"])) if model else None
 
 

@@ -39,6 +39,83 @@ def test_gradients():
             assert abs((up - down) / 0.02 - float(g[name][i])) < 2e-4
 
 
+def plain_score(m, text):
+    """A text's score, word by word and character by character."""
+    w, sigmoid = m.weights, lambda x: 1 / (1 + np.exp(-x))
+
+    def cell(x, h, u):
+        k = len(h)
+        g = h @ u
+        z, r = sigmoid(x[:k] + g[:k]), sigmoid(x[k : 2 * k] + g[k : 2 * k])
+        n = np.tanh(x[2 * k :] + r * g[2 * k :])
+        return (1 - z) * n + z * h
+
+    def run(inputs, u):
+        h, out = np.zeros(len(u)), []
+        for x in inputs:
+            h = cell(x, h, u)
+            out.append(h)
+        return out
+
+    def vector(word):
+        at = [m.chars.get(c, len(m.chars) + 1) for c in word]
+        ends = [run([w["chars"][i] @ w[f"cw{d}"] + w[f"cb{d}"] for i in (at if d == "f" else at[::-1])], w[f"cu{d}"])[-1] for d in "fb"]
+        return np.concatenate([w["words"][m.words.get(word, 0)], *ends])
+
+    vectors = [vector(x) for x in toxicity.words_of(text)]
+    if not vectors:
+        return 0.0
+    logits = []
+    for s in toxicity.window_starts(len(vectors)).tolist():
+        some = vectors[s : s + toxicity.SPAN]
+        ahead = run([v @ w["wwf"] + w["wbf"] for v in some], w["wuf"])
+        back = run([v @ w["wwb"] + w["wbb"] for v in some[::-1]], w["wub"])[::-1]
+        h = np.array([np.concatenate(x) for x in zip(ahead, back, strict=True)])
+        p = np.exp(np.tanh(h @ w["aw"] + w["ab"]) @ w["av"])
+        logits.append((p / p.sum()) @ h @ w["ow"] + w["ob"][0])
+    p = sigmoid(np.array(logits))
+    x = np.array([np.clip(max(logits), -8, 8) / 4, p.mean(), (p > 0.5).mean(), 1])
+    return sigmoid(x @ m.last)
+
+
+def test_scores_are_those_of_a_plain_forward_pass(docs):
+    rng = np.random.default_rng(6)
+    texts = [r.text for r in docs.select("text").collect()][:30] + [None, "", "1 2 _", "One", "x" * 40 + " \U00010400\U00010428 Éa²b", "İstanbul a_b c1d"]
+    words = sorted({w for t in texts for w in toxicity.words_of(t)})
+    m = toxicity.Model(toxicity._initial(rng, 100, 20), {w: i + 1 for i, w in enumerate(words[:100])}, {c: i + 1 for i, c in enumerate("antireoshdw\U00010428é²")})
+    m.weights |= {k: rng.standard_normal(v.shape).astype(np.float32) for k, v in m.weights.items() if k[1:2] == "b"}
+    m.last = np.array([1.0, 2.0, 0.5, -1.0])
+    scorer = toxicity.Scorer(m)
+    assert np.allclose(scorer.score(texts), [plain_score(m, t) for t in texts], atol=1e-4)
+    assert np.allclose(scorer.score(texts[::-1]), scorer.score(texts)[::-1], atol=1e-6)
+
+
+def test_spellings_are_those_of_the_words():
+    texts = ["One two-three", None, "", "1a_b2 ² é", "x" * 50, "\U00010400b ok", "a\0b"]
+    points, n = toxicity.spellings(texts)
+    want = [toxicity.words_of(t) for t in texts]
+    assert n.tolist() == [len(ws) for ws in want]
+    assert ["".join(map(chr, p[p > 0])) for p in points] == [w for ws in want for w in ws]
+
+
+def test_toxicity_sample_is_one_text_of_each_id(spark):
+    """Repeated rows, a repeated doc_id with several texts, equal labels: the sample doesn't grow with them."""
+    rows = [(i % 7, f"some words {'idiot' if i % 7 == 3 else 'fine'} {i % 2}") for i in range(700)] + [(None, "lost")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 3)) for i in range(7)] * 2 + [(None, 1), (4, None)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels, F.lit(True), most=2)
+    assert got.count() == 701
+    sample = toxicity.sampled(docs, labels, 2, 32).collect()
+    assert sorted(r.toxic for r in sample) == [0, 0, 1] and len({r.doc_id for r in sample}) == 3
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    got = toxicity.toxicity(docs, labels, langid.crc32_mod(F.col("doc_id"), 3) != 1).join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out and toxic is not null")
+    r = got.selectExpr("avg(if(toxic = 1, predicted, null)) as recall", "avg(if(predicted = 1, toxic, null)) as precision").first()
+    assert r.recall >= 0.6 and r.precision >= 0.7
+
+
 def test_windows_cover_and_overlap():
     for n in (0, 1, 31, 32, 33, 48, 49, 100, 1000):
         starts = toxicity.window_starts(n).tolist()
