@@ -3,14 +3,18 @@
 Fingerprints: A-Z lower-cased words, shingles of consecutive words, XXH64 of each; a bit of the fingerprint is 1 if it
 is set in over half of the hashes. Two documents link if their fingerprints differ in at most ``most`` bits.
 
-Links are found among distinct fingerprints. If two differ in at most 3 bits, one of four 16-bit quarters is equal, so
-a fingerprint is sent to four buckets, (quarter, its value). Within a bucket the fingerprints are sorted by Gray rank
-and become the leaves of a tree: an upper node holds the bit pattern that all below it share and the mask of those
-bits. Two nodes differ at least in the bits of both masks where their patterns disagree; a pair of nodes that already
-differs in more than ``most`` is pruned with all below it. A bucket that holds more than ``bucket_rows`` fingerprints
-is dealt again by quarters of the bits that it doesn't fix yet, and so on until all are small: the bits left can
-still differ in 3 only, so no link is lost, no bucket grows with the data and none is capped. A bucket returns a link
-from each fingerprint to the smallest of its group there, never all pairs.
+Links are found among distinct fingerprints through a hierarchical index over their Gray order. Sorted by Gray rank,
+neighbours differ in few bits. An upper node holds the bit pattern that all below it share and the mask of those bits;
+two nodes differ at least in the bits of both masks where their patterns disagree, and a pair of nodes that already
+differs in more than ``most`` bits is pruned with all below it. The lowest distributed nodes are blocks of up to
+``block_rows`` values, cut from range partitions; pairs of blocks come from joins of node pairs, level by level from the
+root, and the values of a surviving pair are compared by the same descent within one task.
+
+Of two fingerprints within 3 bits one of four quarters is equal. So each is entered in four Gray orders, rotated so that
+each quarter leads once, and node pairs may not differ in the leading quarter. That keeps the number of block pairs in
+proportion to the blocks; in one order alone it would grow with a power of the logarithm of their number. Blocks are
+cut by rows, so no node grows with the data, whatever the fingerprints have in common, and none is capped. A pair of
+blocks returns a link from each fingerprint to the smallest of its group there, never all pairs.
 
 Components come from alternating large-star and small-star rounds on those links, each round written to the shared
 folder.
@@ -35,8 +39,11 @@ from pyspark.sql import functions as F
 from .common import byte_texts, fresh, pieces, stored
 
 WORDS, SEED, MOST = 3, 42, 3
-#: Fingerprints of a bucket that a task compares; fan-out of the tree's nodes.
-BUCKET_ROWS, FAN = 1024, 8
+#: Gray orders, one for each quarter that leads; values of a block; fan-out of the index's nodes; node pairs of a front.
+ORDERS, BLOCK_ROWS, FAN_BITS, FRONT = 4, 16384, 3, 1 << 15
+FAN = 1 << FAN_BITS
+#: The leading quarter's bits.
+LEADING = np.uint64(0xFFFF << 48)
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -95,23 +102,47 @@ def _levels(x: np.ndarray, fan: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def near_pairs(x: np.ndarray, most: int = MOST, fan: int = FAN) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of values, sorted by Gray rank, that differ in at most ``most`` bits."""
-    levels = _levels(x, fan)
-    a = b = np.zeros(1, np.int64)
-    for mask, pattern in levels[-2::-1]:
-        n = len(mask)
-        step = np.arange(fan)
-        left = (a[:, None] * fan + step)[:, :, None] + np.zeros(fan, np.int64)
-        right = (b[:, None] * fan + step)[:, None, :] + np.zeros((fan, 1), np.int64)
-        left, right = left.ravel(), right.ravel()
-        keep = (left <= right) & (right < n) & (left < n)
-        left, right = left[keep], right[keep]
-        apart = np.bitwise_count((pattern[left] ^ pattern[right]) & mask[left] & mask[right])
-        keep = apart <= most
-        a, b = left[keep], right[keep]
-    keep = a < b
-    return a[keep], b[keep]
+def near_pairs(x: np.ndarray, y: np.ndarray | None = None, most: int = MOST, quarter: np.uint64 = np.uint64(0), fan: int = FAN) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs (i, j) of values of ``x`` and ``y``, each sorted by Gray rank, that differ in at most ``most`` bits.
+
+    Without ``y`` the pairs are those of x, i < j. Bits of ``quarter`` must not differ. Node pairs are taken from the roots
+    down; one whose shared bits differ too much already is pruned with all below it. The third result counts the pairs
+    of nodes and values that were compared. Memory is bounded: a wide front of node pairs is cut into parts.
+    """
+    same = y is None
+    left = _levels(x, fan)
+    right = left if same else _levels(y, fan)
+    while len(left) < len(right):
+        left.append(left[-1])
+    while len(right) < len(left):
+        right.append(right[-1])
+    step, compared, found = np.arange(fan), 0, [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    todo = [(len(left) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))] if len(x) and (same or len(y)) else []
+    while todo:
+        level, a, b = todo.pop()
+        if len(a) > FRONT:
+            todo += [(level, a[i : i + FRONT], b[i : i + FRONT]) for i in range(0, len(a), FRONT)]
+            continue
+        (am, ap), (bm, bp) = left[level], right[level]
+        compared += len(a)
+        shared = (ap[a] ^ bp[b]) & am[a] & bm[b]
+        keep = (np.bitwise_count(shared) <= most) & (shared & quarter == 0)
+        a, b = a[keep], b[keep]
+        if not level:
+            keep = a < b if same else slice(None)
+            found.append((a[keep], b[keep]))
+            continue
+        (m, n), (up_a, up_b) = (len(left[level - 1][0]), len(right[level - 1][0])), (left[level - 1] is left[level], right[level - 1] is right[level])
+        ca = a[:, None] if up_a else a[:, None] * fan + step
+        cb = b[:, None] if up_b else b[:, None] * fan + step
+        i, j = np.broadcast_arrays(ca[:, :, None], cb[:, None, :])
+        i, j = i.ravel(), j.ravel()
+        keep = (i < m) & (j < n)
+        if same:
+            keep &= i <= j
+        if keep.any():
+            todo.append((level - 1, i[keep], j[keep]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), compared
 
 
 def _smallest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,124 +166,136 @@ def _smallest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _bucket_links(rows: np.ndarray, most: int, check_most: int) -> np.ndarray:
-    """Links (node, smallest node of its group there) of one bucket, as two rows; ``rows``: fp, node and check."""
-    x = rows[0].view(np.uint64)
-    order = np.argsort(gray_rank(x), kind="stable")
-    (x, node, check), n = rows[:, order].view(np.uint64), len(order)
-    if n <= 64:  # one node of the tree is all there is
-        a, b = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= most, 1))
-    elif n <= 4 * BUCKET_ROWS:
-        a, b = near_pairs(x, most)
-    else:  # equal fingerprints of many nodes can't be dealt further; they are compared block by block
-        label = np.arange(n)
-        for i in range(0, n, BUCKET_ROWS):
-            for j in range(i, n, BUCKET_ROWS):
-                near = np.bitwise_count(x[i : i + BUCKET_ROWS, None] ^ x[None, j : j + BUCKET_ROWS]) <= most
-                near &= np.bitwise_count(check[i : i + BUCKET_ROWS, None] ^ check[None, j : j + BUCKET_ROWS]) <= check_most
-                p, q = np.nonzero(near)
-                label = _smallest(label, p + i, q + j)
-        a = b = np.empty(0, np.int64)
-    if n <= 4 * BUCKET_ROWS:
-        good = np.bitwise_count(check[a] ^ check[b]) <= check_most
-        label = _smallest(np.arange(n), a[good], b[good])
-    node = node.view(np.int64)
-    low = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(low, label, node)
-    to = low[label]
-    moved = to != node
-    return np.stack([node[moved], to[moved]])
-
-
-def _links(batches: Iterator[pa.RecordBatch], most: int, check_most: int) -> Iterator[pa.RecordBatch]:
-    """Links from (bucket, fp, node, check) sorted by bucket; a bucket may go on from one batch to the next."""
-    held = np.empty((4, 0), np.int64)
-
-    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not rows.shape[1]:
-            return
-        cuts = np.concatenate([[0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1, [rows.shape[1]]]).tolist()
-        out = [_bucket_links(rows[1:, i:j], most, check_most) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i > 1]
-        links = np.concatenate([np.empty((2, 0), np.int64), *out], axis=1)
-        if links.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], names=["a", "b"])
-
+def runs(batches: Iterator[pa.RecordBatch], keys: int, columns: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of rows with equal first ``keys`` columns; a run may go on from one batch to the next."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
-        if batch.num_rows:
-            held = np.concatenate([held, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])], axis=1)
-            last = int(np.flatnonzero(np.concatenate([[True], held[0, 1:] != held[0, :-1]]))[-1])
-            yield from found(held[:, :last])
-            held = held[:, last:]
-    yield from found(held)
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        new = np.concatenate([[True], np.any([rows[k][1:] != rows[k][:-1] for k in range(keys)], axis=0)])
+        if held:
+            new[0] = any(rows[k][0] != held[0][k][0] for k in range(keys))
+        cuts = np.flatnonzero(new).tolist()
+        if not cuts:
+            held.append(rows)
+            continue
+        if held:
+            yield [np.concatenate([h[i] for h in held] + [rows[i][: cuts[0]]]) for i in range(columns)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            yield [c[i:j] for c in rows]
+        held = [[c[cuts[-1] :] for c in rows]]
+    if held:
+        yield [np.concatenate([h[i] for h in held]) for i in range(columns)]
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    """Values rotated to the right."""
+    return x if not bits else (x >> np.uint64(bits)) | (x << np.uint64(64 - bits))
+
+
+def _links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Links (node, smallest node of its group there) from (a, b, side, q, y), run by run of one block pair (a, b)."""
+    for _, _, side, q, y in runs(batches, 2, 5):
+        y = y.view(np.uint64)
+        for turn in np.unique(q).tolist():
+            x = [y[(q == turn) & (side == k)] for k in (0, 1)]
+            x = [v[np.argsort(gray_rank(v), kind="stable")] for v in x]
+            across = bool((side == 1).any())
+            if across and not (len(x[0]) and len(x[1])):
+                continue
+            i, j, _ = near_pairs(x[0], x[1] if across else None, most, LEADING)
+            if not len(i):
+                continue
+            node = _turned(np.concatenate(x), 64 // ORDERS * turn).view(np.int64)
+            label = _smallest(np.arange(len(node)), i, j + len(x[0]) if across else j)
+            low = np.full(len(node), np.iinfo(np.int64).max)
+            np.minimum.at(low, label, node)
+            moved = low[label] != node
+            yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(low[label][moved])], names=["a", "b"])
 
 
-def _dealt(rows: DataFrame, parts: int = 4) -> DataFrame:
-    """(bucket, fixed, fp, node, check): each row in four buckets, one for each quarter of the bits not fixed yet."""
+def _shifted(kind: str, x: Column, bits: Column | int) -> Column:
+    return F.call_function(kind, x, F.lit(bits) if isinstance(bits, int) else bits)
+
+
+def _rank(x: Column) -> Column:
+    """Gray rank of a long's 64 bits, as a long that sorts like the unsigned rank."""
+    for bits in (1, 2, 4, 8, 16, 32):
+        x = x.bitwiseXOR(_shifted("shiftrightunsigned", x, bits))
+    return x.bitwiseXOR(F.lit(-(1 << 63)))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            bucket, fixed, x = (c.view(np.uint64) for c in columns[:3])
-            out = []
-            for mask in np.unique(fixed).tolist():  # few: the sets of bits fixed so far
-                at = np.flatnonzero(fixed == np.uint64(mask))
-                free = [i for i in range(64) if not mask >> i & 1]
-                for q in range(parts):
-                    part = sum(1 << i for i in free[q * len(free) // parts : (q + 1) * len(free) // parts])
-                    if not part:
-                        continue
-                    now = np.uint64(mask | part)
-                    key = (x[at] & now) * np.uint64(0x9E3779B97F4A7C15)
-                    key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                    key ^= (bucket[at] * np.uint64(31) + np.uint64(q + 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-                    out.append([key.view(np.int64), np.full(len(at), now, np.uint64).view(np.int64), *(c[at] for c in columns[2:])])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(5)], names=["bucket", "fixed", "fp", "node", "check"])
-
-    return rows.mapInArrow(deal, "bucket long, fixed long, fp long, node long, check long")
-
-
-def links(rows: DataFrame, most: int = MOST, bucket_rows: int = BUCKET_ROWS, check_most: int = 64) -> DataFrame:
-    """(a, b): links between nodes whose components are those of all pairs that differ in at most ``most`` bits.
-
-    ``rows``: (fp, node, check), a row per node; pairs must also differ in at most ``check_most`` bits of check.
-    Fingerprints are distinct: a bucket is dealt down to three free bits, which eight of them share at most; nodes of
-    one fingerprint couldn't be dealt apart.
-    """
-    if most > 3:
-        raise ValueError("quarters find pairs that differ in at most 3 bits")
-    bucket_rows = max(bucket_rows, 16)  # down to three free bits, which eight fingerprints share at most
-    rows = rows.select(F.lit(0).cast("bigint").alias("bucket"), F.lit(0).cast("bigint").alias("fixed"), "fp", "node", "check")
-    small = []
-    while True:
-        rows = stored(_dealt(rows), "simhash-buckets")
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fixed").alias("least"))
-        large = stored(sizes.filter((F.col("n") > bucket_rows) & (F.col("least") != -1)).select("bucket"), "simhash-large")
-        if large.isEmpty():
-            small.append(rows)
-            break
-        small.append(rows.join(large, "bucket", "left_anti"))
-        rows = rows.join(large, "bucket", "left_semi").select("bucket", "fixed", "fp", "node", "check")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = None
-    for level in small:
-        found = level.select("bucket", "fp", "node", "check").repartition(n, "bucket").sortWithinPartitions("bucket")
-        found = found.mapInArrow(lambda b: _links(b, most, check_most), "a long, b long")
-        out = found if out is None else out.unionByName(found)
-    return out
 
+def blocks(values: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(block, q, y): every value of ``values`` (fp) in each of the Gray orders, cut into blocks of up to ``block_rows``.
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    Order q is that of the values rotated by q quarters. Range partitioning by Gray rank deals them evenly, however alike
+    they are; block numbers follow the order.
+    """
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = values.select("fp", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("q"))
+    turn = F.col("q") * (64 // ORDERS)
+    rows = rows.select("q", _shifted("shiftleft", F.col("fp"), turn).bitwiseOR(_shifted("shiftrightunsigned", F.col("fp"), 64 - turn)).alias("y"))
+    rows = rows.withColumn("rank", _rank(F.col("y"))).repartitionByRange(n, "q", "rank").sortWithinPartitions("q", "rank")
+    at = F.monotonically_increasing_id()  # the partition's number above 33 bits of the row's number in it
+    part, row = F.shiftright(at, 33), at.bitwiseAND(F.lit((1 << 33) - 1))
+    return stored(rows.select(F.shiftleft(part, 33).bitwiseOR(F.floor(row / block_rows)).alias("block"), "q", "y"), "simhash-blocks")
+
+
+def block_pairs(rows: DataFrame, most: int = MOST) -> DataFrame:
+    """(a, b), a <= b: the pairs of blocks that can hold values within ``most`` bits of each other.
+
+    Blocks are nodes with the bits that all their values share and a mask of these bits; FAN neighbours make a node of
+    the next level. From the root down, the children of each pair of nodes are joined, and pairs whose shared bits
+    differ in more than ``most`` places, or in their leading quarter, are dropped with all below them.
+    """
+    leaves = rows.groupBy("block").agg(F.bit_and("y").alias("lo"), F.bit_or("y").alias("hi"), F.min("q").alias("q0"), F.max("q").alias("q1"))
+    leaves = stored(leaves, "simhash-nodes")
+    part, row = F.shiftright("block", 33), F.col("block").bitwiseAND(F.lit((1 << 33) - 1))
+    top = leaves.agg(F.max(part).alias("part"), F.max(row).alias("row")).first()
+    spark = rows.sparkSession
+    if top["part"] is None:
+        return spark.createDataFrame([], "a long, b long")
+    width = int(top["row"]).bit_length()
+    leaves = leaves.withColumn("code", F.shiftleft(part, width).bitwiseOR(row))
+    levels = -(-max(1, (int(top["part"]) << width | int(top["row"])).bit_length()) // FAN_BITS)
+    pairs = spark.range(1).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    for level in range(levels - 1, -1, -1):
+        nodes = leaves.groupBy(F.shiftright("code", FAN_BITS * level).alias("code"))
+        nodes = nodes.agg(F.bit_and("lo").alias("lo"), F.bit_or("hi").alias("hi"), F.min("q0").alias("q0"), F.max("q1").alias("q1"), F.min("block").alias("block"))
+        nodes = nodes.withColumn("mask", F.bitwise_not(F.col("lo").bitwiseXOR(F.col("hi"))))
+        left, right = (nodes.select(*(F.col(c).alias(f"{side}_{c}") for c in nodes.columns)) for side in "ab")
+        both = pairs.join(left, F.col("a") == F.shiftright("a_code", FAN_BITS)).join(right, F.col("b") == F.shiftright("b_code", FAN_BITS))
+        shared = F.col("a_lo").bitwiseXOR(F.col("b_lo")).bitwiseAND(F.col("a_mask")).bitwiseAND(F.col("b_mask"))
+        leading = shared.bitwiseAND(F.lit(int(LEADING) - (1 << 64)))
+        near = (F.bit_count(shared) <= most) & (leading == 0) & (F.col("a_q1") >= F.col("b_q0")) & (F.col("a_code") <= F.col("b_code"))
+        number = "block" if level == 0 else "code"
+        pairs = both.filter(near | (F.col("a_code") == F.col("b_code"))).select(F.col(f"a_{number}").alias("a"), F.col(f"b_{number}").alias("b"))
+    return stored(pairs, "simhash-block-pairs")
+
+
+def links(values: DataFrame, most: int = MOST, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b): links between the distinct longs ``fp`` whose components are those of all pairs within ``most`` bits."""
+    if most >= ORDERS:
+        raise ValueError("four orders find pairs that differ in at most 3 bits")
+    rows = blocks(values, block_rows)
+    pairs = block_pairs(rows, most)
+    first = pairs.join(rows, F.col("a") == F.col("block")).select("a", "b", F.lit(0).alias("side"), "q", "y")
+    second = pairs.filter("a < b").join(rows, F.col("b") == F.col("block")).select("a", "b", F.lit(1).alias("side"), "q", "y")
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = first.unionByName(second).repartition(n, "a", "b").sortWithinPartitions("a", "b")
+    return both.mapInArrow(lambda b: _links(b, most), "a long, b long")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(a, b): each linked node and the smallest node of its component, from links (a, b).
 
     Large-star links a node's larger neighbours to its smallest one, small-star the node and its smaller neighbours;
-    each round is written out. Hot nodes are pre-aggregated, and only equal keys are joined.
+    each round is written out, until a round changes nothing. Hot nodes are pre-aggregated, and only equal keys are joined.
     """
     edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # written out, so that both sides of the join are shuffled for it and hot nodes can be split
         low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "links-low")
@@ -276,12 +319,12 @@ def grouped(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(named.join(names, "root").select("node", "root", "component_id"), "simhash-groups")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, most: int = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, most: int = MOST, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
     prints = stored(fingerprints(docs, words), "simhash-prints")
     nodes = stored(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    edges = links(nodes.select(F.col("node").alias("fp"), "node", F.col("node").alias("check")), most, bucket_rows)
-    groups = grouped(edges, nodes).withColumnRenamed("node", "fp")
+    groups = grouped(links(nodes.select(F.col("node").alias("fp")), most, block_rows), nodes).withColumnRenamed("node", "fp")
+    # groups have a row per fingerprint; adaptive execution splits the documents of one that very many share
     out = prints.join(groups, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -345,28 +388,13 @@ def _across(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.Recor
 
     A unit is one block of a bucket, or two that are compared with each other. Sizes must allow the similarity.
     """
-    held = np.empty((5, 0), np.int64)
-
-    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cuts = [0, *(np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1).tolist(), rows.shape[1]]
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            node, root, side, size = rows[1:, i:j]
-            two = side.min() != side.max()
-            fit = (root[:, None] != root) & (10 * np.minimum(size[:, None], size) >= tenths * np.maximum(size[:, None], size))
-            fit &= (side[:, None] < side) if two else (node[:, None] < node)
-            a, b = np.nonzero(fit)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
-
-    for batch in batches:
-        if batch.num_rows:
-            held = np.concatenate([held, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])], axis=1)
-            last = int(np.flatnonzero(np.concatenate([[True], held[0, 1:] != held[0, :-1]]))[-1])
-            if last:
-                yield from found(held[:, :last])
-            held = held[:, last:]
-    if held.shape[1]:
-        yield from found(held)
+    for _, node, root, side, size in runs(batches, 1, 5):
+        two = side.min() != side.max()
+        fit = (root[:, None] != root) & (10 * np.minimum(size[:, None], size) >= tenths * np.maximum(size[:, None], size))
+        fit &= (side[:, None] < side) if two else (node[:, None] < node)
+        a, b = np.nonzero(fit)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
 
 def similar_links(texts: DataFrame, nodes: DataFrame, tenths: int, block: int = 512, words: int = 5) -> DataFrame:

@@ -58,36 +58,82 @@ def test_near_duplicates(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("bucket_rows", [16, 1024])
-def test_links_are_those_of_all_pairs(spark, bucket_rows):
-    rng = np.random.default_rng(2)
+def crowded(seed, bases=30, each=30, bits=5):
+    """Distinct values in crowds of near ones."""
+    rng = np.random.default_rng(seed)
     x = set()
-    for base in rng.integers(0, 1 << 63, 30):
-        for _ in range(30):
+    for base in rng.integers(0, 1 << 63, bases):
+        for _ in range(each):
             v = int(base)
-            for bit in rng.integers(0, 63, rng.integers(0, 5)):
+            for bit in rng.integers(0, 63, rng.integers(0, bits)):
                 v ^= 1 << int(bit)
             x.add(v)
-    x = sorted(x)
-    df = spark.createDataFrame([(v,) for v in x], "fp long").selectExpr("fp", "fp as node", "fp as `check`")
-    edges = simhash.components(simhash.links(df, 3, bucket_rows)).collect()
+    return sorted(x)
+
+
+@pytest.mark.parametrize("block_rows", [16, 100, 16384])
+def test_links_are_those_of_all_pairs(spark, block_rows):
+    x = crowded(2) + [-1, -2, 0, 1 << 62, -(1 << 63)]
+    df = spark.createDataFrame([(v,) for v in x], "fp long")
+    edges = simhash.components(simhash.links(df, 3, block_rows)).collect()
     root = {r.a: r.b for r in edges}
     ours = {}
     for v in x:
         ours.setdefault(root.get(v, v), set()).add(v)
     theirs = {}
-    for r, v in zip(plain_components(x, 3), x, strict=True):
+    for r, v in zip(plain_components([v % (1 << 64) for v in x], 3), x, strict=True):
         theirs.setdefault(r, set()).add(v)
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
-def test_tree_finds_all_pairs():
+def test_blocks_are_even_and_far_pairs_of_blocks_are_pruned(spark):
+    """Values that share three quarters, as a hot group would, and spread ones: blocks keep their size, few pairs stay."""
+    rng = np.random.default_rng(11)
+    hot = [(0x1234_5678_9ABC << 16) + int(v) for v in rng.choice(1 << 16, 1500, replace=False)]
+    spread = [int(v) for v in rng.integers(-(1 << 63), (1 << 63) - 1, 1500)]
+    rows = simhash.blocks(spark.createDataFrame([(v,) for v in hot + spread], "fp long"), 64)
+    sizes = [r["count"] for r in rows.groupBy("block").count().collect()]
+    assert sum(sizes) == 4 * 3000 and max(sizes) <= 64
+    pairs = simhash.block_pairs(rows)
+    of_spread = rows.filter("y <> 0").groupBy("block").agg({"q": "max"}).count()
+    assert pairs.filter("a = b").count() == len(sizes) == of_spread
+    # blocks with spread values only meet themselves and their neighbours
+    shared = {r.block for r in rows.filter("q = 3").select("block").distinct().collect()}
+    assert pairs.count() < len(sizes) ** 2 / 8 and shared
+
+
+def test_near_duplicates_of_crowds_in_small_blocks(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(400)]
+    base = [" ".join(rng.choice(words, 120)) for _ in range(25)]
+    rows = []
+    for i in range(300):
+        t = base[i % 25].split()
+        for at in rng.integers(0, 120, rng.integers(0, 3)):
+            t[at] = str(rng.choice(words))
+        rows.append((i, " ".join(t)))
+    got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=32).collect()}
+    root = plain_components([plain_fingerprint(t) for _, t in rows], 3)
+    least = {}
+    for i, r in enumerate(root):
+        least[r] = min(least.get(r, i), i)
+    assert [got[i].component_id for i in range(300)] == [least[r] for r in root]
+
+
+def test_descent_finds_all_pairs_and_prunes():
     rng = np.random.default_rng(3)
-    x = rng.integers(0, 1 << 12, 500, dtype=np.uint64)
+    x = np.concatenate([rng.integers(0, 1 << 63, 4000, dtype=np.uint64), np.array(crowded(4, 10, 20), np.uint64)])
     x = x[np.argsort(simhash.gray_rank(x), kind="stable")]
-    a, b = simhash.near_pairs(x, 3)
-    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if int(x[i] ^ x[j]).bit_count() <= 3}
+    a, b, compared = simhash.near_pairs(x)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x[i] ^ x[i + 1 :]) <= 3) + i + 1}
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
+    assert compared < len(x) ** 2 / 4  # one order, nothing fixed
+    pinned = simhash.near_pairs(x, None, 3, simhash.LEADING)
+    assert pinned[2] < 40 * len(x)  # the leading quarter fixed
+    cut = {(i, j) for i, j in want if (int(x[i]) ^ int(x[j])) >> 48 == 0}
+    assert set(zip(pinned[0].tolist(), pinned[1].tolist(), strict=True)) == cut
+    a, b, _ = simhash.near_pairs(x[:1500], x[1500:])
+    assert {(i, j + 1500) for i, j in zip(a.tolist(), b.tolist(), strict=True)} == {(i, j) for i, j in want if i < 1500 <= j}
 
 
 def test_gray_rank_orders_the_gray_code():
@@ -145,10 +191,10 @@ def test_one_of_each_is_that_of_all_pairs(spark):
 
 
 def test_one_of_each_among_many_texts_of_the_same_words(spark):
-    """More texts of one set of words than a bucket holds, none alike; ten have a copy in which the set differs, too."""
+    """Many texts of one set of words, none alike; ten have a copy in which the set differs, too."""
     rng = np.random.default_rng(9)
     words = np.array([f"w{i}" for i in range(60)])
-    rows = [(i, " ".join(rng.permutation(words))) for i in range(simhash.BUCKET_ROWS + 100)]
+    rows = [(i, " ".join(rng.permutation(words))) for i in range(1124)]
     many = len(rows)
     rows += [(many + i, f"{t} extra{i}") for i, t in rows[:10]]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
