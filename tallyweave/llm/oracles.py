@@ -85,8 +85,9 @@ FROM cut c LEFT JOIN kept k ON c.doc_id = k.doc_id
 """
 
 OP10 = r"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                      ('0x' || substr(md5('1:' || doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS chance FROM documents),
+WITH counted AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                        ('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT / 4503599627370496.0 AS chance FROM documents),
+sized AS (SELECT *, length(bin(size))::BIGINT AS digits FROM counted),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 named AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM totals),
 weighed AS (SELECT *, [5, 2, 1][((k - 1) % 3 + 1)::INTEGER] AS weight, source_size * 3 AS cap FROM named),
@@ -98,11 +99,22 @@ limits AS (SELECT *, cap * share < remains * weight AS limited FROM running),
 opened AS (SELECT remains AS r, share AS s FROM limits WHERE NOT limited ORDER BY share DESC, remains DESC LIMIT 1),
 goals AS (SELECT source, source_size, CASE WHEN limited OR s IS NULL THEN cap::DOUBLE ELSE (r * weight)::DOUBLE / s END AS target
           FROM limits LEFT JOIN opened ON true),
-parts AS (SELECT *, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS copies FROM goals),
-ranked AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.copies, round(g.target)::BIGINT - g.copies * g.source_size AS rest,
-                  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.chance, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-           FROM sized d JOIN parts g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, source, size, source_size, target, (copies * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM ranked
+classes AS (SELECT d.source, d.digits, sum(d.size)::BIGINT AS words FROM sized d GROUP BY d.source, d.digits),
+shared AS (SELECT c.*, g.source_size, g.target, round(g.target)::BIGINT
+                  - 3 * coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS open_words,
+                  sum(words * digits) OVER (PARTITION BY c.source ORDER BY digits ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS open_share
+           FROM classes c JOIN goals g ON c.source IS NOT DISTINCT FROM g.source),
+firsts AS (SELECT source, max(digits) AS top, arg_max(open_words, digits) AS w, arg_max(open_share, digits) AS a FROM shared WHERE digits * open_words < 3 * open_share GROUP BY source),
+timed AS (SELECT s.source, s.digits, s.words, s.source_size, s.target,
+                 CASE WHEN s.source_size = 0 THEN 0.0::DOUBLE WHEN f.top IS NULL OR s.digits > f.top THEN 3.0::DOUBLE ELSE (s.digits * f.w)::DOUBLE / f.a END AS times
+          FROM shared s LEFT JOIN firsts f ON s.source IS NOT DISTINCT FROM f.source),
+parts AS (SELECT *, floor(times)::BIGINT AS copies, times - floor(times) AS inclusion,
+                 round(target)::BIGINT - (sum(floor(times)::BIGINT * words) OVER (PARTITION BY source))::BIGINT AS rest FROM timed),
+chosen AS (SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.copies, p.rest,
+                  CASE WHEN p.inclusion > 0 THEN d.chance / (1 - d.chance) * (1 - p.inclusion) / p.inclusion END AS odds
+           FROM sized d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source AND d.digits = p.digits),
+ranked AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM chosen)
+SELECT doc_id, source, size, source_size, target, (copies * size + CASE WHEN odds IS NULL THEN 0 ELSE greatest(0, least(size, rest - before)) END)::BIGINT AS taken FROM ranked
 """
 
 ORACLES = {"op3_licences": _op3(), "op6_url_filter": OP6, "op7_topk": OP7, "op9_substrings": OP9, "op10_mixing": OP10}

@@ -249,6 +249,33 @@ def test_mixing(docs, empty):
     assert mixing.mix_table(empty, [5, 2, 1]).count() == 0 and mixing.mixed(empty, [5, 2, 1]).count() == 0
 
 
+def test_inclusion_follows_the_weights(spark):
+    """One set of sizes in 30 sources of equal weight: the mean share taken is what each document's weight asks for."""
+    sizes = [1, 2, 3, 5, 8, 15, 16, 40, 70, 120, 200, 300, 500, 9, 33, 64, 130, 20, 6, 90]
+    rows = [(100_000 * k + 1000 * j + i, " ".join(["w"] * n), f"s{k:03}") for k in range(30) for j in range(25) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {}
+    for r in mixing.mix_table(docs, [1]).collect():
+        got.setdefault(r["doc_id"] % 1000, []).append(r["taken"] / r["size"])
+    digits = [n.bit_length() for n in sizes]
+    c = sum(sizes) / sum(n * d for n, d in zip(sizes, digits, strict=True))  # no document is at its limit
+    for i, d in enumerate(digits):
+        assert abs(np.mean(got[i]) - c * d) < 0.08, (sizes[i], np.mean(got[i]), c * d)
+        assert max(got[i]) <= np.floor(c * d) + 1 and min(got[i]) >= np.floor(c * d)
+    assert np.mean(got[0]) < 0.5 < 0.9 < np.mean(got[12])
+
+
+def test_mixing_of_awkward_rows(spark):
+    """Rows without doc_id draw numbers of their own; empty texts, a single source, repeated rows."""
+    rows = [(None, f"word {i} more", "a") for i in range(50)] + [(None, None, "a"), (1, "", None), (2, "same text", "b"), (2, "same text", "b"), (2, "same text", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    chances = {r.chance for r in mixing.sizes(docs.filter("source = 'a'"), 1).collect()}
+    assert len(chances) == 51
+    got = mixing.mix_table(docs, [5, 2, 1]).collect()
+    assert len(got) == len(rows) and all(r.taken <= 3 * r.size for r in got)
+    assert sum(r.taken for r in got if r.source == "b") == round(next(r.target for r in got if r.source == "b"))
+
+
 def test_pipeline(spark, docs):
     sizes = []
     rows = docs
