@@ -5,19 +5,18 @@ rightmost where equal; a choice is kept once, with its position. Any passage of
 points that two texts share gives them a fingerprint in common. The likeness of two texts is the share of chosen
 hashes, counted with repeats, that they have in common (Dice).
 
-Texts under ``k * window`` code points use a smaller window, n / k rounded down to a power of two, so that short texts
-have several choices, too; the choices of a larger window are among those of a smaller one.
-
-Likewise texts under 4 k code points use grams of n / 4 code points, rounded down to a power of two.
+All texts use the same grams and windows, so the guarantee holds between any two. A text with fewer k-grams than a window
+is one window; one with fewer than k code points is one gram.
 
 Defined results: a null text is empty. An empty text has the empty fingerprint; two empty ones are alike (1). Rows with equal doc_id follow one another by
-their texts' hash; rows without doc_id come last; repeated rows are documents of their own; the only row of a table
+their texts' hash, as do rows without doc_id, which come last; repeated rows are documents of their own; the only row of a table
 follows itself. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,15 +42,18 @@ def chosen(points: np.ndarray, k: int = K, window: int = WINDOW) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = (points.astype(np.uint64) + np.uint64(1)) * _BASE
     step, power = 1, int(_BASE)
-    while step < k and 8 * step <= n:  # a hash of 2s code points from two of s
-        h = h[:-step] * np.uint64(power) + h[step:]
+    while step < k:  # a hash of 2s code points from two of s; a text that ends before gives what it has
+        if len(h) > step:
+            h = h[:-step] * np.uint64(power) + h[step:]
+        else:
+            h = (h * np.uint64(power)).sum(keepdims=True) + np.uint64(n)
         power, step = power * power & 0xFFFFFFFFFFFFFFFF, step * 2
     h = (h ^ (h >> np.uint64(29))) * _MIX
     # the smallest of a window, the rightmost where equal: the hash above, the reversed position below
     low = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
-    span, window = 1, min(window, max(1, n // k))
-    while span * 2 <= window and len(low) > span:
-        low = np.minimum(low[:-span], low[span:])
+    span = 1
+    while span < window:
+        low = np.minimum(low[:-span], low[span:]) if len(low) > span else low.min(keepdims=True)
         span *= 2
     kept = low[np.concatenate([[True], low[1:] != low[:-1]])]
     return (kept & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - (kept & np.uint64(0xFFFFFFFF)))
@@ -89,41 +91,58 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _below(bounds: list[int], value: Column) -> Column:
-    """How many of the falling ``bounds`` are above ``value``; looked up in two steps of about sqrt(n) comparisons."""
+def _passed(bounds: list[tuple[int, int]], falling: Column, h: Column) -> Column:
+    """How many of the rising ``bounds`` (falling, hash) are at or below a row's; found in two steps of about sqrt(n) comparisons."""
     if not bounds:
         return F.lit(0)
     width = max(1, int(len(bounds) ** 0.5))
     chunks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    longs = lambda xs: F.array(*(F.lit(x).cast("bigint") for x in xs))
-    passed = F.size(F.filter(longs([c[-1] for c in chunks]), lambda b: value < b))
-    inner = F.get(F.array(*map(longs, chunks)), passed)
-    rest = F.when(inner.isNotNull(), F.size(F.filter(inner, lambda b: value < b))).otherwise(0)
-    return F.least(F.lit(len(bounds)), passed * width + rest)
+    own = F.struct(falling.alias("f"), h.alias("h"))
+    ends = lambda xs: F.array(*(F.struct(F.lit(f).cast("bigint").alias("f"), F.lit(x).cast("bigint").alias("h")) for f, x in xs))
+    whole = F.size(F.filter(ends([c[-1] for c in chunks]), lambda b: b <= own))
+    inner = F.get(F.array(*map(ends, chunks)), whole)
+    rest = F.when(inner.isNotNull(), F.size(F.filter(inner, lambda b: b <= own))).otherwise(0)
+    return F.least(F.lit(len(bounds)), whole * width + rest)
+
+
+def _even(j: int, n: int) -> int:
+    """Where the j-th of n equal parts of all hashes begins."""
+    return -(1 << 63) + (j << 64) // n
 
 
 def ranged(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, follows, doc_id, text): the rows by falling doc_id in ranges, each range with the row that follows it.
+    """(part, follows, doc_id, falling, h, text): the rows by falling doc_id in about ``parts`` ranges, each with the row after it.
 
     That row, the first of the next range or, after the last, of the first range, has ``follows`` true and is there for
-    its text alone. Range ends are quantiles of the ids; which ones doesn't change any result. What reaches the driver
-    is a number per range.
+    its text alone. Range ends are quantiles of the ids; an id that several quantiles meet, and rows without one, are cut
+    into as many ranges by their texts' hash. Which ends are chosen doesn't change any result. What reaches the driver
+    is a few numbers per range.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ends = rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], max(0.2 / parts, 1e-5)) if parts > 1 else []
-    bounds = sorted({int(q) for q in ends}, reverse=True)
-    part = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(_below(bounds, F.col("doc_id"))).cast("int")
-    rows = rows.withColumn("part", part)
-    first = sorted((r.part, r.first) for r in rows.groupBy("part").agg(F.max("doc_id").alias("first")).collect())
-    heads, before = [None] * (len(bounds) + 1), [0] * (len(bounds) + 1)
-    for i, (p, doc_id) in enumerate(first):
-        heads[p], before[p] = doc_id, first[i - 1][0]  # the range whose last row this range's first row follows
-    head = F.get(F.array(*(F.lit(h).cast("bigint") for h in heads)), F.col("part"))
+    ids = docs.select("doc_id")
+    n, known = ids.agg(F.count("*"), F.count("doc_id")).first()
+    ends = ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], max(0.2 / parts, 1e-5)) if parts > 1 and known else []
+    often = Counter(int(q) for q in ends)
+    bounds = sorted((~q, _even(j, k)) for q, k in often.items() for j in range(k))
+    lost = max(1, round(parts * (n - known) / max(1, n)))
+    h, falling = F.xxhash64("text"), F.bitwise_not(F.col("doc_id").cast("bigint"))
+    rows = rows.withColumns({"h": h, "falling": falling})
+    without = F.lit(len(bounds) + 1) + F.size(F.filter(F.array(*(F.lit(_even(j, lost)) for j in range(1, lost))).cast("array<bigint>"), lambda b: b <= F.col("h")))
+    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), without).otherwise(_passed(bounds, F.col("falling"), F.col("h"))).cast("int"))
+    key = F.struct(F.col("falling").isNull().alias("none"), "falling", "h")
+    first = sorted((r.part, r.first) for r in rows.groupBy("part").agg(F.min(key).alias("first")).collect())
+    count = len(bounds) + 1 + lost
+    heads, before = [None] * count, [0] * count
+    for i, (p, head) in enumerate(first):
+        heads[p], before[p] = head, first[i - 1][0]  # the range whose last row this range's first row follows
+    kind = "struct<f:bigint,h:bigint>"
+    table = F.array(*(F.lit(None).cast(kind) if x is None else F.struct(F.lit(x.falling).cast("bigint").alias("f"), F.lit(x.h).alias("h")) for x in heads))
+    head = F.get(table, F.col("part"))
     own = F.struct(F.col("part"), F.lit(False).alias("follows"))
     also = F.struct(F.get(F.array(*map(F.lit, before)), F.col("part")).alias("part"), F.lit(True).alias("follows"))
-    copies = F.when(F.col("doc_id").eqNullSafe(head), F.array(own, also)).otherwise(F.array(own))
-    rows = rows.select("doc_id", "text", F.explode(copies).alias("at"))
-    return rows.select("at.part", "at.follows", "doc_id", "text")
+    leads = F.col("falling").eqNullSafe(head["f"]) & (F.col("h") == head["h"])
+    rows = rows.withColumn("at", F.explode(F.when(leads, F.array(own, also)).otherwise(F.array(own))))
+    return rows.select("at.part", "at.follows", "doc_id", "text", "falling", "h")
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -162,9 +181,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def fingerprints(docs: DataFrame, rows_per_range: int = 5000) -> DataFrame:
+def fingerprints(docs: DataFrame, ranges_per_task: int = 8) -> DataFrame:
     """Fingerprints of every text and of its edited form, and their likeness, a row per document."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(65536, max(4 * n, docs.count() // rows_per_range))
-    dealt = ranged(docs, parts).repartition(n, "part")
-    return dealt.sortWithinPartitions("part", "follows", F.desc_nulls_last("doc_id"), F.xxhash64("text")).mapInArrow(_rows, _SCHEMA)
+    dealt = ranged(docs, ranges_per_task * n).repartition(n, "part")
+    return dealt.sortWithinPartitions("part", "follows", F.asc_nulls_last("falling"), "h").select("part", "follows", "doc_id", "text").mapInArrow(_rows, _SCHEMA)

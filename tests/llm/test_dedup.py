@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyweave.llm import simhash, substrings, winnow
 
@@ -236,24 +238,59 @@ def test_winnowing_takes_the_rightmost_smallest():
     assert len(set(h.tolist())) == 1 and (np.diff(at) == 2).all() and at[0] >= winnow.WINDOW - 2
 
 
-def test_fingerprints(docs, empty, spark):
-    rows = docs.select("doc_id", "text").collect()
-    got = winnow.fingerprints(docs, rows_per_range=5).collect()
-    assert len(got) == len(rows)
-    ids = sorted({i for i, _ in rows if i is not None}, reverse=True)
-    text = {i: t or "" for i, t in rows}
-    following = {i: text[j] for i, j in zip(ids, ids[1:], strict=False)}
-    for r in got:
-        if r.doc_id in following and r.doc_id != 3 and r.doc_id != 0:
-            t, n = text[r.doc_id], following[r.doc_id]
-            changed = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
-            assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    by_text = {}
-    for r in got:
-        if r.doc_id is not None:
-            by_text.setdefault(text[r.doc_id], set()).add(r.fingerprint)
-    assert all(len(v) == 1 for v in by_text.values())
+def windows_by_hand(text, k=winnow.K, window=winnow.WINDOW):
+    """Positions chosen window by window from each gram's hash."""
+    if not text:
+        return []
+    points = winnow.code_points(text)
+    grams = [points[i : i + k] for i in range(max(1, len(points) - k + 1))]
+    h = [int(winnow.chosen(g, k, 1)[0] >> np.uint64(32)) for g in grams]
+    picked = []
+    for i in range(max(1, len(h) - window + 1)):
+        part = h[i : i + window]
+        at = i + max(j for j, x in enumerate(part) if x == min(part))
+        if not picked or picked[-1] != at:
+            picked.append(at)
+    return [(h[i], i) for i in picked]
+
+
+def likeness_by_hand(a, b):
+    a, b = Counter(h for h, _ in a), Counter(h for h, _ in b)
+    n = sum(a.values()) + sum(b.values())
+    return 2 * sum((a & b).values()) / n if n else 1.0
+
+
+def test_choices_are_those_of_every_window():
+    rng = np.random.default_rng(5)
+    for n in [0, 1, 2, 3, 5, 7, 8, 9, 12, 20, 31, 38, 39, 40, 41, 80, 200, 400]:
+        for letters in ("ab", "abcdefghij é\U0001f600"):
+            text = "".join(letters[i] for i in rng.integers(0, len(letters), n))
+            got = winnow.chosen(winnow.code_points(text))
+            assert [(int(c) >> 32, int(c) & 0xFFFFFFFF) for c in got] == windows_by_hand(text)
+
+
+def test_short_and_long_texts_share_their_passages():
+    rng = np.random.default_rng(6)
+    text = lambda n: "".join(chr(97 + i) for i in rng.integers(0, 26, n))
+    for _ in range(30):
+        shared = text(winnow.K + winnow.WINDOW - 1)
+        pair = [winnow.hashes(winnow.chosen(winnow.code_points(t))) for t in (shared, text(9) + shared, text(2000) + shared + text(30))]
+        assert np.intersect1d(pair[0], pair[1]).size and np.intersect1d(pair[0], pair[2]).size and np.intersect1d(pair[1], pair[2]).size
+
+
+@pytest.mark.parametrize("per_task", [1, 8])
+def test_fingerprints(docs, empty, spark, per_task):
+    hot = spark.createDataFrame([(3, f"hot {i} " * (i % 9)) for i in range(80)] + [(None, f"lost {i}") for i in range(80)] + [(None, None), (None, "lost 1")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(hot).repartition(3)
+    order = [(r.doc_id, r.text) for r in rows.selectExpr("doc_id", "coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as h").orderBy(F.desc_nulls_last("doc_id"), "h").collect()]
+    got = [tuple(r) for r in winnow.fingerprints(rows, per_task).collect()]
+    want = []
+    for (i, t), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        changed = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        a, b, c = map(windows_by_hand, (t, changed, following))
+        text = lambda picks: "".join(f"{h:08x}{p:08x}" for h, p in picks)
+        want.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), text(a), text(b), likeness_by_hand(a, b), likeness_by_hand(a, c)))
+    assert sorted(got, key=key) == sorted(want, key=key)
     assert winnow.fingerprints(empty).count() == 0
     one = winnow.fingerprints(spark.createDataFrame([(1, "some words and more of them")], "doc_id long, text string")).first()
     assert one.edited_sha256 == hashlib.sha256(("some words and more of them"[:14] + "some words and more of them"[:13]).encode()).hexdigest()
