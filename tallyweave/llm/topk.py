@@ -1,12 +1,19 @@
 """Exact top-k search by the threshold algorithm over sorted per-dimension lists.
 
-Candidates are dealt into blocks. Within a block each dimension has a list of its vectors by falling component (and,
-for negative query weights, by rising component). A search reads the lists in step, deeper round by round; vectors
-met for the first time are scored in full; and it ends for a query as soon as the sum of its weights times the next
-list entries, the most that an unseen vector can score, is below its kth best score. Equal scores are settled by
-vec_id, so a search goes on while the bound ties with the kth score. Blocks' winners are merged per query.
+Candidates are dealt into blocks of vectors that lie near each other in the dimensions with most energy. Within a block
+each dimension has a list of its vectors by falling component (read from its end for negative query weights). A search
+reads lists deeper round by round, first those along which the bound falls most; vectors met for the first time are scored in full; and it ends for a
+query as soon as the sum of its weights times the next list entries, the most that an unseen vector can score, is below
+its kth best score. Equal scores are settled by vec_id, so a search goes on while the bound ties with the kth score.
 
-Queries and candidates meet in a grid of (query group, block) cells of bounded size; neither side is broadcast.
+Each query is first searched in its own block. The kth score found there is where the other blocks start from: a block
+whose list heads can't reach it isn't read for that query, and a block that no query of a group can use isn't sent to
+the group at all. Blocks' winners are merged per query. Queries and candidates meet in (query group, block) cells of
+bounded size; neither side is broadcast.
+
+How early a search stops depends on the vectors: where few dimensions hold most energy it reads a part of the lists;
+where all components are alike and independent, as in random unit vectors, the bound falls so late that all of a block
+is met first, and the search is then a full scan in blocks, exact all the same.
 
 Defined results: vectors that are null, empty, of another length than the block's dimension count, or hold a null or
 non-finite component take no part. Repeated rows count once: of rows with one vec_id the smallest vector stands for
@@ -16,7 +23,6 @@ Only vec_id and embedding are read.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,10 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Sizes of a cell of the grid.
-BLOCK_ROWS, GROUP_ROWS = 8192, 2048
+#: Vectors of a block, and blocks whose queries make a group.
+BLOCK_ROWS, GROUP_BLOCKS = 8192, 5
 #: List entries read in the first round; each round reads this many times more than the one before.
-FIRST_DEPTH, DEEPER = 64, 4
+FIRST_DEPTH, DEEPER = 4, 4
+#: Dimensions by which vectors are dealt into blocks, and the width of a step in them.
+LEADING, WIDTH = 4, 8
 
 _OUT = "query_id long, vec_id long, score long"
 
@@ -42,45 +50,54 @@ def quantised(vectors: DataFrame, scale: int, dims: int) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _search(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best candidates of one block for each query of one group."""
-    if queries.empty or block.empty:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-    q, x = np.stack(queries["v"].to_list()).astype(np.float64), np.stack(block["v"].to_list()).astype(np.float64)
-    ids, own = block["vec_id"].to_numpy(np.int64), queries["vec_id"].to_numpy(np.int64)
-    n, dims = x.shape
+def search(q: np.ndarray, own: np.ndarray, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Scores and ids of the k best candidates ``x`` of each query ``q``, -inf where there are fewer, and the scorings done.
+
+    ``own``: the queries' ids, which aren't their candidates; ``floor``: scores below which nothing is asked for.
+    """
+    n = len(x)
     order = np.argsort(-x, axis=0, kind="stable")  # the lists by falling component; read from the end for negative weights
     falling = np.take_along_axis(x, order, axis=0)
-    seen, found = np.zeros(n, bool), [(own[:0], ids[:0], ids[:0])]
-    best_ids = np.full((len(q), k), np.iinfo(np.int64).max)
-    best = np.full((len(q), k), -np.inf)
-    active, depth = np.arange(len(q)), FIRST_DEPTH
-    last = min(k, n) - 1
+    seen = np.zeros(n, bool)
+    best_ids, best = np.full((len(q), k), np.iinfo(np.int64).max), np.full((len(q), k), -np.inf)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    read = 0
-    while len(active):
-        to = min(depth, n)
-        ends = []
-        if (up[active] > 0).any():
-            ends.append(order[read:to])
-        if (down[active] < 0).any():
-            ends.append(order[n - to : n - read])
-        met = np.unique(np.concatenate(ends)) if ends else np.arange(n)
-        met = met[~seen[met]]
+    dims, last, scored = np.arange(x.shape[1]), min(k, n) - 1, 0
+    read, active = np.zeros(len(dims), np.int64), np.arange(len(q))  # entries read of each list, from either end
+    while not seen.all():
+        # no unseen vector can score more than this
+        high, low = falling[read, dims], falling[n - 1 - read, dims]
+        bound = up[active] @ high + down[active] @ low
+        active = active[bound >= np.maximum(best[active, last], floor[active])]
+        if not len(active):
+            break
+        to = np.minimum(n - 1, np.maximum(FIRST_DEPTH, read * DEEPER))
+        drop = up[active].sum(axis=0) * (high - falling[to, dims]) - down[active].sum(axis=0) * (falling[n - 1 - to, dims] - low)
+        go = np.flatnonzero((drop >= drop.max() / 2) & (to > read))
+        if not len(go):  # lists that have nothing below their heads
+            met = np.flatnonzero(~seen)
+        else:
+            ends = [part for d in go.tolist() for part in (order[read[d] : to[d], d], order[n - to[d] : n - read[d], d])]
+            met = np.unique(np.concatenate(ends))
+            met = met[~seen[met]]
+            read[go] = to[go]
         seen[met] = True
+        scored += len(met) * len(active)
         for lo in range(0, len(active), 256):
             some = active[lo : lo + 256]
             scores = np.where(ids[met] == own[some, None], -np.inf, q[some] @ x[met].T)
             best[some], best_ids[some] = _merged(best[some], best_ids[some], scores, ids[met], k)
-        if to == n or seen.all():
-            break
-        # no unseen vector can score more than this
-        bound = up[active] @ falling[to] + down[active] @ falling[n - 1 - to]
-        active = active[bound >= best[active, last]]
-        read, depth = to, depth * DEEPER
+    return best, best_ids, scored
+
+
+def _cell(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best candidates of one block for each query of one group that is at home elsewhere, or for its own."""
+    if queries.empty or block.empty:
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+    q, x = np.stack(queries["v"].to_list()).astype(np.float64), np.stack(block["v"].to_list()).astype(np.float64)
+    own = queries["vec_id"].to_numpy(np.int64)
+    best, best_ids, _ = search(q, own, queries["least"].fillna(-np.inf).to_numpy(float), x, block["vec_id"].to_numpy(np.int64), k)
     row, col = np.nonzero(np.isfinite(best))
-    found = {"query_id": own[row], "vec_id": best_ids[row, col], "score": best[row, col].astype(np.int64)}
-    return pd.DataFrame(found)
+    return pd.DataFrame({"query_id": own[row], "vec_id": best_ids[row, col], "score": best[row, col].astype(np.int64)})
 
 
 def _merged(best: np.ndarray, best_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,21 +121,43 @@ def _merged(best: np.ndarray, best_ids: np.ndarray, scores: np.ndarray, ids: np.
     return np.take_along_axis(s, top, 1), np.take_along_axis(d, top, 1)
 
 
+def dealt(rows: DataFrame, dims: int) -> DataFrame:
+    """``rows`` (vec_id, v) with block: ranges over the dimensions with most energy, of about BLOCK_ROWS vectors each."""
+    energy = rows.select(F.posexplode("v")).groupBy("pos").agg(F.sum(F.col("col").cast("double") ** 2).alias("e"))
+    leading = [r.pos for r in energy.orderBy(F.desc("e"), "pos").limit(min(LEADING, dims)).collect()]
+    key = [F.floor(F.get("v", F.lit(d)) / WIDTH) for d in leading]
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    return stored(rows.repartitionByRange(blocks, *key, "vec_id").withColumn("block", F.spark_partition_id()), "topk-blocks")
+
+
+def _box(rows: DataFrame, key: str, dims: int, *more: Column) -> DataFrame:
+    """Highest and lowest components of the vectors of each ``key``."""
+    ends = [f(F.get("v", F.lit(i))).alias(f"{name}{i}") for name, f in (("hi", F.max), ("lo", F.min)) for i in range(dims)]
+    per = rows.groupBy(key).agg(*ends, *more)
+    arrays = {name: F.array(*(F.col(f"{name}{i}").cast("bigint") for i in range(dims))) for name in ("hi", "lo")}
+    return per.withColumns(arrays).drop(*(f"{name}{i}" for name in ("hi", "lo") for i in range(dims)))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int, dims: int, scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k highest inner products of each query with all other rows."""
-    rows = stored(quantised(vectors, scale, dims), "topk-vectors")
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    groups = max(1, -(-rows.filter(is_query).count() // GROUP_ROWS))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    group = F.pmod(F.xxhash64("vec_id", F.lit("group")), F.lit(groups)).cast("int")
-    asked = rows.filter(is_query).withColumn("grp", group)
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    offered = rows.withColumn("block", block).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-
-    def cell(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        return _search(queries, candidates, k)
-
-    won = asked.groupBy("grp", "block").cogroup(offered.groupBy("grp", "block")).applyInPandas(cell, _OUT)
+    rows = dealt(stored(quantised(vectors, scale, dims), "topk-vectors"), dims)
+    asked = rows.filter(is_query).select(*(F.col(c).alias(c) for c in rows.columns))
+    search_cell = lambda queries, block: _cell(queries, block, k)
+    home = asked.withColumn("least", F.lit(None).cast("double")).groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(search_cell, _OUT)
+    home = stored(home, "topk-home")
+    least = home.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("least"))
+    group = F.floor(F.col("block") / GROUP_BLOCKS).cast("int").alias("grp")
+    asked = asked.join(least, "vec_id", "left").select("vec_id", "v", "least", F.col("block").alias("home"), group)
+    boxes = stored(_box(rows, "block", dims), "topk-boxes")
+    numbers = sorted(r.block for r in boxes.select("block").collect())
+    groups = _box(asked, "grp", dims, F.min(F.coalesce("least", F.lit(float("-inf")))).alias("floor"))
+    cells = groups.withColumnsRenamed({"hi": "qhi", "lo": "qlo"}).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(numbers, default=0)))))
+    corner = lambda i: F.greatest(*(F.get(q, i) * F.get(x, i) for q in ("qhi", "qlo") for x in ("hi", "lo")))
+    heads = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), corner), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    cells = stored(cells.join(boxes, "block").filter(heads >= F.col("floor")).select("grp", "block"), "topk-cells")
+    sent = asked.join(cells, "grp").filter("block <> home")
+    offered = rows.join(cells, "block").select("vec_id", "v", "grp", "block")
+    away = sent.groupBy("grp", "block").cogroup(offered.groupBy("grp", "block")).applyInPandas(search_cell, _OUT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return won.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    won = home.unionByName(away).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return won.select("query_id", "rank", "vec_id", "score")

@@ -206,7 +206,7 @@ def test_round_trip(docs, empty, model):
 
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 60)
-    monkeypatch.setattr(topk, "GROUP_ROWS", 7)
+    monkeypatch.setattr(topk, "GROUP_BLOCKS", 2)
     rng = np.random.default_rng(3)
     x = rng.standard_normal((300, 8)) / 3
     x[100:150] = x[20]  # ties
@@ -224,6 +224,50 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.filter("vec_id in (0, 3, 4)"), F.col("vec_id") % 20 == 0, k=20, dims=8).count() == 2
 
 
+def test_search_stops_before_the_lists_end():
+    """Vectors with most energy in few dimensions: the bound ends the search; with a floor, sooner still. All is exact."""
+    rng = np.random.default_rng(7)
+    x = np.floor(rng.standard_normal((3000, 16)) * 64 / (1 + np.arange(16)) ** 1.5)
+    q, ids = x[:40], np.arange(3000)
+    none = np.full(40, -np.inf)
+    best, best_ids, scored = topk.search(q, ids[:40], none, x, ids, 20)
+    s = q @ x.T
+    s[np.arange(40), np.arange(40)] = -np.inf
+    order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :20]
+    assert (best_ids == order).all() and (best == np.take_along_axis(s, order, 1)).all()
+    assert scored < 0.5 * 40 * 3000
+    again = topk.search(q, ids[:40], best[:, -1], x, ids, 20)
+    assert (again[1] == order).all() and again[2] <= scored
+    assert topk.search(q, ids[:40], np.full(40, 1e9), x, ids, 20)[2] == 0
+
+
+def test_far_blocks_are_not_sent(spark, monkeypatch, tmp_path):
+    """Clusters along different axes: groups get few of the blocks, and the result is that of all pairs."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(topk, "GROUP_BLOCKS", 1)
+    written = {}
+    real = topk.stored
+
+    def kept(df, tag):
+        written[tag] = real(df, tag)
+        return written[tag]
+
+    monkeypatch.setattr(topk, "stored", kept)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([3 * np.eye(8)[i % 4] * (1 if i < 4 else -1) + rng.standard_normal((120, 8)) / 10 for i in range(8)])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=20, dims=8).collect())
+    v = np.floor(64 * x)
+    want = []
+    for i in range(0, len(x), 20):
+        s = v @ v[i]
+        s[i] = -np.inf
+        want += [(i, r + 1, int(j), int(s[j])) for r, j in enumerate(np.lexsort((np.arange(len(x)), -s))[:20])]
+    assert got == sorted(want)
+    blocks = written["topk-boxes"].count()
+    assert blocks > 5 and written["topk-cells"].count() < blocks * blocks / 2
+
+
 def test_mixing(docs, empty):
     rows = [r.asDict() for r in mixing.mix_table(docs, [5, 2, 1]).collect()]
     assert len(rows) == docs.count()
