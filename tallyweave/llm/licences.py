@@ -1,12 +1,14 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences; each is normalised (A-Z lower-cased, all but letters and digits to single spaces) and
-looked up among known licence sentences. A sentence over several lines that isn't known as a whole is looked up line
-by line. The identifiers in text order are then matched against ordered rules: a rule is a run of identifiers, earlier
-rules go first and use up what they match. Sentences that speak of a licence but are not known are counted.
+A text is cut into sentences, at marks that end one and at blank lines, comment marks aside. Each is normalised (A-Z
+lower-cased, all but letters and digits to single spaces, so line breaks and comment marks don't matter) and the known
+licence sentences in it are named: usually it is one as a whole, but a title or copyright line without a full stop may
+stand before it, or an address after it. The identifiers in text order are then matched against ordered rules: a rule is
+a run of identifiers, earlier rules go first and use up what they match. Sentences that speak of a licence but hold no
+known one are counted.
 
-Everything is one projection of built-in functions: no shuffle, no Python. Texts without any cue word, which every
-known sentence has, skip the cutting.
+Everything is one projection of built-in functions: no shuffle, no Python. Texts and sentences without any cue word,
+which every known sentence has, are passed over.
 
 Defined results: a null or empty text has no sentences and no licences. Repeated rows are scanned one by one. Only
 doc_id and text are read.
@@ -21,10 +23,12 @@ from .common import ascii_lower
 
 #: Known licence sentences, normalised, by identifier (fixed values).
 SENTENCES = {
+    "ApacheTitle": "apache license version 2 0 january 2004",
     "ApacheLic": "licensed under the apache license version 2 0",
     "ApacheLicWkVer": "licensed under the apache license version 2 0 the license",
     "ApacheNotUse": "you may not use this file except in compliance with the license",
-    "ApacheObtain": "you may obtain a copy of the license at http www apache org licenses license 2 0",
+    "ApacheObtain": "you may obtain a copy of the license at",
+    "ApacheUrl": "http www apache org licenses license 2 0",
     "ApacheUnless": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "ApacheSee": "see the license for the specific language governing permissions and limitations under the license",
     "MITrel": "released under the mit license",
@@ -33,35 +37,60 @@ SENTENCES = {
     "MITperm": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "MITnotice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "MITasis": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "ISCperm": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "GPL2title": "gnu general public license version 2 june 1991",
+    "GPL3title": "gnu general public license version 3 29 june 2007",
     "GPL3work": "this work is licensed under the gnu general public license version 3",
     "GPL3lic": "licensed under the gnu general public license version 3",
     "GPLfree": "this program is free software",
-    "GPL2orLater": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "GPL3orLater": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "GPLnoWarranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "GPLterms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "GPLv2later": "either version 2 of the license or at your option any later version",
+    "GPLv3later": "either version 3 of the license or at your option any later version",
+    "GPLnoWarranty": "this program is distributed in the hope that it will be useful but without any warranty",
     "GPLreceived": "you should have received a copy of the gnu general public license along with this program",
+    "AGPLterms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "LGPL21title": "gnu lesser general public license version 2 1 february 1999",
+    "LGPL3title": "gnu lesser general public license version 3 29 june 2007",
+    "LGPLfree": "this library is free software",
+    "LGPLterms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "LGPLv21later": "either version 2 1 of the license or at your option any later version",
+    "MPLtitle": "mozilla public license version 2 0",
+    "MPLform": "this source code form is subject to the terms of the mozilla public license v",
+    "MPLobtain": "if a copy of the mpl was not distributed with this file you can obtain one at",
     "CCBYNC4": "licensed under cc by nc 4 0",
     "CCBY4": "licensed under cc by 4 0",
     "CCBYSA4": "licensed under cc by sa 4 0",
     "BSDredist": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "BSDsource": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "BSDbinary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "BSDendorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "BSDendorse": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "Unlicense": "this is free and unencumbered software released into the public domain",
     "AllRights": "all rights reserved",
 }
 
 #: Ordered rules: licence, and the run of identifiers that states it (fixed values).
 RULES = [
-    ("Apache-2.0", ["ApacheLicWkVer", "ApacheNotUse", "ApacheObtain", "ApacheUnless", "ApacheSee"]),
+    ("Apache-2.0", ["ApacheLicWkVer", "ApacheNotUse", "ApacheObtain", "ApacheUrl", "ApacheUnless", "ApacheSee"]),
     ("MIT", ["MITperm", "MITnotice", "MITasis"]),
     ("BSD-3-Clause", ["BSDredist", "BSDsource", "BSDbinary", "BSDendorse"]),
     ("BSD-2-Clause", ["BSDredist", "BSDsource", "BSDbinary"]),
-    ("GPL-3.0-or-later", ["GPLfree", "GPL3orLater", "GPLnoWarranty", "GPLreceived"]),
-    ("GPL-2.0-or-later", ["GPLfree", "GPL2orLater", "GPLnoWarranty", "GPLreceived"]),
-    ("GPL-3.0-or-later", ["GPLfree", "GPL3orLater"]),
-    ("GPL-2.0-or-later", ["GPLfree", "GPL2orLater"]),
+    ("ISC", ["ISCperm"]),
+    ("GPL-3.0-or-later", ["GPLfree", "GPLterms", "GPLv3later"]),
+    ("GPL-2.0-or-later", ["GPLfree", "GPLterms", "GPLv2later"]),
+    ("AGPL-3.0-or-later", ["GPLfree", "AGPLterms", "GPLv3later"]),
+    ("LGPL-2.1-or-later", ["LGPLfree", "LGPLterms", "LGPLv21later"]),
+    ("LGPL-3.0-or-later", ["LGPLfree", "LGPLterms", "GPLv3later"]),
+    ("LGPL-3.0-or-later", ["GPLfree", "LGPLterms", "GPLv3later"]),
+    ("MPL-2.0", ["MPLform", "MPLobtain"]),
+    ("MIT", ["MITperm"]),
+    ("Apache-2.0", ["ApacheTitle"]),
     ("Apache-2.0", ["ApacheLicWkVer"]),
     ("Apache-2.0", ["ApacheLic"]),
+    ("GPL-2.0", ["GPL2title"]),
+    ("GPL-3.0", ["GPL3title"]),
+    ("LGPL-2.1", ["LGPL21title"]),
+    ("LGPL-3.0", ["LGPL3title"]),
+    ("MPL-2.0", ["MPLtitle"]),
     ("MIT", ["MITthis"]),
     ("MIT", ["MITrel"]),
     ("MIT", ["MITlic"]),
@@ -70,12 +99,25 @@ RULES = [
     ("CC-BY-NC-4.0", ["CCBYNC4"]),
     ("CC-BY-SA-4.0", ["CCBYSA4"]),
     ("CC-BY-4.0", ["CCBY4"]),
+    ("Unlicense", ["Unlicense"]),
 ]
 
 #: Words that a licence sentence has one of (fixed values).
-CUES = ["licen", "permission", "copyright", "redistribut", "free software", "without warranty", "any warranty", "rights reserved"]
+CUES = ["licen", "permission", "copyright", "redistribut", "free software", "without warranty", "any warranty", "rights reserved", "of the mpl", "unencumbered"]
 #: Words of which a text with any cue has one, however its lines are broken (fixed values).
-CUE_WORDS = ["licen", "permission", "copyright", "redistribut", "software", "warranty", "reserved"]
+CUE_WORDS = ["licen", "permission", "copyright", "redistribut", "software", "warranty", "reserved", "mpl"]
+#: A blank line, comment marks aside, and the end of a sentence.
+BLANK, END = r"\n[ \t\r#*/;%>|!-]*\n", r"([.!?;:])[ \t\r\n]+"
+
+
+def doubled(sentence: str) -> str:
+    """Spaces doubled: two known sentences side by side then both have a space of their own around them."""
+    return sentence.replace(" ", "  ")
+
+
+def any_known(sentences: dict[str, str] = SENTENCES) -> str:
+    """Pattern of a known sentence, the longest first, in a doubled one."""
+    return " (" + "|".join(doubled(x) for x in sorted(sentences.values(), key=lambda x: (-len(x), x))) + ") "
 
 
 def normalised(sentence: Column) -> Column:
@@ -89,25 +131,15 @@ def _cued(lowered: Column, cues: list[str] = CUES) -> Column:
     return out
 
 
-def _known(sentence: Column, known: Column) -> Column:
-    """Identifier of a sentence, ``?`` if it only has a cue, else an empty string."""
-    plain = normalised(sentence)
-    return F.coalesce(F.try_element_at(known, plain), F.when(_cued(plain), "?").otherwise(""))
-
-
 def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """Identifiers of a text's licence sentences in order, ``?`` for those that aren't known."""
-    known = F.create_map(*(F.lit(x) for k, v in sentences.items() for x in (v, k)))
-    ended = F.regexp_replace(text, "([.!?;:])[ \\t\\r\\n]+", "$1\u0001")
-    found = F.transform(
-        F.split(ended, "\u0001"),
-        lambda s: F.when(
-            s.contains("\n") & (F.try_element_at(known, normalised(s)).isNull()),
-            F.transform(F.split(s, "\n"), lambda line: _known(line, known)),
-        ).otherwise(F.array(_known(s, known))),
-    )
-    ids = F.filter(F.flatten(found), lambda i: i != "")
-    return F.when(_cued(ascii_lower(text), CUE_WORDS), ids).otherwise(F.array().cast("array<string>"))
+    names = F.create_map(*(F.lit(x) for k, v in sentences.items() for x in (doubled(v), k)))
+    cut = F.regexp_replace(F.regexp_replace(text, BLANK, "\u0001"), END, "$1\u0001")
+    cued = F.filter(F.transform(F.split(cut, "\u0001"), normalised), lambda s: _cued(s))
+    wide = F.transform(cued, lambda s: F.concat(F.lit(" "), F.replace(s, F.lit(" "), F.lit("  ")), F.lit(" ")))
+    found = F.transform(wide, lambda s: F.regexp_extract_all(s, F.lit(any_known(sentences)), F.lit(1)))
+    ids = F.transform(found, lambda f: F.when(F.size(f) > 0, F.transform(f, lambda x: F.try_element_at(names, x))).otherwise(F.array(F.lit("?"))))
+    return F.when(_cued(ascii_lower(text), CUE_WORDS), F.flatten(ids)).otherwise(F.array().cast("array<string>"))
 
 
 def licences(ids: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:

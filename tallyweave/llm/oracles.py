@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
-from .licences import CUES, RULES, SENTENCES
+from .licences import BLANK, CUES, END, RULES, SENTENCES, any_known, doubled
 
 
 def _op3() -> str:
     plain = lambda c: f"trim(regexp_replace(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
-    cased = " ".join(f"WHEN p = '{v}' THEN '{k}'" for k, v in SENTENCES.items())
-    cued = lambda c: " OR ".join(f"contains({c}, '{x}')" for x in CUES)
+    cased = " ".join(f"WHEN '{doubled(v)}' THEN '{k}'" for k, v in SENTENCES.items())
+    cued = " OR ".join(f"contains(p, '{x}')" for x in CUES)
     steps, last = [], "s0"
     for i, (name, run) in enumerate(RULES, 1):
         run = "".join(f"<{x}>" for x in run)
         steps.append(f"s{i} AS (SELECT doc_id, replace(seq, '{run}', '|') AS seq, CASE WHEN contains(seq, '{run}') THEN list_append(found, '{name}') ELSE found END AS found FROM {last})")
         last = f"s{i}"
     return f"""
-WITH cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+WITH cut AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{BLANK}', chr(1), 'g'), '{END}', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
 one AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM cut),
-known AS (SELECT *, {plain("s")} AS p FROM one),
-lines AS (SELECT doc_id, i, 0 AS j, s FROM known WHERE NOT contains(s, chr(10)) OR p IN ({", ".join(f"'{v}'" for v in SENTENCES.values())})
-          UNION ALL SELECT doc_id, i, generate_subscripts(string_split(s, chr(10)), 1) AS j, unnest(string_split(s, chr(10))) AS s
-          FROM known WHERE contains(s, chr(10)) AND p NOT IN ({", ".join(f"'{v}'" for v in SENTENCES.values())})),
-plain AS (SELECT doc_id, i, j, {plain("s")} AS p FROM lines),
-named AS (SELECT doc_id, i, j, CASE {cased} WHEN {cued("p")} THEN '?' END AS id FROM plain),
+plain AS (SELECT doc_id, i, {plain("s")} AS p FROM one),
+matched AS (SELECT doc_id, i, regexp_extract_all(' ' || replace(p, ' ', '  ') || ' ', '{any_known()}', 1) AS m FROM plain WHERE {cued}),
+named AS (SELECT doc_id, i, CASE WHEN len(m) = 0 THEN ['?'] ELSE list_transform(m, lambda x: CASE x {cased} END) END AS id FROM matched),
 ids AS (SELECT d.doc_id, coalesce(n.ids, []::VARCHAR[]) AS ids FROM documents d
-        LEFT JOIN (SELECT doc_id, list(id ORDER BY i, j) AS ids FROM named WHERE id IS NOT NULL GROUP BY doc_id) n ON d.doc_id = n.doc_id),
+        LEFT JOIN (SELECT doc_id, flatten(list(id ORDER BY i)) AS ids FROM named GROUP BY doc_id) n ON d.doc_id = n.doc_id),
 s0 AS (SELECT doc_id, '<' || array_to_string(ids, '><') || '>' AS seq, []::VARCHAR[] AS found FROM ids),
 {", ".join(steps)}
 SELECT ids.doc_id, list_filter(ids.ids, lambda x: x <> '?') AS sentences,
