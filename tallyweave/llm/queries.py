@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, licences, mixing, sentencepiece, simhash, substrings, topk, toxicity, url_filter, winnow
-from .common import table
+from .common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,8 +48,8 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return url_filter.filter_urls(pages, URL_RULES, url_filter.listed_urls(pages, LISTED_SITES))
+    rows = stored(url_filter.addressed(table(spark, sf_dir, "pages")), "url-addresses")
+    return url_filter.filter_urls(rows, URL_RULES, stored(url_filter.listed_urls(rows, LISTED_SITES), "url-list"))
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule, is on no list and is
 allowed. Repeated pages are judged one by one. Only ``page_id`` and ``url`` are read, so further columns can't clash.
-An empty list blocks nothing.
+An empty list blocks nothing. Where one address has very many pages, the hits on it are joined in one task unless adaptive
+execution splits it; a page that the filter settles moves nowhere.
 """
 
 from __future__ import annotations
@@ -89,15 +90,17 @@ def on_list(keyed: DataFrame, key: str, listed: DataFrame) -> DataFrame:
     index = bloom_filter(listed, blocks)
     if blocks <= BROADCAST_BLOCKS:
         index = F.broadcast(index)
-    block, masks = _place(F.col(key), blocks)
-    probed = keyed.withColumns({"block": block, **{f"m{i}": m for i, m in enumerate(masks)}}).join(index, "block", "left")
-    may = F.col(key).isNotNull() & F.col("w0").isNotNull()
+    rows = keyed.filter(F.col(key).isNotNull()).select(F.struct(*keyed.columns).alias("row"), F.col(key).alias("url"))
+    block, masks = _place(F.col("url"), blocks)
+    probed = rows.withColumns({"block": block, **{f"m{i}": m for i, m in enumerate(masks)}}).join(index, "block", "left")
+    may = F.col("w0").isNotNull()
     for i in range(WORDS):
         may = may & (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}"))
-    probed = probed.select(*keyed.columns, F.coalesce(may, F.lit(False)).alias("may"))
-    hits = probed.filter("may").join(listed.select(F.col("url").alias(key), F.lit(True).alias("there")), key, "left")
-    hits = hits.select(*keyed.columns, F.coalesce("there", F.lit(False)).alias("listed"))
-    return hits.unionByName(probed.filter("not may").select(*keyed.columns, F.lit(False).alias("listed")))
+    probed = probed.select("row", "url", F.coalesce(may, F.lit(False)).alias("may"))
+    hits = probed.filter("may").join(listed.select("url", F.lit(True).alias("there")), "url", "left")
+    none = keyed.filter(F.col(key).isNull()).select(*keyed.columns, F.lit(False).alias("listed"))  # they share a block, but no list
+    hits = hits.select("row.*", F.coalesce("there", F.lit(False)).alias("listed"))
+    return hits.unionByName(probed.filter("not may").select("row.*", F.lit(False).alias("listed"))).unionByName(none)
 
 
 def addressed(pages: DataFrame) -> DataFrame:
@@ -108,18 +111,17 @@ def addressed(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "host", "path", canonical(F.col("url"), F.col("host"), F.col("path")).alias("address"))
 
 
-def listed_urls(pages: DataFrame, sites: list[str]) -> DataFrame:
-    """Distinct canonical URLs of the pages on one of the ``sites`` (a label of the host)."""
-    rows = addressed(pages)
+def listed_urls(rows: DataFrame, sites: list[str]) -> DataFrame:
+    """Distinct canonical URLs of the addressed ``rows`` on one of the ``sites`` (a label of the host)."""
     return rows.filter(F.arrays_overlap(F.split("host", "\\."), F.array(*map(F.lit, sites)))).select(F.col("address").alias("url")).distinct()
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame) -> DataFrame:
-    """(page_id, host, path, rule, verdict, listed) of every page.
+def filter_urls(rows: DataFrame, rules: list[Rule], listed: DataFrame) -> DataFrame:
+    """(page_id, host, path, rule, verdict, listed) of every page, from ``addressed`` rows and a list of canonical URLs.
 
     A rule's verdict holds where one fits; else a page is blocked if its canonical URL is on the list.
     """
-    rows = addressed(pages).withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
+    rows = rows.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
     verdict = F.when(F.col("listed"), "block").otherwise("allow")
     for r in rules:
         verdict = F.when(F.col("rule") == r.name, F.lit(r.verdict)).otherwise(verdict)
