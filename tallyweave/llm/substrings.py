@@ -5,7 +5,8 @@ with a smaller doc_id. Only some places are indexed: anchors of ``ANCHOR`` words
 remainder modulo ``PERIOD`` is in a difference cover. Wherever the same window starts in two documents, some offset in
 it is a cover position in both, so the two share an anchor there; documents that share no anchor share no window.
 
-1. Each anchor is hashed alone and with its context, all words that a window over it can reach. Anchors of equal
+1. Each anchor is hashed alone and with its context, all words that a window over it can reach. Documents are matched by
+   both hashes together, 128 bits, as windows are; a document then finds its own anchors by the context's hash alone. Anchors of equal
    context have equal windows: there the smallest doc_id keeps them, and the others' windows over the anchor go
    (``covered``). Where one anchor occurs in several contexts, its windows are compared one by one (``check``).
 2. The windows over anchors to check are hashed (128 bits); of equal ones the smallest doc_id keeps its own.
