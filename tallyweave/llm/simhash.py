@@ -371,59 +371,114 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([node, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
-def _fits(x: str, y: str, tenths: int) -> Column:
-    """Whether sets of these sizes can be as similar as that."""
-    return 10 * F.least(x, y) >= tenths * F.greatest(x, y)
+def shared_counts(of: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarray:
+    """How many shingles each two of ``n`` sets have in common; ``shingles`` belong to the sets ``of``, each at most once."""
+    _, column, count = np.unique(shingles, return_inverse=True, return_counts=True)
+    several = count > 1
+    keep = several[column]
+    row, column = of[keep], (np.cumsum(several) - 1)[column[keep]]
+    out = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(several.sum()), 4096):  # so many shingles at a time
+        i, j = np.searchsorted(column, [lo, lo + 4096])
+        part = np.zeros((n, 4096), np.float32)
+        part[row[i:j], column[i:j] - lo] = 1
+        out += part @ part.T
+    return out
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of at least ``tenths`` tenths."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return stored(both.filter((10 + tenths) * shared >= tenths * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
+def _similar(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.RecordBatch]:
+    """Links (node, smallest node of its group there) of units, from (a, b, node, side, keys, shingles) sorted by unit.
 
+    A unit's sets are compared if they share a key and, where it has two sides, lie on different ones. Rows of one node
+    follow one another, its shingles dealt over them.
+    """
+    held: list[tuple] = []
+
+    def found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        names = sorted({r[1] for r in rows})
+        if len(names) < 2:
+            return
+        place, n = {x: i for i, x in enumerate(names)}, len(names)
+        of = np.concatenate([np.full(len(r[4]), place[r[1]]) for r in rows])
+        size = np.bincount(of, minlength=n)
+        side = np.zeros(n, np.int64)
+        near, members = np.zeros((n, n), bool), {}
+        for _, node, s, keys, _ in rows:
+            side[place[node]] = s
+            for k in () if keys is None else keys:
+                members.setdefault(k, set()).add(place[node])
+        for group in members.values():
+            if len(group) > 1:
+                near[np.ix_(list(group), list(group))] = True
+        near &= 10 * np.minimum(size[:, None], size) >= tenths * np.maximum(size[:, None], size)
+        if side.any():
+            near &= side[:, None] != side
+        near &= np.triu(np.ones((n, n), bool), 1)
+        if not near.any():
+            return
+        shared = shared_counts(of, np.concatenate([r[4] for r in rows]), n)
+        i, j = np.nonzero(near & ((10 + tenths) * shared >= tenths * (size[:, None] + size)))
+        label = _smallest(np.arange(n), i, j)
+        node = np.array(names, np.int64)
+        low = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(low, label, node)
+        moved = low[label] != node
+        if moved.any():
+            yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(low[label][moved])], names=["a", "b"])
 
-def _across(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of nodes in different components from (unit, node, root, side, size) sorted by unit.
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(4)]
+        keys, sets = batch.column(4).to_pylist(), batch.column(5)
+        for i, (a, b, node, side) in enumerate(zip(*columns, strict=True)):
+            if held and held[0][0] != (a, b):
+                yield from found(held)
+                held = []
+            held.append(((a, b), node, side, keys[i], sets[i].values.to_numpy()))
+    if held:
+        yield from found(held)
 
-    A unit is one block of a bucket, or two that are compared with each other. Sizes must allow the similarity.
-    """
-    for _, node, root, side, size in runs(batches, 1, 5):
-        two = side.min() != side.max()
-        fit = (root[:, None] != root) & (10 * np.minimum(size[:, None], size) >= tenths * np.maximum(size[:, None], size))
-        fit &= (side[:, None] < side) if two else (node[:, None] < node)
-        a, b = np.nonzero(fit)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
+def units(nodes: DataFrame, block: int) -> DataFrame:
+    """(a, b, node, side): which sets are compared with which, so that any two that share a key meet.
 
-def similar_links(texts: DataFrame, nodes: DataFrame, tenths: int, block: int = 512, words: int = 5) -> DataFrame:
+    A node is at home in its most frequent key; homes are cut into blocks of about ``block`` nodes. Unit (a, a) has a
+    block's own nodes, unit (a, b) those of two blocks with a key in common that have it.
+    """
+    rows = nodes.select(F.explode("keys").alias("key"), "node")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stored(rows.join(shared, "key"), "near-members")
+    home = members.groupBy("node").agg(F.max_by("key", F.struct("n", "key")).alias("home"))
+    sizes = home.groupBy("home").agg(F.count("*").alias("m"))
+    home = home.join(sizes, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / block))))
+    members = stored(members.join(home.select("node", "block"), "node").select("key", "node", "block"), "near-blocks")
+    met = members.select("key", "block").distinct()
+    several = met.groupBy("key").agg(F.count("*").alias("blocks")).filter("blocks > 1").select("key")
+    met = met.join(several, "key").select(F.col("key"), F.col("block").alias("other"))
+    across = members.join(met, "key").filter("block <> other")
+    across = across.select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "node", (F.col("block") > F.col("other")).cast("int").alias("side")).distinct()
+    return members.select(F.col("block").alias("a"), F.col("block").alias("b"), "node", F.lit(0).alias("side")).distinct().unionByName(across)
+
+
+def similar_links(texts: DataFrame, nodes: DataFrame, tenths: int, block: int = 512, words: int = 5, chunk: int = 1024) -> DataFrame:
     """(a, b): links whose components are those of all pairs that share a band key and are similar enough.
 
     ``texts``: (row, text); ``nodes``: (node, row, keys, size), row being that of one of its texts. Only texts of nodes
-    that share a key are read for their sets. A bucket is the nodes of one key. First each node is
-    compared with the smallest of each of its buckets; then, in the buckets whose nodes aren't one component yet, all
-    pairs across components are, by blocks of ``block`` nodes, so that a large bucket is spread over tasks.
+    that share a key are read for their sets, and a set goes to each of its units once, however many keys it shares
+    there; long sets in rows of ``chunk`` shingles.
     """
-    rows = nodes.select(F.explode("keys").alias("key"), "node", "size")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("low")).filter("n > 1")
-    members = stored(rows.join(stored(shared, "near-keys"), "key"), "near-buckets")
-    star = members.filter((F.col("node") != F.col("low.node")) & _fits("size", "low.size", tenths))
-    asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select("row")
+    where = stored(units(nodes, block), "near-units")
+    asked = nodes.join(where.select("node").distinct(), "node", "left_semi").select("row")
     sets = texts.join(asked, "row", "left_semi").dropDuplicates(["row"]).select("row", "text")
     sets = stored(sets.mapInArrow(lambda b: _sets(b, words), "node long, shingles array<long>"), "near-sets")
-    first = _confirmed(star.select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct(), sets, tenths)
-    roots = components(first).select(F.col("a").alias("node"), F.col("b").alias("root"))
-    placed = stored(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-placed")
-    apart = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = placed.join(stored(apart, "near-apart"), "key", "left_semi").withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    unit = F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other"))
-    units = units.select(unit.alias("unit"), "node", "root", F.col("side").cast("bigint").alias("side"), F.col("size").cast("bigint").alias("size"))
+    sets = sets.join(nodes.select("node", "keys"), "node")
+    start = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("shingles")), F.lit(chunk)))
+    sets = sets.select("node", "keys", "shingles", start.alias("s"))
+    sets = sets.select("node", F.when(F.col("s") == 1, F.col("keys")).alias("keys"), F.slice("shingles", F.col("s"), F.lit(chunk)).alias("shingles"))
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = units.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(lambda b: _across(b, tenths), "a long, b long")
-    return first.unionByName(_confirmed(pairs.distinct(), sets, tenths))
+    rows = where.join(sets, "node").select("a", "b", "node", "side", "keys", "shingles").repartition(n, "a", "b").sortWithinPartitions("a", "b", "node")
+    return rows.mapInArrow(lambda b: _similar(b, tenths), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, tenths: int = 8, rows: int = 5, bands: int = 20) -> DataFrame:

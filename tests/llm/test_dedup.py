@@ -216,6 +216,33 @@ def test_similar_links_compare_all_pairs_of_a_bucket(spark, block):
     assert got == {frozenset(nodes[i : i + 2]) for i in range(1, 21, 2)}
 
 
+def test_shared_counts():
+    rng = np.random.default_rng(10)
+    sets = [np.unique(rng.integers(0, 9000, k)) for k in (5000, 4000, 1, 0, 7000)]
+    got = simhash.shared_counts(np.repeat(np.arange(5), [len(x) for x in sets]), np.concatenate(sets), 5)
+    for i in range(5):
+        for j in range(5):
+            if i != j:
+                assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
+@pytest.mark.parametrize(("block", "chunk"), [(512, 1024), (20, 7)])
+def test_one_large_group_of_near_copies(spark, monkeypatch, block, chunk):
+    """300 texts that each differ from one text in up to a dozen words: no two need be alike enough, chains are."""
+    rng = np.random.default_rng(13)
+    base = [f"w{i}" for i in rng.integers(0, 500, 150)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.integers(0, 150, rng.integers(0, 7)):
+            words[at] = f"w{rng.integers(0, 500)}"
+        rows.append((i, " ".join(words)))
+    real = simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda *a, **k: real(*a, **k, block=block, chunk=chunk))
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == first_of_each(rows)
+
+
 def plain_choices(text, k=8, window=32):
     return winnow.chosen(winnow.code_points(text), k, window)
 
