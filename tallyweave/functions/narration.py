@@ -39,9 +39,9 @@ def is_self(text: Column) -> Column:
     return F.lower(text).rlike(_any(SELF_MARKS, False))
 
 
-def channel(text: Column) -> Column:
+def channel(text: Column, fee: Column) -> Column:
     """Payment rail: fees first, then the prefix."""
-    out = F.when(is_fee(text), "CHARGE")
+    out = F.when(fee, "CHARGE")
     for prefix in ("UPI", "IMPS", "NEFT"):
         out = out.when(text.startswith(prefix), prefix)
     return out.when(text.startswith("RTGS") | text.startswith("R/"), "RTGS").when(text.startswith("FT ") | text.startswith("FT-"), "FT").otherwise("OTHER")
@@ -56,13 +56,13 @@ def extracted(transactions: DataFrame, bank: DataFrame) -> DataFrame:
 
     Bank codes are no names: they join the stopwords as a one-row table of distinct codes, which has a few rows only.
     """
-    codes = bank.filter("bank_code is not null").agg(F.collect_set(F.upper("bank_code")).alias("__codes"))
-    rows = transactions.crossJoin(F.broadcast(codes))
-    stop = F.concat(F.array(*map(F.lit, STOPWORDS)), F.col("__codes"))
-    text = F.col("description")
-    best = longest(names(text, stop))
-    raw = F.when(is_fee(text), FEE).when(is_self(text), SELF).when(best.isNotNull(), F.trim(F.split_part(best, F.lit("  "), F.lit(1))))
-    return rows.withColumns({"channel": channel(text), "merchant_raw": raw, "txn_month": month(F.col("transaction_date"))}).drop("__codes")
+    codes = F.collect_set(F.when(F.col("bank_code").isNotNull(), F.upper("bank_code")))
+    stop = bank.agg(F.concat(F.array(*map(F.lit, STOPWORDS)), codes).alias("__stop"))
+    text, best, fee = F.col("description"), F.col("__best"), F.col("__fee")
+    # both are read more than once below, so they are columns of a projection of their own
+    rows = transactions.crossJoin(F.broadcast(stop)).withColumns({"__fee": is_fee(text), "__best": longest(names(text, F.col("__stop")))})
+    raw = F.when(fee, FEE).when(is_self(text), SELF).when(best.isNotNull(), F.trim(F.split_part(best, F.lit("  "), F.lit(1))))
+    return rows.withColumns({"channel": channel(text, fee), "merchant_raw": raw, "txn_month": month(F.col("transaction_date"))}).drop("__stop", "__best", "__fee")
 
 
 def _sql_list(values: list[str]) -> str:
@@ -75,9 +75,9 @@ ORACLE = f"""
 stops AS (SELECT {_sql_list(STOPWORDS)} || list(DISTINCT upper(bank_code)) AS stop FROM bank),
 cut AS (SELECT txn.*, CASE WHEN contains(description, '/') THEN string_split(description, '/') WHEN contains(description, ' - ') THEN string_split(description, ' - ')
                            WHEN contains(description, '-') THEN string_split(description, '-') ELSE [description] END AS parts FROM txn),
-named AS (SELECT cut.*, list_filter(list_transform(parts, lambda x: trim(x)), lambda x: regexp_matches(x, '^[A-Za-z][A-Za-z .&''-]{{2,}}$')
+namely AS (SELECT cut.*, list_filter(list_transform(parts, lambda x: trim(x)), lambda x: regexp_matches(x, '^[A-Za-z][A-Za-z .&''-]{{2,}}$')
                  AND NOT list_contains(stop, upper(x)) AND NOT regexp_matches(x, '^X+$')) AS names FROM cut, stops),
-best AS (SELECT *, list_aggregate(list_transform(names, lambda x: length(x)), 'max') AS longest FROM named),
+best AS (SELECT *, list_aggregate(list_transform(names, lambda x: length(x)), 'max') AS longest FROM namely),
 extracted AS (SELECT transaction_id, account_id, transaction_date, transaction_type, description, transaction_amount, transaction_reference_id, utr_number,
        CASE WHEN regexp_matches(lower(description), '{_FEE_SQL}') THEN 'CHARGE'
             WHEN starts_with(description, 'UPI') THEN 'UPI' WHEN starts_with(description, 'IMPS') THEN 'IMPS' WHEN starts_with(description, 'NEFT') THEN 'NEFT'

@@ -57,6 +57,18 @@ def merchant_dim(fact: DataFrame) -> DataFrame:
     )
 
 
+def dim_of_rollup(rollup: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The same dimension from the rollup, which is far smaller than the fact, and the names' confidence."""
+    sure = aliases.groupBy("merchant_norm").agg(F.max("kind_confidence").alias("kind_confidence"))
+    total = lambda way: F.coalesce(F.sum(F.when(F.col("transaction_type") == way, F.col("total_amount"))), F.lit(0)).cast(MONEY)
+    per = rollup.groupBy("entity_id", "merchant_norm").agg(
+        F.min("counterparty_kind").alias("counterparty_kind"), F.sum("txn_count").alias("txn_count"), total("debit").alias("total_debit"), total("credit").alias("total_credit"),
+        F.min("txn_month").alias("first_month"), F.max("txn_month").alias("last_month"), F.count_distinct("txn_month").alias("active_months"),
+    )
+    per = per.join(sure, "merchant_norm", "left").withColumn("kind_confidence", F.coalesce("kind_confidence", F.lit(0.0)))
+    return per.select("entity_id", "merchant_norm", "counterparty_kind", "kind_confidence", "txn_count", "total_debit", "total_credit", "first_month", "last_month", "active_months")
+
+
 def rollup(fact: DataFrame) -> DataFrame:
     """Totals per entity, counterparty, kind, month and direction, with the days of the first and last transaction."""
     day = F.col("transaction_date").cast("date")

@@ -68,7 +68,7 @@ def monthly_change(payouts: DataFrame) -> DataFrame:
     return rows.withColumn("change", (F.col("total") - before).cast(MONEY))
 
 
-def outliers(payouts: DataFrame, vendors: DataFrame, start: date, end: date) -> DataFrame:
+def outliers(payouts: DataFrame, vendors: DataFrame, start: date, end: date, deviations: float = 2.0, times: float = 1.8) -> DataFrame:
     """Payouts of a window far above what their vendor gets otherwise.
 
     Mean and deviation come from the payouts outside the window, or from all where fewer than two lie outside; an
@@ -84,10 +84,18 @@ def outliers(payouts: DataFrame, vendors: DataFrame, start: date, end: date) ->
     mean, sd = F.when(enough, F.col("mean_out")).otherwise(F.col("mean_all")), F.when(enough, F.col("sd_out")).otherwise(F.col("sd_all"))
     stats = stats.select("vendor_id", F.when(enough, F.col("n_out")).otherwise(F.col("n_all")).alias("n"), mean.alias("mean"), F.coalesce(sd, 0.3 * mean).alias("sd"))
     rows = payouts.filter(inside).join(stats, "vendor_id").join(vendors, "vendor_id")
-    odd = rows.filter((x > F.col("mean") + 2 * F.col("sd")) & (x > 1.8 * F.col("mean")) & (F.col("n") >= 2))
+    odd = rows.filter((x > F.col("mean") + deviations * F.col("sd")) & (x > times * F.col("mean")) & (F.col("n") >= 2))
     return odd.select("vendor_name", "payout_key", "line", "payout_date", "amount", F.round("mean", 2).alias("usual"), F.round(x / F.col("mean"), 1).alias("times"))
 
 
+def listed(payouts: DataFrame, vendors: DataFrame, n: int = 50, statuses: list[str] | None = None, category: str | None = None) -> DataFrame:
+    """The newest payouts that a filter lets through, with their number and sum over all that match."""
+    rows = filtered(payouts, statuses, category)
+    whole = rows.agg(F.count("*").alias("matches"), _sum().alias("match_total"))
+    first = rows.join(vendors, "vendor_id").orderBy(F.desc("payout_date"), F.desc("amount"), "payout_key", "line", "vendor_name", "status", "category").limit(n)
+    return first.select("payout_key", "line", "vendor_name", "payout_date", "amount", "status", "category").crossJoin(F.broadcast(whole))
+
+
 def mentioned_vendors(texts: DataFrame, vendors: DataFrame, common: list[str] | None = None) -> DataFrame:
     """(text_id, vendor_id) of vendors with a distinctive word, of over four letters, in the text."""
     words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9#]+"), lambda w: (F.length(w) > 4) & ~w.isin(*(common or ["limited", "services", "company"])))))

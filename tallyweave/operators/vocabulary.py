@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, similarity
@@ -43,18 +43,18 @@ def similar_pairs(names_: DataFrame, least: float = CLUSTER_FROM) -> DataFrame:
     return scored.filter(F.col("score") >= least)
 
 
-def clusters(counted: DataFrame, least: float = CLUSTER_FROM, rounds: int = 50) -> DataFrame:
+def clusters(counted: DataFrame, least: float = CLUSTER_FROM) -> DataFrame:
     """(name, canonical) from (name, freq): each name goes to the best anchor, as one pass by falling frequency would.
 
     A name is an anchor if none of the names before it that are like it is one. That is settled in rounds, for all
-    names at once; short names are anchors always.
+    names at once, until none is open: the first open name in rank is settled in every round. Short names are anchors always.
     """
     ranked = counted.select("name", "freq").withColumn("rank", F.struct((-F.col("freq")).alias("f"), F.col("name").alias("n")))
     ranked = stored(ranked, "names")
     edges = similar_pairs(ranked, least).filter(F.length("low") >= CLUSTER_LENGTH)
     edges = stored(edges.select("high", "low", "high_rank", "score"), "name-pairs")
     state = stored(ranked.select("name", F.lit(None).cast("boolean").alias("anchor")), "name-state")
-    for _ in range(rounds):
+    while True:
         before = edges.join(state.withColumnRenamed("name", "high"), "high").groupBy(F.col("low").alias("name"))
         before = before.agg(F.bool_or(F.coalesce("anchor", F.lit(False))).alias("taken"), F.bool_and(F.coalesce(~F.col("anchor"), F.lit(False))).alias("free"))
         new = F.when(F.col("anchor").isNotNull(), F.col("anchor")).when(F.coalesce("taken", F.lit(False)), False).when(F.coalesce("free", F.lit(True)), True)
@@ -75,14 +75,22 @@ def aliases(vocabulary: DataFrame, cluster: bool = True) -> DataFrame:
         rows = rows.join(clusters(named).withColumnRenamed("name", "brand"), "brand", "left").withColumn("canonical", F.coalesce("canonical", "brand"))
     else:
         rows = rows.withColumn("canonical", F.col("brand"))
-    per = rows.groupBy("canonical").agg(
-        F.sum("freq").alias("n"), F.sum("credits").alias("c"), F.slice(F.array_sort(F.collect_set("merchant_raw")), 1, 5).alias("samples")
-    )
+    rank = F.row_number().over(Window.partitionBy("canonical").orderBy("merchant_raw"))
+    first = rows.select("canonical", "merchant_raw").withColumn("k", rank).filter(F.col("k") <= 5)  # no name carries all its strings
+    samples = first.groupBy("canonical").agg(F.sort_array(F.collect_list("merchant_raw")).alias("samples"))
+    per = rows.groupBy("canonical").agg(F.sum("freq").alias("n"), F.sum("credits").alias("c")).join(samples, "canonical")
     score = names.kind_score(F.col("canonical"), F.col("samples"), F.col("c") / F.col("n"), F.col("n"))
     per = per.select("canonical", score.alias("score"))
     return rows.join(per, "canonical").select("merchant_raw", label(F.col("canonical")).alias("merchant_norm"), *kinds(F.col("canonical"), F.col("score")))
 
 
+def statistics(vocabulary: DataFrame, aliases: DataFrame, bank: DataFrame) -> DataFrame:
+    """One row: distinct raw strings, distinct canonical names, and bank codes kept out of the names."""
+    raw = vocabulary.agg(F.count("*").alias("raw_strings"), F.sum("freq").alias("named_transactions"))
+    names_ = aliases.agg(F.count_distinct("merchant_norm").alias("canonical_names"))
+    return raw.crossJoin(names_).crossJoin(bank.agg(F.count_distinct(F.upper("bank_code")).alias("codes_stopped")))  # one row each
+
+
 def label(canonical: Column) -> Column:
     return F.when(canonical == FEE, FEE_LABEL).when(canonical == SELF, SELF_LABEL).otherwise(canonical)
 

@@ -81,8 +81,8 @@ _CALENDAR = f"""WITH anchors AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS an
 _SCORE = "round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.96::DOUBLE * CASE WHEN entity_id::INT % 2 = 0 THEN 0.92::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN unattributed > 0.02 THEN 1 - unattributed ELSE 1.0::DOUBLE END * CASE WHEN entity_id::INT % 5 = 0 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END)), 3)"
 _UNATTRIBUTED = "round(coalesce(sum(CASE WHEN merchant_norm = 'UNKNOWN' THEN txn_count ELSE 0 END)::DOUBLE / sum(txn_count), 0), 6)"
 _COVER = "round(count(*) FILTER (WHERE merchant_norm <> 'UNKNOWN')::DOUBLE / count(*), 6)"
-_MENTIONS = """mentions AS (SELECT p_partkey AS mention_id, (p_partkey % 25)::VARCHAR AS entity_id, CASE p_partkey % 5 WHEN 0 THEN upper(p_name) || ' Ltd' WHEN 1 THEN string_split(p_name, ' ')[2]
-    WHEN 2 THEN 'Bundl Technologies' WHEN 3 THEN 'Snowflake' ELSE substr(p_name, 1, 6) END AS name FROM part WHERE p_partkey < 500)"""
+_MENTIONS = """mentions AS (SELECT p_partkey AS mention_id, (p_partkey % 25)::VARCHAR AS entity_id, CASE p_partkey % 5 WHEN 0 THEN upper(p) || ' Ltd' WHEN 1 THEN string_split(p, ' ')[2]
+    WHEN 2 THEN 'Bundl Technologies' WHEN 3 THEN 'Snowflake' ELSE substr(p, 1, 6) END AS name FROM named)"""
 
 
 def _tiers() -> str:
@@ -112,6 +112,8 @@ ORACLES = {
     "normalised_names": f"{_BASE} SELECT merchant_raw, norm FROM normed",
     "alias_fold": f"{_BASE} SELECT brand, sum(freq)::BIGINT AS freq, count(*) AS forms FROM branded GROUP BY brand",
     "kind_scores": f"{_BASE} SELECT * FROM alias",
+    "vocabulary_statistics": f"""{_BASE} SELECT (SELECT count(*) FROM vocab) AS raw_strings, (SELECT sum(freq)::BIGINT FROM vocab) AS named_transactions,
+        (SELECT count(DISTINCT merchant_norm) FROM alias) AS canonical_names, (SELECT count(DISTINCT upper(bank_code)) FROM bank) AS codes_stopped""",
     "txn_fact": f"{_BASE} SELECT * FROM fact",
     "merchant_dim": f"{_BASE} SELECT * FROM dim",
     "rollup_monthly": f"{_BASE} SELECT * FROM rollup_monthly",
@@ -214,7 +216,7 @@ ORACLES = {
         stats AS (SELECT vendor_id, count(*) FILTER (WHERE NOT inside) AS n_out, avg(x) FILTER (WHERE NOT inside) AS mean_out, stddev_samp(x) FILTER (WHERE NOT inside) AS sd_out, count(*) AS n_all, avg(x) AS mean_all, stddev_samp(x) AS sd_all FROM marked GROUP BY vendor_id),
         used AS (SELECT vendor_id, CASE WHEN n_out >= 2 THEN n_out ELSE n_all END AS n, CASE WHEN n_out >= 2 THEN mean_out ELSE mean_all END AS mean, CASE WHEN n_out >= 2 THEN sd_out ELSE sd_all END AS sd FROM stats)
         SELECT vendor_name, payout_key, line, payout_date, amount, round(mean, 2) AS usual, round(x / mean, 1) AS times FROM marked m JOIN used u ON m.vendor_id = u.vendor_id JOIN vendors v ON m.vendor_id = v.vendor_id
-        WHERE inside AND x > mean + 2 * coalesce(sd, 0.3 * mean) AND x > 1.8 * mean AND n >= 2""",
+        WHERE inside AND x > mean + 1.5 * coalesce(sd, 0.3 * mean) AND x > 1.4 * mean AND n >= 2""",
     "stream_dedupe": "SELECT event_id, user_id, event_type, value FROM events",
     "stream_monthly": "SELECT CAST(date_trunc('month', ts) AS DATE) AS txn_month, event_type, count(*) AS txns, CAST(sum(value) AS DECIMAL(25,2)) AS total FROM events GROUP BY 1, 2",
 }

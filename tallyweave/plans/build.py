@@ -1,8 +1,10 @@
 """The warehouse: full builds and increments as versions of a folder.
 
 A build writes a new version and names it in the manifest last, so readers see a whole version or the one before. An
-increment reads a few days behind the watermark again, drops what is there already, keeps the aliases that exist, and
-falls back to a full build when schemas or aliases have changed.
+increment reads a few days behind the watermark again, drops what the fact has of these days, keeps the aliases that
+exist, and falls back to a full build when schemas or aliases have changed. What it adds is a new segment of the fact;
+older segments stay as they are. The rollup is computed anew for the months that the segment touches only, and the
+dimension from the rollup. An increment without news writes nothing.
 """
 
 from __future__ import annotations
@@ -32,61 +34,80 @@ def manifest(spark: SparkSession, root: str) -> dict | None:
 
 
 def read(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """alias, dim, rollup, account, bank and fact as the manifest names them."""
     m = manifest(spark, root)
     if m is None:
         raise FileNotFoundError(f"no build in {root}")
-    return {name: spark.read.parquet(f"{root}/{m['version']}/{name}") for name in ("alias", "fact", "dim", "rollup")}
+    out = {name: spark.read.parquet(f"{root}/{m['version']}/{name}") for name in ("alias", "dim", "rollup", "account", "bank")}
+    return out | {"fact": spark.read.parquet(*(f"{root}/{v}/fact" for v in m["segments"]))}
 
 
-def _finish(spark: SparkSession, root: str, version: str) -> dict:
-    """Dimension and rollup of the written fact, then the manifest."""
+def _clustered(rows: DataFrame, *order: str) -> DataFrame:
+    """In ranges of months and entities, sorted: a question about a month or an entity reads few files and row groups."""
+    return rows.repartitionByRange("txn_month", "entity_id").sortWithinPartitions("txn_month", "entity_id", "merchant_norm", *order)
+
+
+def _finish(spark: SparkSession, root: str, version: str, tables: dict[str, DataFrame], rollup: DataFrame, segments: list[str], before: dict | None = None) -> dict:
+    """Rollup, dimension and the snapshots of account and bank, then the manifest."""
     at = f"{root}/{version}"
-    fact = spark.read.parquet(f"{at}/fact")
-    keys = ["entity_id", "merchant_norm"]
-    model.merchant_dim(fact).write.parquet(f"{at}/dim")
-    model.rollup(fact).repartitionByRange("entity_id").sortWithinPartitions(*keys, "txn_month").write.parquet(f"{at}/rollup")
-    row = fact.agg(F.max("transaction_date").alias("watermark"), F.count("*").alias("row_count"))
-    row = row.select("watermark", "row_count", F.lit(fingerprint(ALIAS_VERSION)).alias("schema_hash"), F.lit(ALIAS_VERSION).alias("alias_map_version"), F.current_timestamp().alias("built_at"), F.lit(version).alias("version"))
+    _clustered(rollup).write.parquet(f"{at}/rollup")
+    model.dim_of_rollup(spark.read.parquet(f"{at}/rollup"), spark.read.parquet(f"{at}/alias")).write.parquet(f"{at}/dim")
+    for name in ("account", "bank"):
+        tables[name].write.parquet(f"{at}/{name}")
+    row = spark.read.parquet(f"{at}/fact").agg(F.max("transaction_date").alias("watermark"), F.count("*").alias("row_count"))
+    if before:
+        row = row.select(F.greatest("watermark", F.lit(before["watermark"])).alias("watermark"), (F.col("row_count") + before["row_count"]).alias("row_count"))
+    row = row.select(
+        "watermark", "row_count", F.lit(fingerprint(ALIAS_VERSION)).alias("schema_hash"), F.lit(ALIAS_VERSION).alias("alias_map_version"), F.current_timestamp().alias("built_at"),
+        F.lit(version).alias("version"), F.array(*map(F.lit, segments)).alias("segments"),
+    )
     row.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
     return manifest(spark, root)
 
 
-def _clustered(fact: DataFrame) -> DataFrame:
-    """In ranges of entities, sorted, so that a question about one reads few row groups."""
-    return fact.repartitionByRange("entity_id").sortWithinPartitions("entity_id", "merchant_norm", "transaction_date")
-
-
 def full(spark: SparkSession, tables: dict[str, DataFrame], root: str, cluster: bool = True) -> dict:
     """Extract, map and aggregate everything; returns the manifest."""
     version = f"v-{uuid.uuid4().hex[:12]}"
+    at = f"{root}/{version}"
     rows = extracted(tables["transaction"], tables["bank"])
-    vocabulary.aliases(vocabulary.vocabulary(rows), cluster).write.parquet(f"{root}/{version}/alias")
-    aliases = spark.read.parquet(f"{root}/{version}/alias")
-    _clustered(model.fact(rows, aliases, tables["account"], checked=True)).write.parquet(f"{root}/{version}/fact")
-    return _finish(spark, root, version)
+    rows.write.parquet(f"{at}/extracted")  # narrations are parsed once
+    rows = spark.read.parquet(f"{at}/extracted")
+    vocabulary.aliases(vocabulary.vocabulary(rows), cluster).write.parquet(f"{at}/alias")
+    aliases = spark.read.parquet(f"{at}/alias")
+    _clustered(model.fact(rows, aliases, tables["account"], checked=True), "transaction_date").write.parquet(f"{at}/fact")
+    return _finish(spark, root, version, tables, model.rollup(spark.read.parquet(f"{at}/fact")), [version])
 
 
 def new_rows(transactions: DataFrame, fact: DataFrame, watermark: object) -> DataFrame:
-    """Transactions from a few days before the watermark on that the fact doesn't have, each once."""
-    since = watermark - timedelta(days=LOOKBACK_DAYS)
-    recent = transactions.filter(F.col("transaction_date") >= F.lit(since))
-    return recent.dropDuplicates(["transaction_id"]).join(fact.select("transaction_id"), "transaction_id", "left_anti")
+    """Transactions from a few days before the watermark on that the fact doesn't have of these days, each once."""
+    since = F.lit(watermark - timedelta(days=LOOKBACK_DAYS))
+    recent = transactions.filter(F.col("transaction_date") >= since).dropDuplicates(["transaction_id"])
+    return recent.join(fact.filter(F.col("transaction_date") >= since).select("transaction_id"), "transaction_id", "left_anti")
 
 
 def increment(spark: SparkSession, tables: dict[str, DataFrame], root: str, cluster: bool = True) -> dict:
-    """Adds what is new and returns the manifest with ``added`` rows; running it again adds nothing."""
+    """Adds what is new; returns the manifest with ``before`` and ``added`` rows. Running it again adds nothing."""
     m = manifest(spark, root)
     if m is None or m["schema_hash"] != fingerprint(ALIAS_VERSION) or m["alias_map_version"] != ALIAS_VERSION:
-        return full(spark, tables, root, cluster) | {"added": None}
+        return full(spark, tables, root, cluster) | {"before": None, "added": None}
     old, version = read(spark, root), f"v-{uuid.uuid4().hex[:12]}"
-    delta = extracted(new_rows(tables["transaction"], old["fact"], m["watermark"]), tables["bank"])
+    new = new_rows(tables["transaction"], old["fact"], m["watermark"])
+    if new.isEmpty():
+        return m | {"before": m["row_count"], "added": 0}
+    at = f"{root}/{version}"
+    delta = extracted(new, tables["bank"])
+    delta.write.parquet(f"{at}/extracted")
+    delta = spark.read.parquet(f"{at}/extracted")
     unseen = vocabulary.vocabulary(delta).join(old["alias"], "merchant_raw", "left_anti")
-    vocabulary.preserved(old["alias"], vocabulary.aliases(unseen, cluster)).write.parquet(f"{root}/{version}/alias")
-    aliases = spark.read.parquet(f"{root}/{version}/alias")
-    added = model.fact(delta, aliases, tables["account"], checked=True)
-    _clustered(old["fact"].unionByName(added)).write.parquet(f"{root}/{version}/fact")
-    out = _finish(spark, root, version)
-    return out | {"added": out["row_count"] - m["row_count"]}
+    vocabulary.preserved(old["alias"], vocabulary.aliases(unseen, cluster)).write.parquet(f"{at}/alias")
+    added = model.fact(delta, spark.read.parquet(f"{at}/alias"), tables["account"], checked=True)
+    _clustered(added, "transaction_date").write.parquet(f"{at}/fact")
+    months = [r.txn_month for r in spark.read.parquet(f"{at}/fact").select("txn_month").distinct().collect()]  # a few months
+    touched = F.col("txn_month").isin(months)
+    fact = old["fact"].filter(touched).unionByName(spark.read.parquet(f"{at}/fact"))
+    rollup = old["rollup"].filter(~touched).unionByName(model.rollup(fact))
+    out = _finish(spark, root, version, tables, rollup, [*m["segments"], version], m)
+    return out | {"before": m["row_count"], "added": out["row_count"] - m["row_count"]}
 
 
 def summary(fact: DataFrame) -> DataFrame:

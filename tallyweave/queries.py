@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -37,28 +37,44 @@ def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return narration.extracted(t["transaction"], t["bank"])
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
+def _place(spark: SparkSession, tag: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def warehouse(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The warehouse of a folder's tables: built once per application, then read. Names aren't clustered, so that SQL can check it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        root = _place(spark, "warehouse")
+        build.full(spark, _tables(spark, sf_dir), root, cluster=False)
+        _built[key] = root
+    return build.read(spark, _built[key])
+
+
 def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.aliases(vocabulary.vocabulary(_extracted(spark, sf_dir)), cluster=False)
+    return warehouse(spark, sf_dir)["alias"]
 
 
 def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tables(spark, sf_dir)
-    rows = narration.extracted(t["transaction"], t["bank"])
-    return model.fact(rows, vocabulary.aliases(vocabulary.vocabulary(rows), cluster=False), t["account"])
+    return warehouse(spark, sf_dir)["fact"]
 
 
 def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.rollup(_fact(spark, sf_dir))
+    return warehouse(spark, sf_dir)["rollup"]
 
 
 def _dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.merchant_dim(_fact(spark, sf_dir))
+    return warehouse(spark, sf_dir)["dim"]
 
 
 def _rows(spark: SparkSession, sf_dir: str, window: tuple[date, date] | None, aligned: bool = True) -> DataFrame:
     start, end = window or (None, None)
-    fact = _fact(spark, sf_dir)
-    return spend.routed(fact, model.rollup(fact), start, end, aligned)
+    w = warehouse(spark, sf_dir)
+    return spend.routed(w["fact"], w["rollup"], start, end, aligned)
 
 
 def _payouts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -68,8 +84,7 @@ def _payouts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names as asked for, made from the parts table: one per part and form of writing."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey < 500")
-    i, p = F.col("p_partkey"), F.col("p_name")
+    parts, i, p = ledger.named_parts(spark, sf_dir), F.col("p_partkey"), F.col("p")
     name = F.when(i % 5 == 0, F.concat(F.upper(p), F.lit(" Ltd"))).when(i % 5 == 1, F.element_at(F.split(p, " "), 2)).when(i % 5 == 2, F.lit("Bundl Technologies")).when(i % 5 == 3, F.lit("Snowflake")).otherwise(F.substring(p, 1, 6))
     return parts.select(i.alias("mention_id"), (i % 25).cast("string").alias("entity_id"), name.alias("name"))
 
@@ -146,8 +161,8 @@ def routing_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, fact = _tables(spark, sf_dir), _fact(spark, sf_dir)
-    return quality.report(t["transaction"], fact, model.rollup(fact), model.merchant_dim(fact), t["bank"])
+    w = warehouse(spark, sf_dir)
+    return quality.report(_tables(spark, sf_dir)["transaction"], w["fact"], w["rollup"], w["dim"], w["bank"])
 
 
 def confidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,8 +185,7 @@ def _stream_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events drained through the deduplicating stream into the shared folder, twice; each is there once."""
-    base = tempfile.mktemp(prefix="stream-", dir="/")[1:]
-    at = f"{shared_dir(spark).rstrip('/')}/{base}"
+    at = _place(spark, "stream")
     for i in range(2):
         rows = ingest.deduplicated(_stream_source(spark, sf_dir), "event_id", "ts").drop("event_time")
         ingest.run(rows, f"{at}/out", f"{at}/checkpoint-{i}", "event_id").awaitTermination()
@@ -180,8 +194,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly totals per event type, drained from the stream."""
-    base = tempfile.mktemp(prefix="stream-", dir="/")[1:]
-    at = f"{shared_dir(spark).rstrip('/')}/{base}"
+    at = _place(spark, "stream")
     totals = ingest.monthly(_stream_source(spark, sf_dir), "ts", "value", ["event_type"])
 
     def replace(batch: DataFrame, i: int) -> None:
@@ -193,7 +206,7 @@ def stream_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def warehouse_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full build with clustered names, an increment that finds nothing new, and the summary of the fact."""
-    root = f"{shared_dir(spark).rstrip('/')}/{tempfile.mktemp(prefix='warehouse-', dir='/')[1:]}"
+    root = _place(spark, "clustered")
     tables = _tables(spark, sf_dir)
     build.full(spark, tables, root)
     added = build.increment(spark, tables, root)["added"]
@@ -202,8 +215,8 @@ def warehouse_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adhoc_weekend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ad-hoc SELECT over one entity's stored views."""
-    t = _tables(spark, sf_dir)
-    tables = {n: stored(df, n).inputFiles()[0].rsplit("/", 1)[0] for n, df in adhoc.views(_fact(spark, sf_dir), t["account"], t["bank"], "3").items()}
+    t = warehouse(spark, sf_dir)
+    tables = {n: stored(df, n).inputFiles()[0].rsplit("/", 1)[0] for n, df in adhoc.views(t["fact"], t["account"], t["bank"], "3").items()}
     text = "SELECT channel, count(*) AS txns, sum(transaction_amount) AS total FROM my_transactions WHERE dayofweek(transaction_date) IN (1, 7) AND transaction_type = ? GROUP BY channel"
     return adhoc.run(spark, tables, text, ["debit"])[0]
 
@@ -212,14 +225,14 @@ def mention_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counterparty that each narration names, found in the text itself."""
     fact = _fact(spark, sf_dir)
     texts = fact.select(F.col("transaction_id").alias("text_id"), "entity_id", F.col("description").alias("text"))
-    return resolve.mentioned(texts, resolve.vocabulary(model.merchant_dim(fact)))
+    return resolve.mentioned(texts, resolve.vocabulary(_dim(spark, sf_dir)))
 
 
 def period_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which questions need a period, a question per transaction."""
     fact, key = _fact(spark, sf_dir), F.col("transaction_id").cast("bigint")
     asked = fact.select(F.col("transaction_id").alias("question_id"), "entity_id", "merchant_norm", F.when(key % 2 == 1, "last_month").alias("period"), (key % 5 == 0).alias("bounded"))
-    return conversations.needs_period(asked, model.merchant_dim(fact))
+    return conversations.needs_period(asked, _dim(spark, sf_dir))
 
 
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,6 +269,7 @@ QUERIES: dict[str, Query] = {
     "normalised_names": lambda s, d: vocabulary.folded(vocabulary.vocabulary(_extracted(s, d))).select("merchant_raw", "norm"),
     "alias_fold": lambda s, d: vocabulary.folded(vocabulary.vocabulary(_extracted(s, d))).groupBy("brand").agg(F.sum("freq").alias("freq"), F.count("*").alias("forms")),
     "kind_scores": _aliases,
+    "vocabulary_statistics": lambda s, d: vocabulary.statistics(vocabulary.vocabulary(_extracted(s, d)), _aliases(s, d), _tables(s, d)["bank"]),
     "name_clusters": name_clusters,
     "name_similarity": name_similarity,
     "txn_fact": _fact,
@@ -325,7 +339,7 @@ QUERIES: dict[str, Query] = {
     "status_split": lambda s, d: payouts.status_split(_payouts(s, d)[0]),
     "monthly_change": lambda s, d: payouts.monthly_change(_payouts(s, d)[0]),
     "reconciliation_audit": _of_payouts(payouts.audit, ["unreconciled", "disputed"]),
-    "payout_outliers": _of_payouts(payouts.outliers, date(2000, 1, 1), date(2000, 6, 30)),
+    "payout_outliers": _of_payouts(payouts.outliers, date(2000, 1, 1), date(2000, 6, 30), 1.5, 1.4),
     "stream_dedupe": stream_dedupe,
     "stream_monthly": stream_monthly,
     "landed_rows": lambda s, d: landing.snapshot(_tables(s, d)["account"].orderBy("account_id"), 200),

@@ -1,7 +1,7 @@
 """The ledger's tables: declared schemas, and a view of the driver's star schema as a ledger.
 
 bank: market segments; account: customers, a nation being the entity; transaction: orders, with a narration made from
-a rail template, a part's name as the counterparty and digits of the key.
+a rail template, a part as the counterparty, which gives names in proportion to the parts, and digits of the key.
 """
 
 from __future__ import annotations
@@ -59,10 +59,12 @@ ELSE 'TRF/' || CAST(h * 31 AS STRING) || '/' || CAST(h * 17 AS STRING) END
 
 #: Orders with their part's name, the segment of their customer, and the numbers that the templates use.
 _ORDERS = """
-SELECT o_orderkey AS h, o_custkey, o_orderdate, o_orderstatus, o_totalprice, p_name AS p, c_mktsegment AS s, (o_orderkey * 79) % 100 AS b,
+SELECT o_orderkey AS h, o_custkey, o_orderdate, o_orderstatus, o_totalprice, p, c_mktsegment AS s, (o_orderkey * 79) % 100 AS b,
        CASE o_orderkey % 4 WHEN 1 THEN ' LIMITED' WHEN 2 THEN ' PVT LTD' ELSE '' END AS sfx
-FROM {orders} JOIN {part} ON p_partkey = o_orderkey % 64 JOIN {customer} ON c_custkey = o_custkey
+FROM {orders} CROSS JOIN (SELECT count(*) AS n_parts FROM {part}) JOIN {named} ON p_partkey = o_orderkey % n_parts JOIN {customer} ON c_custkey = o_custkey
 """
+#: Parts with a name of their own each: that of the table, which has few, and a word made from the key.
+_NAMED = "SELECT p_partkey, p_name || ' ' || translate(substr(md5(CAST(p_partkey AS STRING)), 1, 12), '0123456789', 'ghijklmnop') AS p FROM {part}"
 _TRANSACTION = f"""
 SELECT CAST(h AS STRING) AS transaction_id, CAST(o_custkey AS STRING) AS account_id, o_orderdate AS transaction_date,
        CASE WHEN o_orderstatus = 'F' THEN 'credit' ELSE 'debit' END AS transaction_type, {NARRATION} AS description,
@@ -82,7 +84,8 @@ _BANK = "SELECT DISTINCT c_mktsegment AS bank_code, c_mktsegment || ' BANK' AS b
 #: The same view as common table expressions for DuckDB.
 ORACLE = ",\n".join(
     [
-        f"ordered AS ({_ORDERS.format(orders='orders', part='part', customer='customer')})",
+        f"named AS ({_NAMED.format(part='part')})",
+        f"ordered AS ({_ORDERS.format(orders='orders', part='part', named='named', customer='customer')})",
         f"txn AS ({_TRANSACTION.format(joined='ordered')})",
         f"account AS ({_ACCOUNT.format(customer='customer')})",
         f"bank AS ({_BANK.format(customer='customer')})",
@@ -90,11 +93,21 @@ ORACLE = ",\n".join(
 )
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a table's files over all cores, where the files have fewer splits than there are cores."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= n else rows.repartition(n)
+
+
+def named_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, p): the counterparties' names."""
+    return spark.sql(_NAMED, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
 def read(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """bank, account and transaction as views of the driver's tables."""
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "part", "customer")}
-    t["part"] = t["part"].filter("p_partkey < 64")  # 64 rows at every scale
-    joined = spark.sql(_ORDERS, **t)
+    joined = spark.sql(_ORDERS, orders=spread(t["orders"]), part=t["part"], named=named_parts(spark, sf_dir), customer=t["customer"])
     return {
         "bank": spark.sql(_BANK, customer=t["customer"]),
         "account": spark.sql(_ACCOUNT, customer=t["customer"]),
