@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 #: Synonyms of each canonical token (fixed values).
 SYNONYMS = {
-    "all_time": "all all_time total lifetime ever overall any everything none",
-    "this_month": "this_month current_month mtd month_to_date",
-    "last_month": "last_month previous_month prev_month past_month prior_month the_last_month",
-    "two_months_ago": "two_months_ago month_before_last month_before",
-    "this_quarter": "this_quarter current_quarter qtd quarter_to_date",
-    "last_quarter": "last_quarter previous_quarter past_quarter prior_quarter",
-    "q1": "q1",
-    "q2": "q2",
-    "q3": "q3",
-    "q4": "q4",
-    "ytd": "ytd year_to_date this_year current_year",
-    "last_year": "last_year previous_year past_year prior_year",
+    "all_time": ["all", "all_time", "total", "lifetime", "ever", "overall", "any", "everything", "none"],
+    "this_month": ["this_month", "current_month", "mtd", "month_to_date"],
+    "last_month": ["last_month", "previous_month", "prev_month", "past_month", "prior_month", "the_last_month"],
+    "two_months_ago": ["two_months_ago", "month_before_last", "month_before"],
+    "this_quarter": ["this_quarter", "current_quarter", "qtd", "quarter_to_date"],
+    "last_quarter": ["last_quarter", "previous_quarter", "past_quarter", "prior_quarter"],
+    "q1": ["q1"],
+    "q2": ["q2"],
+    "q3": ["q3"],
+    "q4": ["q4"],
+    "ytd": ["ytd", "year_to_date", "this_year", "current_year"],
+    "last_year": ["last_year", "previous_year", "past_year", "prior_year"],
 }
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 SUGGESTIONS = ["last_month", "last_3_months", "this_month", "ytd", "all_time"]
@@ -32,7 +32,7 @@ def token(phrase: Column) -> Column:
 
 
 def canonical(tok: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for k, v in SYNONYMS.items() for s in v.split() for x in (s, k)))
+    table = F.create_map(*(F.lit(x) for k, v in SYNONYMS.items() for s in v for x in (s, k)))
     return F.try_element_at(table, tok)
 
 
@@ -123,6 +123,16 @@ def previous(start: Column, end: Column) -> tuple[Column, Column]:
     return F.when(aligned(start, end), F.add_months(start, -months)).otherwise(F.date_sub(start, days)), F.date_sub(start, 1)
 
 
+def same_window(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """Whether two windows are one; no window at all is like itself."""
+    return a_start.eqNullSafe(b_start) & a_end.eqNullSafe(b_end)
+
+
+def suggestions(status: Column) -> Column:
+    """What may be asked instead of a phrase that isn't understood."""
+    return F.when(status == "UNRESOLVED", F.array(*map(F.lit, SUGGESTIONS)))
+
+
 def calendar(anchors: DataFrame) -> DataFrame:
     """(anchor, token, start, end, month_aligned) for each anchor day and fixed token."""
     rows = anchors.select("anchor", F.explode(F.array(*map(F.lit, TOKENS))).alias("token"))

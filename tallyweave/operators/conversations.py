@@ -15,6 +15,11 @@ def threads(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"), title.alias("title"))
 
 
+def newest_threads(turns: DataFrame, limit: int = 50) -> DataFrame:
+    """The threads with the latest turns, the newest first."""
+    return threads(turns).orderBy(F.desc("last_turn"), F.desc("conv_id")).limit(limit)
+
+
 def last_messages(turns: DataFrame, n: int = 6) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     return turns.withColumn("back", F.row_number().over(order)).filter(F.col("back") <= n).select("conv_id", "turn", "role", "back")
@@ -31,12 +36,24 @@ def tagged(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", "direction", "period", "threshold", "asked.*", "follows")
 
 
-def carried(tagged: DataFrame) -> DataFrame:
-    """Tags with direction and period of earlier turns where a turn follows up; never for rankings and balances."""
+def carried(tagged: DataFrame, *more: str) -> DataFrame:
+    """Tags with direction, period and ``more`` columns, such as the counterparty, of earlier turns where a turn follows up; never for rankings and balances."""
     past = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     lean = F.col("follows") & ~F.col("intent").isin("rank", "balances")
     fill = lambda c: F.when(lean, F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(past))).otherwise(F.col(c))
-    return tagged.select("conv_id", "turn", "intent", "follows", fill("direction").alias("direction"), fill("period").alias("period"))
+    return tagged.select("conv_id", "turn", "intent", "follows", *(fill(c).alias(c) for c in ("direction", "period", *more)))
+
+
+def needs_person(asked: DataFrame, people: DataFrame) -> DataFrame:
+    """(question_id, ask_person, candidates) of questions (question_id, entity_id, text, merchant_norm).
+
+    A question about one person that names nobody is answered with a choice of the persons who sent the entity most,
+    from ``people`` (entity_id, rank, merchant_norm).
+    """
+    known = people.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "merchant_norm"))), lambda p: p["merchant_norm"]).alias("people"))
+    rows = asked.join(known, "entity_id", "left")
+    ask = F.coalesce(questions.one_person(F.col("text")), F.lit(False)) & F.col("merchant_norm").isNull()
+    return rows.select("question_id", ask.alias("ask_person"), F.when(ask, F.coalesce("people", F.array().cast("array<string>"))).alias("candidates"))
 
 
 def needs_period(questions_: DataFrame, dim: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.periods import previous
+from ..functions.periods import previous, same_window
 from ..terms import DIRECTIONS, NOT_RANKED
 from .model import MONEY
 
@@ -144,6 +144,13 @@ def baseline(windows: DataFrame) -> DataFrame:
     return windows.withColumns({"base_start": start, "base_end": end})
 
 
+def compared_with(windows: DataFrame) -> DataFrame:
+    """Windows (start, end, base_start, base_end) with the baseline that counts: the one before, where none is given or it is the window itself."""
+    start, end = previous(F.col("start"), F.col("end"))
+    own = F.col("base_start").isNull() | F.col("base_end").isNull() | same_window(F.col("start"), F.col("end"), F.col("base_start"), F.col("base_end"))
+    return windows.withColumns({"base_start": F.when(own, start).otherwise(F.col("base_start")), "base_end": F.when(own, end).otherwise(F.col("base_end"))})
+
+
 def unattributed(rows: DataFrame, direction: str | None = None) -> DataFrame:
     """Per entity the share of transactions without a counterparty."""
     known = F.sum(F.when(F.col("merchant_norm") == "UNKNOWN", F.col("n")).otherwise(0))

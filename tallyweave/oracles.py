@@ -171,6 +171,10 @@ ORACLES = {
             CASE WHEN g.n IS NULL THEN 0.0::DOUBLE WHEN g.n = 1 OR g.tier <= 3 THEN [1.0, 0.98, 1.0, 0.96, 0.95, 0.92][g.tier]::DOUBLE ELSE 0.9::DOUBLE END AS confidence,
             CASE WHEN g.n IS NULL THEN 'none' ELSE ['exact', 'brand', 'case', 'acronym', 'word', 'part'][g.tier] END AS method
         FROM mentions m LEFT JOIN grouped g ON m.mention_id = g.mention_id""",
+    "resolve_statistics": f"""{_tiers()}, grouped AS (SELECT mention_id, min(tier) AS tier, count(*) AS n, list(merchant_norm ORDER BY txn_count DESC, merchant_norm) AS found FROM tiered GROUP BY mention_id),
+        answered AS (SELECT m.mention_id, m.entity_id, CASE WHEN g.n = 1 OR g.tier <= 3 THEN found[1] END AS entity FROM mentions m LEFT JOIN grouped g ON m.mention_id = g.mention_id)
+        SELECT a.mention_id, a.entity, coalesce(d.txn_count, 0) AS txn_count, coalesce(d.total_debit, 0)::DECIMAL(25,2) AS total_debit, coalesce(d.active_months, 0) AS active_months
+        FROM answered a LEFT JOIN dim d ON a.entity_id = d.entity_id AND a.entity = d.merchant_norm""",
     "mention_detection": f"""{_BASE}, clean AS (SELECT transaction_id AS text_id, entity_id, ' ' || trim(regexp_replace(upper(description), '[^A-Z0-9&.''-]+', ' ', 'g')) || ' ' AS c FROM fact),
         hits AS (SELECT text_id, merchant_norm, row_number() OVER (PARTITION BY text_id ORDER BY length(merchant_norm) DESC, merchant_norm DESC) AS k FROM clean t JOIN dim d ON t.entity_id = d.entity_id
             WHERE merchant_norm <> 'UNKNOWN' AND contains(c, ' ' || merchant_norm || ' '))
@@ -196,13 +200,22 @@ ORACLES = {
         UNION ALL SELECT 'bank_codes_as_names', (SELECT count(*) FROM bank WHERE upper(bank_code) IN (SELECT merchant_norm FROM dim))
         UNION ALL SELECT 'coverage_below_90_percent', (SELECT CASE WHEN count(*) FILTER (WHERE merchant_norm <> 'UNKNOWN') < 0.9 * count(*) THEN 1 ELSE 0 END FROM fact)""",
     "grounding_check": """SELECT c_custkey AS answer_id, c_custkey % 5 <> 0 AS grounded, CASE WHEN c_custkey % 5 = 0 THEN ['98,765,432.10'] ELSE []::VARCHAR[] END AS offending FROM customer""",
+    "balance_sentences": f"""{_TXN}, t AS (SELECT entity_id, count(*) AS n, sum(available_balance)::DECIMAL(25,2) AS b FROM account GROUP BY entity_id)
+        SELECT entity_id, n::VARCHAR || CASE WHEN n = 1 THEN ' account' ELSE ' accounts' END || ' with ' || CASE WHEN b < 0 THEN '-' ELSE '' END || '₹' || format('{{:,.2f}}', abs(b)::DOUBLE) || ' together.' AS answer FROM t""",
+    "extreme_sentences": f"""{_BASE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY transaction_amount DESC, transaction_date DESC, transaction_id DESC) AS k FROM fact WHERE transaction_type = 'debit')
+        SELECT entity_id, '₹' || format('{{:,.2f}}', transaction_amount::DOUBLE) || ' at ' || merchant_norm || ' on ' || strftime(transaction_date, '%Y-%m-%d') || '.' AS answer FROM ranked WHERE k = 1""",
     "thread_summary": """WITH firsts AS (SELECT conv_id, count(*) AS messages, max(turn) AS last_turn, trim(regexp_replace(arg_min(text, turn), '[ \\t\\r\\n]+', ' ', 'g')) AS first FROM conversations GROUP BY conv_id)
         SELECT conv_id, messages, last_turn, CASE WHEN length(first) > 60 THEN rtrim(substr(first, 1, 59)) || '…' ELSE first END AS title FROM firsts""",
+    "newest_threads": """WITH firsts AS (SELECT conv_id, count(*) AS messages, max(turn) AS last_turn, trim(regexp_replace(arg_min(text, turn), '[ \\t\\r\\n]+', ' ', 'g')) AS first FROM conversations GROUP BY conv_id)
+        SELECT conv_id, messages, last_turn, CASE WHEN length(first) > 60 THEN rtrim(substr(first, 1, 59)) || '…' ELSE first END AS title FROM firsts ORDER BY last_turn DESC, conv_id DESC LIMIT 20""",
     "last_n_messages": "SELECT conv_id, turn, role, back FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::INTEGER AS back FROM conversations) x WHERE back <= 3",
     "conversation_totals": "SELECT count(DISTINCT conv_id) AS threads, count(*) AS messages FROM conversations",
     "vendor_spend": f"{_PAY} SELECT vendor_name, count(*) AS payouts, sum(amount)::DECIMAL(25,2) AS total, round(avg(amount::DOUBLE), 2) AS average, min(payout_date) AS first_date, max(payout_date) AS last_date FROM payouts p JOIN vendors v ON p.vendor_id = v.vendor_id GROUP BY v.vendor_id, vendor_name",
     "top_vendors": f"""{_PAY} SELECT vendor_name, count(*) AS payouts, sum(amount)::DECIMAL(25,2) AS total, (SELECT sum(amount)::DECIMAL(25,2) FROM payouts) AS all_total, (SELECT count(DISTINCT vendor_id) FROM payouts) AS vendors
         FROM payouts p JOIN vendors v ON p.vendor_id = v.vendor_id GROUP BY v.vendor_id, vendor_name ORDER BY total DESC, vendor_name LIMIT 20""",
+    "payout_listing": f"""{_PAY}, rows AS (SELECT * FROM payouts WHERE lower(reconciliation_status) = 'reconciled' AND contains(lower(category), 'promo'))
+        SELECT payout_key, line, vendor_name, payout_date, amount, status, category, (SELECT count(*) FROM rows) AS matches, (SELECT coalesce(sum(amount), 0)::DECIMAL(25,2) FROM rows) AS match_total
+        FROM rows r JOIN vendors v ON r.vendor_id = v.vendor_id ORDER BY payout_date DESC, amount DESC, payout_key, line, vendor_name, status, category LIMIT 50""",
     "latest_payouts": f"""{_PAY}, ranked AS (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY payout_date DESC, amount DESC, payout_key, line, status, category)::INTEGER AS rank FROM payouts)
         SELECT vendor_name, rank, payout_date, amount FROM ranked r JOIN vendors v ON r.vendor_id = v.vendor_id WHERE rank <= 3""",
     "category_spend": f"{_PAY} SELECT category, count(*) AS payouts, sum(amount)::DECIMAL(25,2) AS total FROM payouts GROUP BY category",

@@ -101,9 +101,9 @@ def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversations with a question put before each text, chosen by the turn."""
+    """The conversations' texts, each after a question chosen by the turn, as the given texts hold none."""
     asked = F.element_at(F.array(*map(F.lit, QUESTIONS)), ((F.col("conv_id") * 3 + F.col("turn")) % len(QUESTIONS) + 1).cast("int"))
-    return _conversations(spark, sf_dir).withColumn("text", asked)
+    return _conversations(spark, sf_dir).withColumn("text", F.concat_ws(". ", asked, "text"))
 
 
 QUESTIONS = [
@@ -318,6 +318,7 @@ QUERIES: dict[str, Query] = {
     "mention_detection": mention_detection,
     "period_gate": period_gate,
     "scorecard": scorecard,
+    "resolve_statistics": lambda s, d: resolve.with_statistics(resolve.resolved(_mentions(s, d), resolve.vocabulary(_dim(s, d)), fuzzy=False), _mentions(s, d), _dim(s, d)).select("mention_id", "entity", "statistics.txn_count", "statistics.total_debit", "statistics.active_months"),
     "resolve_people": lambda s, d: resolve.people(resolve.vocabulary(_dim(s, d))),
     "masked_accounts": lambda s, d: _tables(s, d)["account"].select("account_id", privacy.masked(F.col("account_number")).alias("account_number")),
     "redacted_descriptions": lambda s, d: _tables(s, d)["transaction"].select("transaction_id", privacy.redacted(F.col("description")).alias("description")),
@@ -327,13 +328,18 @@ QUERIES: dict[str, Query] = {
     "quality_report": quality_report,
     "grounding_check": lambda s, d: trust.grounded(*_answers(s, d)),
     "answer_sentences": answer_sentences,
+    "balance_sentences": lambda s, d: balances.balance_totals(_tables(s, d)["account"]).select("entity_id", trust.sentence("balances").alias("answer")),
+    "extreme_sentences": lambda s, d: spend.extreme(_fact(s, d), True, "debit").select("entity_id", trust.sentence("extreme").alias("answer")),
+    "amounts_written": lambda s, d: trust.amounts_written(*_answers(s, d)),
     "question_tags": lambda s, d: conversations.tagged(_questions(s, d)),
     "context_carry_forward": lambda s, d: conversations.carried(conversations.tagged(_questions(s, d))),
+    "newest_threads": lambda s, d: conversations.newest_threads(_conversations(s, d), 20),
     "thread_summary": lambda s, d: conversations.threads(_conversations(s, d)),
     "last_n_messages": lambda s, d: conversations.last_messages(_conversations(s, d), 3),
     "conversation_totals": lambda s, d: conversations.totals(_conversations(s, d)),
     "vendor_spend": _of_payouts(payouts.vendor_summary),
     "top_vendors": _of_payouts(payouts.top_vendors),
+    "payout_listing": _of_payouts(payouts.listed, 50, ["reconciled"], "promo"),
     "latest_payouts": _of_payouts(payouts.latest, 3),
     "category_spend": lambda s, d: payouts.category_summary(_payouts(s, d)[0]),
     "status_split": lambda s, d: payouts.status_split(_payouts(s, d)[0]),
