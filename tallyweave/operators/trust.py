@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIGURE = r"\d[\d,]*(?:\.\d+)?"
+FIGURE = r"\d(?:[\d,]*\d)?(?:\.\d+)?"
 #: Bands of confidence, and the largest integer that needs no ground (fixed values).
 HIGH, MEDIUM, FREE_UP_TO = 0.88, 0.72, 3000
 

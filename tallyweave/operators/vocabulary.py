@@ -25,22 +25,44 @@ def folded(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.withColumn("norm", norm).withColumn("brand", F.coalesce(F.try_element_at(brands, F.col("norm")), F.col("norm")))
 
 
+def _rarest(rows: DataFrame, key: str, kept: Column) -> DataFrame:
+    """``rows`` (name, rank, size, key, ...) that lie among the ``kept`` rarest keys of their name."""
+    often = rows.groupBy(key).agg(F.count("*").alias("often"))
+    order = Window.partitionBy("name").orderBy("often", key)
+    return rows.join(often, key).withColumn("nth", F.row_number().over(order)).withColumn("past", F.sum(F.length(key)).over(order.rowsBetween(Window.unboundedPreceding, -1))).filter(kept)
+
+
 def similar_pairs(names_: DataFrame, least: float = CLUSTER_FROM) -> DataFrame:
     """(high, low, score) of names that are alike; ``high`` has the smaller rank. Names: (name, rank).
 
-    Only names that share a word or three letters in a row and whose lengths allow the score are compared.
+    Pairs are found by rare keys, so a word or letters that very many names have make no pairs on their own:
+
+    * Where the shared words make a pair alike, they hold at least t / (2 - t) of the letters of one name, t being the
+      threshold. So one of its rarest words is among them, of which all but less than that share of letters is taken.
+    * Else letters that are missing decide. A name loses at most 1 - t / (2 - t) of its letters, each takes two pairs
+      of neighbouring letters along, and of the rarest pairs one more than that are kept on both sides.
+
+    The second rule holds for names that keep a pair of letters; tiny names with a low threshold may not. Pairs are then
+    scored.
     """
-    plain = F.regexp_replace("name", " ", "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(plain) - 2)), lambda i: F.substring(plain, i, F.lit(3)))
-    keyed = names_.select("name", "rank", F.explode(F.array_distinct(F.concat(F.split("name", " "), grams))).alias("key"))
-    low = keyed.select(F.col("name").alias("low"), F.col("rank").alias("low_rank"), "key")
-    high = keyed.select(F.col("name").alias("high"), F.col("rank").alias("high_rank"), "key")
-    pairs = high.join(low, "key").filter("high_rank < low_rank").select("high", "low", "high_rank", "low_rank").distinct()
-    subset = (F.size(F.array_except(F.split("high", " "), F.split("low", " "))) == 0) | (F.size(F.array_except(F.split("low", " "), F.split("high", " "))) == 0)
-    shared = F.size(F.array_intersect(F.split("high", " "), F.split("low", " "))) > 0
-    close = 2 * F.least(F.length("high"), F.length("low")) >= least / 100 * (F.length("high") + F.length("low"))
-    scored = pairs.filter(subset | shared | close).withColumn("score", similarity.token_set("high", "low"))
-    return scored.filter(F.col("score") >= least)
+    t = least / 100
+    part = t / (2 - t)
+    rows = names_.withColumn("words", F.array_distinct(F.filter(F.split("name", " "), lambda w: w != ""))).withColumn("size", F.length(F.regexp_replace("name", " ", "")))
+    words = rows.select("name", "rank", "size", F.explode("words").alias("key"))
+    probe = _rarest(words, "key", F.coalesce("past", F.lit(0)) <= (1 - part) * F.col("size") + 1).select("name", "rank", "key")
+    two = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
+    grams = F.array_distinct(F.flatten(F.transform("words", lambda w: two(F.concat(F.lit("^"), w, F.lit("$"))))))
+    grams = _rarest(rows.select("name", "rank", "size", F.explode(grams).alias("key")), "key", F.col("nth") <= 2 * F.floor((1 - part) * F.col("size")) + 3).select("name", "rank", "key")
+
+    def met(one: DataFrame, other: DataFrame) -> DataFrame:
+        left, right = one.select(F.col("name").alias("x"), F.col("rank").alias("x_rank"), "key"), other.select(F.col("name").alias("y"), F.col("rank").alias("y_rank"), "key")
+        both, first = left.join(right, "key").filter("x_rank <> y_rank"), F.col("x_rank") < F.col("y_rank")
+        pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+        return both.select(pick("x", "y").alias("high"), pick("y", "x").alias("low"), pick("x_rank", "y_rank").alias("high_rank"), pick("y_rank", "x_rank").alias("low_rank"))
+
+    close = 2 * F.least(F.length("high"), F.length("low")) >= t * (F.length("high") + F.length("low"))
+    pairs = met(probe, words).unionByName(met(grams, grams).filter(close)).distinct()
+    return pairs.withColumn("score", similarity.token_set("high", "low")).filter(F.col("score") >= least)
 
 
 def clusters(counted: DataFrame, least: float = CLUSTER_FROM) -> DataFrame:
