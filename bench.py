@@ -55,7 +55,6 @@ def main() -> None:
     tables, root = ledger.read(spark, SF_DIR), f"file://{shared}/warehouse"
     rows = tables["transaction"].count()
     timed("full_build", lambda: build.full(spark, tables, root, cluster=False))
-    timed("clustered_names", lambda: drain(ALL["name_clusters"](spark, SF_DIR)))
     timed("increment_without_news", lambda: build.increment(spark, tables, root, cluster=False))
     w = build.read(spark, root)
     routed = lambda win, aligned=True: spend.routed(w["fact"], w["rollup"], *win, aligned)
