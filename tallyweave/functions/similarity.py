@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,9 +72,30 @@ def _best(a: str, b: str) -> float:
     return max(token_set_ratio(a, b), weighted_ratio(a, b))
 
 
-@F.pandas_udf(T.DoubleType())
-def token_set(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+def hopeless(a: pd.Series, b: pd.Series, least: float) -> np.ndarray:
+    """Pairs without a common word whose letters, in whatever order, can't give a token-set ratio of ``least``."""
+    codes, found = pd.factorize(pd.concat([a, b], ignore_index=True))
+    words = [set(name.split()) for name in found]
+    letters = [np.frombuffer(" ".join(sorted(w)).encode("utf-32-le"), "<u4").astype(np.int64) for w in words]
+    bags = np.array([np.bincount(x % 64, minlength=64) for x in letters], dtype=np.int32).reshape(-1, 64)
+    size, (i, j) = bags.sum(axis=1), (codes[: len(a)], codes[len(a) :])
+    low = 200.0 * np.minimum(bags[i], bags[j]).sum(axis=1) < least * (size[i] + size[j]) - 1e-6
+    low[low] = [words[x].isdisjoint(words[y]) for x, y in zip(i[low], j[low], strict=True)]
+    return low
+
+
+def token_set(least: float) -> Callable[..., Column]:
+    """The token-set ratio of two names; null where it is known to be below ``least`` without working it out.
+
+    Declared as not deterministic, so that a filter on the score doesn't make Spark work it out twice.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        a, b = a.fillna(""), b.fillna("")
+        return pd.Series([None if low else token_set_ratio(x, y) for x, y, low in zip(a, b, hopeless(a, b, least), strict=True)], dtype="float64")
+
+    return score.asNondeterministic()
 
 
 @F.pandas_udf(T.DoubleType())

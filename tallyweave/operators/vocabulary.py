@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, similarity
-from ..plans.storage import stored
+from ..plans.storage import dealt, stored
 from ..terms import BRANDS, CLUSTER_FROM, CLUSTER_LENGTH, CORPORATE, FEE, FEE_LABEL, PERSON_FROM, PERSON_WORDS, SELF, SELF_LABEL, UNKNOWN
 
 
@@ -61,8 +61,8 @@ def similar_pairs(names_: DataFrame, least: float = CLUSTER_FROM) -> DataFrame:
         return both.select(pick("x", "y").alias("high"), pick("y", "x").alias("low"), pick("x_rank", "y_rank").alias("high_rank"), pick("y_rank", "x_rank").alias("low_rank"))
 
     close = 2 * F.least(F.length("high"), F.length("low")) >= t * (F.length("high") + F.length("low"))
-    pairs = met(probe, words).unionByName(met(grams, grams).filter(close)).distinct()
-    return pairs.withColumn("score", similarity.token_set("high", "low")).filter(F.col("score") >= least)
+    pairs = dealt(met(probe, words).unionByName(met(grams, grams).filter(close)), "high", "low").distinct()
+    return pairs.withColumn("score", similarity.token_set(least)("high", "low")).filter(F.col("score") >= least)
 
 
 def clusters(counted: DataFrame, least: float = CLUSTER_FROM) -> DataFrame:

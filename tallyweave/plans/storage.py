@@ -19,6 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over all cores: small rows with much work each, which adaptive execution would put into one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read back, which ends its lineage."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -188,20 +188,16 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _place(spark, "stream")
     for i in range(2):
         rows = ingest.deduplicated(_stream_source(spark, sf_dir), "event_id", "ts").drop("event_time")
-        ingest.run(rows, f"{at}/out", f"{at}/checkpoint-{i}", "event_id").awaitTermination()
+        ingest.run(rows, f"{at}/out", f"{at}/checkpoint-{i}", "event_id", "ts").awaitTermination()
     return spark.read.parquet(f"{at}/out").select("event_id", "user_id", "event_type", "value")
 
 
 def stream_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly totals per event type, drained from the stream."""
+    """Monthly totals per event type, from days' totals that the stream updates."""
     at = _place(spark, "stream")
-    totals = ingest.monthly(_stream_source(spark, sf_dir), "ts", "value", ["event_type"])
-
-    def replace(batch: DataFrame, i: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out")
-
-    totals.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    totals = ingest.daily(_stream_source(spark, sf_dir), "ts", "value", ["event_type"])
+    ingest.run_totals(totals, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return ingest.monthly(spark.read.parquet(f"{at}/out"), ["event_type"])
 
 
 def warehouse_build(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,24 +30,46 @@ def enriched(stream: DataFrame, bank: DataFrame, aliases: DataFrame, account: Da
     return rows.withColumns({"merchant_norm": F.coalesce("merchant_norm", F.lit(UNKNOWN)), "counterparty_kind": F.coalesce("counterparty_kind", F.lit("unknown"))})
 
 
-def monthly(stream: DataFrame, ts: str, amount: str, keys: list[str]) -> DataFrame:
-    """Totals per calendar month and keys, for output mode update or complete."""
-    return stream.groupBy(F.trunc(F.col(ts).cast("date"), "MM").alias("txn_month"), *keys).agg(F.count("*").alias("txns"), F.sum(amount).cast(MONEY).alias("total"))
+def daily(stream: DataFrame, ts: str, amount: str, keys: list[str], lateness: str = f"{LOOKBACK_DAYS} days") -> DataFrame:
+    """Totals per day and keys, for output mode update; a day's state goes as the watermark passes it."""
+    rows = stream.withColumn("event_time", F.col(ts).cast("timestamp")).withWatermark("event_time", lateness)
+    totals = rows.groupBy(F.window("event_time", "1 day").alias("span"), F.col(ts).cast("date").alias("day"), *keys)
+    return totals.agg(F.count("*").alias("txns"), F.sum(amount).alias("total")).select(F.col("span.start").alias("since"), "day", *keys, "txns", "total")
+
+
+def run_totals(totals: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Drains changed ``totals`` into ``folder``, each batch into its own part, so a batch that comes twice changes nothing."""
+    writer = totals.writeStream.outputMode("update").foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/batch={i}"))
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def monthly(written: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals per calendar month and keys, from the newest of each day's totals that ``run_totals`` wrote."""
+    last = F.max_by(F.struct("txns", "total"), "batch").alias("last")
+    days = written.groupBy("since", "day", *keys).agg(last)
+    return days.groupBy(F.trunc("day", "MM").alias("txn_month"), *keys).agg(F.sum("last.txns").alias("txns"), F.sum("last.total").cast(MONEY).alias("total"))
+
 
+def append_new(batch: DataFrame, folder: str, key: str = "transaction_id", ts: str = "transaction_date") -> None:
+    """Appends the rows whose key the folder doesn't have, so a batch that comes twice changes nothing.
 
-def append_new(batch: DataFrame, folder: str, key: str = "transaction_id") -> None:
-    """Appends the rows whose key the folder doesn't have, so a batch that comes twice changes nothing."""
+    A row that comes again has its old time, so only what the folder has since the batch's first row, less the days that
+    a repeated key may lie back, is compared. Rows without a time are compared with those without.
+    """
     spark = batch.sparkSession
     rows = batch.dropDuplicates([key])
+    since = rows.agg(F.min(ts)).first()[0]
     try:
-        rows = rows.join(spark.read.schema(batch.schema).parquet(folder).select(key), key, "left_anti")
+        held = spark.read.schema(batch.schema).parquet(folder)
+        recent = F.col(ts).isNull() if since is None else F.col(ts).isNull() | (F.col(ts) >= F.lit(str(since - timedelta(days=LOOKBACK_DAYS))).cast(batch.schema[ts].dataType))
+        rows = rows.join(held.filter(recent).select(key), key, "left_anti")
     except Exception as e:  # the first batch finds no folder
         if "PATH_NOT_FOUND" not in str(e):
             raise
     rows.select(*batch.columns).write.mode("append").parquet(folder)
 
 
-def run(stream: DataFrame, folder: str, checkpoint: str, key: str = "transaction_id") -> StreamingQuery:
+def run(stream: DataFrame, folder: str, checkpoint: str, key: str = "transaction_id", ts: str = "transaction_date") -> StreamingQuery:
     """Drains what is there into ``folder``."""
-    writer = stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, folder, key)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, folder, key, ts)).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -68,6 +68,8 @@ def test_resolution(spark):
     assert {n: got[n].entity for n in asked} == asked
     assert {n: got[n].status for n in rest} == rest
     assert got["selection"].candidates == ["NAVYUG SELECTION", "SELECTION ELECTRONICS"]
+    again = spark.createDataFrame([(n, e, "swigy") for n, e in enumerate(["1", "1", "2", None])], "mention_id int, entity_id string, name string")
+    assert {r.mention_id: (r.status, r.entity) for r in resolve.resolved(again, vocab).collect()} == {0: ("MATCH", "SWIGGY"), 1: ("MATCH", "SWIGGY"), 2: ("NOT_FOUND", None), 3: ("NOT_FOUND", None)}
 
 
 def test_build_reconciles(spark, tables, built):
@@ -100,6 +102,28 @@ def test_stream_equals_batch(spark, tables, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == t.count()
 
 
+def test_stream_totals_follow_late_rows(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    schema = "ts timestamp, kind string, value decimal(12,2)"
+    first = spark.sql("SELECT * FROM VALUES (timestamp'2001-01-31 10:00:00', 'a', 1.25), (timestamp'2001-02-01 00:00:00', 'a', 2.00), (timestamp'2001-01-31 11:00:00', 'b', 4.00) AS t(ts, kind, value)")
+    late = spark.sql("SELECT * FROM VALUES (timestamp'2001-01-31 23:59:59', 'a', 8.50), (timestamp'2001-02-02 00:00:00', 'b', 1.00) AS t(ts, kind, value)")
+    for rows in (first, late):
+        rows.selectExpr("ts", "kind", "cast(value AS decimal(12,2)) AS value").write.mode("append").parquet(f"{at}/in")
+        stream = ingest.daily(spark.readStream.schema(schema).parquet(f"{at}/in"), "ts", "value", ["kind"])
+        ingest.run_totals(stream, f"{at}/out", f"{at}/cp").awaitTermination()
+    got = {(str(r.txn_month), r.kind): (r.txns, float(r.total)) for r in ingest.monthly(spark.read.parquet(f"{at}/out"), ["kind"]).collect()}
+    assert got == {("2001-01-01", "a"): (2, 9.75), ("2001-02-01", "a"): (1, 2.0), ("2001-01-01", "b"): (1, 4.0), ("2001-02-01", "b"): (1, 1.0)}
+
+
+def test_append_compares_recent_rows(spark, tmp_path):
+    at = f"file://{tmp_path}/out"
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, at string").selectExpr("id", "cast(at AS timestamp_ntz) AS at")
+    batches = [rows(("a", "2001-01-01 00:00:00"), ("n", None)), rows(("b", "2001-03-01 00:00:00"), ("c", "2001-03-05 00:00:00")), rows(("n", None))]
+    for batch in [*batches, *batches, rows(("b", "2001-03-02 00:00:00"), ("d", "2001-03-04 00:00:00"))]:
+        ingest.append_new(batch, at, "id", "at")
+    assert sorted(r.id for r in spark.read.parquet(at).collect()) == ["a", "b", "c", "d", "n"]
+
+
 def test_adhoc(spark, tables, built):
     views = adhoc.views(built["fact"], tables["account"], tables["bank"], "3")
     paths = {n: stored(df, n).inputFiles()[0].rsplit("/", 1)[0] for n, df in views.items()}

@@ -131,6 +131,25 @@ def test_quality_finds_what_is_broken(spark, two_builds):
     assert found(fact=fact.filter("counterparty_kind <> 'person'")).get("kinds_missing") == 1
 
 
+def test_letters_rule_out_no_similar_pair():
+    """What is skipped for its letters is below the threshold, on names with and without words in common."""
+    import itertools
+    import random
+
+    import pandas as pd
+
+    from tallyweave.functions import similarity
+
+    rng = random.Random(3)
+    words = ["SWIGGY", "SWGY", "BIG", "BASKET", "BASKTE", "ÉTÉ", "A", "AB", "STORES", "TORSES", ""]
+    names = ["", *(" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(60))]
+    pairs = list(itertools.combinations(names, 2))
+    a, b = pd.Series([x for x, _ in pairs]), pd.Series([y for _, y in pairs])
+    for least in (50, 70, 92):
+        skipped = [p for p, low in zip(pairs, similarity.hopeless(a, b, least), strict=True) if low]
+        assert skipped and all(similarity.token_set_ratio(*p) < least for p in skipped)
+
+
 def test_similar_pairs_of_the_vocabulary(spark, two_builds):
     """Against all pairs: at 92 none is lost, at 70 at least 99 of 100 are found."""
     from tallyweave.functions import similarity
