@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licences, mixing, sentencepiece, simhash, substrings, topk, toxicity, url_filter, winnow
+from . import bpe, clusters, langid, licences, manifest, mixing, sentencepiece, simhash, substrings, topk, toxicity, url_filter, winnow
 from .common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_MOST)
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_table(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed=2)
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("decimal(20,0)")  # beyond 64 bits too
+    return manifest.audited(table(spark, sf_dir, "documents"), langid.crc32_mod(F.col("doc_id"), 7) == 0, {"n_chars": more})
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sentencepiece.public_model("word_bpe_49k.json")
+    return bpe.digests(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), path), path))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
@@ -79,4 +93,7 @@ QUERIES: dict[str, Query] = {
     "op8_language": op8_language,
     "op9_substrings": op9_substrings,
     "op10_mixing": op10_mixing,
+    "op11_clusters": op11_clusters,
+    "op12_manifest": op12_manifest,
+    "op13_bpe": op13_bpe,
 }
