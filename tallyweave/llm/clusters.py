@@ -123,6 +123,7 @@ def started(vectors: DataFrame, k: int, seed: int, dims: int) -> np.ndarray:
 def clustered(vectors: DataFrame, k: int, rounds: int, dims: int, scale: int, seed: int, leading: int = LEADING) -> tuple[DataFrame, np.ndarray]:
     """(vec_id, cluster, distance) of every vector after ``rounds`` rounds, and the final centroids."""
     kind = vectors.schema["vec_id"].dataType.simpleString()
+    leading = min(leading, dims)
     whole = stored(quantised(vectors, dims, scale), "cluster-vectors")
     centroids = started(whole, k, seed, dims)
     mean, axes = rotation(whole, dims)

@@ -100,13 +100,13 @@ def ranked(rows: DataFrame, keys: list[str], tag: str = "manifest") -> DataFrame
     tied = F.coalesce(F.expr("exists(again, a -> a.low = low)"), F.lit(False))
     out = out.withColumn("tied", tied).drop("w", "low", "bits", "base", "again")
     alone = out.filter(~F.col("tied")).drop("tied")
-    names = {c: F.col(c) for c in alone.columns}
+    names, outer = {c: F.col(c) for c in alone.columns}, f"outer{len(keys)}"
     within = out.filter("tied").select(
         *(c.alias(n) for n, c in names.items() if n not in ("grp", "rank", "total")),
-        F.struct("grp", "rank", "total").alias("outer"), F.concat("grp", F.lit("/"), F.col(keys[0]).cast("string")).alias("grp"),
+        F.struct("grp", "rank", "total").alias(outer), F.concat("grp", F.lit("/"), F.col(keys[0]).cast("string")).alias("grp"),
     )
     within = ranked(stored(within, f"{tag}-tied"), keys[1:], tag)
-    place = {"grp": F.col("outer.grp"), "rank": F.col("outer.rank") + F.col("rank"), "total": F.col("outer.total")}
+    place = {"grp": F.col(f"{outer}.grp"), "rank": F.col(f"{outer}.rank") + F.col("rank"), "total": F.col(f"{outer}.total")}
     return alone.unionByName(within.select(*(place.get(n, F.col(n)).alias(n) for n in alone.columns)))
 
 

@@ -114,4 +114,60 @@ ranked AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds
 SELECT doc_id, source, size, source_size, target, (copies * size + CASE WHEN odds IS NULL THEN 0 ELSE greatest(0, least(size, rest - before)) END)::BIGINT AS taken FROM ranked
 """
 
-ORACLES = {"op3_licences": _op3(), "op6_url_filter": OP6, "op7_topk": OP7, "op9_substrings": OP9, "op10_mixing": OP10}
+
+def _op11(k: int, rounds: int, dims: int, scale: int, seed: int, largest: int) -> str:
+    far = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    steps = [
+        f"""kept AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: greatest(-{largest}, least({largest}, floor(x::DOUBLE * {scale})))::BIGINT) AS v FROM embeddings
+             WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS (SELECT k, v AS c FROM (SELECT v, (row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')), v) - 1)::INTEGER AS k FROM kept) x WHERE k < {k})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT rid, min(struct_pack(d := {far}, k := k)) AS best FROM kept CROSS JOIN c{i} GROUP BY rid)")
+        if i < rounds:
+            steps += [
+                f"s{i} AS (SELECT best.k AS k, j, sum(v[j])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{i} JOIN kept USING (rid) CROSS JOIN (SELECT unnest(range(1, {dims + 1})) AS j) d GROUP BY best.k, j)",
+                f"n{i} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS c FROM s{i} GROUP BY k)",
+                f"c{i + 1} AS MATERIALIZED (SELECT o.k, coalesce(n.c, o.c) AS c FROM c{i} o LEFT JOIN n{i} n ON o.k = n.k)",
+            ]
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, best.k AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.k))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} a JOIN kept USING (rid) JOIN c{rounds} f ON a.best.k = f.k"""
+
+
+_WRITTEN = "coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_WRITTEN.format(c=c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+
+OP12 = f"""
+WITH RECURSIVE
+crc AS (SELECT list(list_reduce(list_concat([i::BIGINT], range(8)), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) x(i)),
+rows AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '-') AS grp, {_LEAF.format(n="n_chars")} AS leaf, {_LEAF.format(n="(n_chars::HUGEINT + 1)")} AS changed,
+         coalesce(xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 7 = 0, false) AS tampered FROM documents, crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY coalesce(doc_id, -9223372036854775808), leaf) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM rows),
+tree AS (SELECT grp, 0 AS level, i, leaf AS h, n FROM placed
+         UNION ALL SELECT grp, any_value(level) + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM tree WHERE n > 1 GROUP BY grp, i // 2),
+subroots AS (SELECT grp, h AS subroot, level AS depth, row_number() OVER (ORDER BY grp) - 1 AS g, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS level, g AS i, subroot AS h, n FROM subroots
+        UNION ALL SELECT any_value(level) + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM top WHERE n > 1 GROUP BY i // 2),
+root AS (SELECT h AS root, level AS height FROM top WHERE n = 1),
+steps AS (SELECT p.rid, t.level AS step, (p.i >> t.level) % 2 AS odd, s.h FROM placed p JOIN (SELECT DISTINCT grp, level, n FROM tree) t ON p.grp = t.grp AND t.n > 1
+              LEFT JOIN tree s ON s.grp = p.grp AND s.level = t.level AND s.i = xor(p.i >> t.level, 1)
+          UNION ALL SELECT p.rid, r.depth + t.level, (r.g >> t.level) % 2, s.h FROM placed p JOIN subroots r ON p.grp = r.grp JOIN (SELECT DISTINCT level, n FROM top) t ON t.n > 1
+              LEFT JOIN top s ON s.level = t.level AND s.i = xor(r.g >> t.level, 1)),
+proofs AS (SELECT rid, sha256(coalesce(string_agg(h, '' ORDER BY step), '')) AS proof FROM steps GROUP BY rid),
+fold AS (SELECT rid, 0 AS step, CASE WHEN tampered THEN changed ELSE leaf END AS h FROM placed
+         UNION ALL SELECT f.rid, f.step + 1, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN s.odd = 1 THEN s.h || f.h ELSE f.h || s.h END) FROM fold f JOIN steps s ON f.rid = s.rid AND f.step = s.step)
+SELECT p.doc_id, p.leaf, r.subroot, root.root, coalesce(q.proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root.root AS verified
+FROM placed p JOIN subroots r ON p.grp = r.grp CROSS JOIN root LEFT JOIN proofs q ON p.rid = q.rid JOIN fold f ON p.rid = f.rid AND f.step = r.depth + root.height
+"""
+
+ORACLES = {
+    "op3_licences": _op3(),
+    "op6_url_filter": OP6,
+    "op7_topk": OP7,
+    "op9_substrings": OP9,
+    "op10_mixing": OP10,
+    "op11_clusters": _op11(40, 5, 64, 256, 2, 1 << 27),
+    "op12_manifest": OP12,
+}
