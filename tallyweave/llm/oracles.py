@@ -60,10 +60,11 @@ FROM ruled r LEFT JOIN listed l ON r.address = l.address
 """
 
 OP7 = """
-WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::INTEGER) AS v FROM embeddings
-               WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-           FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(-144115188075855872, least(144115188075855872, floor(x::DOUBLE * 64)))::BIGINT) AS v FROM embeddings
+               WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, greatest(-9223372036854775807::HUGEINT, least(9223372036854775807::HUGEINT,
+                  list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1]::HUGEINT * p[2]::HUGEINT))))::BIGINT AS score
+           FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """

@@ -224,6 +224,27 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.filter("vec_id in (0, 3, 4)"), F.col("vec_id") % 20 == 0, k=20, dims=8).count() == 2
 
 
+def test_top_k_of_large_components_and_mixed_lengths(spark, monkeypatch):
+    """Components up to the bounds, scores beyond 64 bits, and vectors of several lengths, against plain integers."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 25)
+    monkeypatch.setattr(topk, "GROUP_BLOCKS", 1)
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(240):
+        x = rng.standard_normal([8, 32, 5][i % 3]) * [1, 1e3, 1e9, 1e300][i % 4 if i % 7 == 0 else 0]
+        rows.append((i, [float(v) for v in x]))
+    rows += [(240, [1e9] * 8), (260, [-1e300] * 8), (280, [1e300] * 8), (281, [1e300] * 8), (300, [1.0]), (320, [])]
+    df = spark.createDataFrame([(i, v, "clash", 1) for i, v in rows], "vec_id long, embedding array<double>, block string, n int")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=20).collect())
+    whole = {i: [max(-(1 << 57), min(1 << 57, int(np.floor(np.float64(x) * 64)))) for x in v] for i, v in rows if v}
+    want = []
+    for q in (i for i in whole if i % 20 == 0):
+        scores = [(max(-(1 << 63) + 1, min((1 << 63) - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q and len(v) == len(whole[q])]
+        want += [(q, r, i, s) for r, (s, i) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:20], 1)]
+    assert got == sorted(want)
+    assert topk.top_k(df, F.col("vec_id") % 20 == 0, k=20, dims=32).select("vec_id").distinct().count() > 20
+
+
 def test_search_stops_before_the_lists_end():
     """Vectors with most energy in few dimensions: the bound ends the search; with a floor, sooner still. All is exact."""
     rng = np.random.default_rng(7)
