@@ -3,8 +3,8 @@
 A text falls into chunks at ASCII white space; what the tokenizer does to a chunk depends on the chunk alone. A chunk is
 normalised (NFC, white space, lower case) and cut into words by the file's pattern; a word's ids come from its merges.
 
-The words of all texts are counted with Spark, and the most frequent ones (``LEXICON`` of them, of up to ``LONGEST``
-bytes) are compiled into a lexicon: the minimal automaton of the sorted words, whose equal suffixes are shared, with
+The words of all texts are counted with Spark, and the most frequent ones (up to ``LEXICON`` of them, of up to ``LONGEST``
+bytes, all whose count lies above a limit that a histogram of the counts gives) are compiled into a lexicon: the minimal automaton of the sorted words, whose equal suffixes are shared, with
 additive outputs on its arcs. The outputs along a word's path sum up to its number, and a table has the ids of each
 number. The lexicon is one file in the shared folder, which Spark hands to every executor and tasks map into memory, so
 the workers of a machine share its pages. A task looks all distinct words of a batch up at once, one letter of each at a
@@ -36,12 +36,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, pieces, shared_dir
+from .common import byte_texts, pieces, shared_dir, stored
 
-#: Words of the lexicon, and bytes of its longest.
-LEXICON, LONGEST = 131_072, 48
-#: Bytes of text that a task works on at a time, words that it remembers the merges of, and those that it counts before it passes them on.
-PIECE, WORDS_KEPT, WORDS_COUNTED = 4 << 20, 200_000, 300_000
+#: Words of the lexicon at the most, and bytes of its longest.
+LEXICON, LONGEST = 262_144, 48
+#: Bytes of text that a task works on at a time, chunks of each of the two generations that it remembers, and chunks that it counts before it passes their words on.
+PIECE, CHUNKS_KEPT, CHUNKS_COUNTED = 2 << 20, 150_000, 400_000
 #: Symbols of a word from which on the next merge is sought with a heap.
 MANY = 96
 
@@ -53,6 +53,10 @@ _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same pattern over lower-cased ASCII.
 _ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
+#: The same over texts of Latin letters and common punctuation, of which every Unicode version says the same.
+_LATIN = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac]+")
+_LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼-¾", "\x09-\x0d\x20\x85\xa0"
+_LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
 
 def _byte_letters() -> list[str]:
@@ -142,21 +146,39 @@ class Cutter:
         names = sorted(special, key=lambda s: (-len(s), s))
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
-    def words(self, chunk: bytes) -> list[bytes]:
-        """The words of a chunk without special tokens."""
-        if chunk.isalpha():
-            return [chunk.lower()]
-        if chunk.isascii():
-            return _ASCII.findall(chunk.lower())
-        return [w.encode() for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk.decode()))]
-
-    def parts(self, chunk: bytes) -> list[str | bytes]:
-        """The words of a chunk, and its special tokens as texts."""
-        if b"<" not in chunk or self.special is None:
-            return self.words(chunk)
-        out: list[str | bytes] = []
-        for k, part in enumerate(self.special.split(chunk.decode())):
-            out += [part] if k % 2 else self.words(part.encode()) if part else []
+    def _normalised(self, texts: list[str]) -> list[str]:
+        """Each text normalised; those without white space all at once, as nothing composes over a space."""
+        out, whole = [""] * len(texts), []
+        for i, t in enumerate(texts):
+            if len(t.split()) == 1 and not t[0].isspace() and not t[-1].isspace():
+                whole.append(i)
+            else:
+                out[i] = self.normalizer.normalize_str(t)
+        made = self.normalizer.normalize_str(" ".join([texts[i] for i in whole])).split(" ") if whole else []
+        for i, t in zip(whole, made, strict=True):
+            out[i] = t
+        return out
+
+    def _cut(self, text: str) -> list[bytes]:
+        words = _LATIN_WORDS.findall(text) if _LATIN.fullmatch(text) else [w for w, _ in self.splitter.pre_tokenize_str(text)]
+        return [w.encode() for w in words]
+
+    def parts(self, chunks: list[bytes]) -> list[list[str | bytes]]:
+        """The words of each chunk, and its special tokens as texts."""
+        out: list[list[str | bytes]] = [[]] * len(chunks)
+        others = []
+        for i, chunk in enumerate(chunks):
+            if chunk.isalpha():
+                out[i] = [chunk.lower()]
+            elif self.special is not None and b"<" in chunk and len(split := self.special.split(chunk.decode())) > 1:
+                cut = iter(self.parts([x.encode() for x in split[::2]]))
+                out[i] = [w for k, x in enumerate(split) for w in ([x] if k % 2 else next(cut))]
+            elif chunk.isascii():
+                out[i] = _ASCII.findall(chunk.lower())
+            else:
+                others.append(i)
+        for i, text in zip(others, self._normalised([chunks[i].decode() for i in others]), strict=True):
+            out[i] = self._cut(text)
         return out
 
 
@@ -247,36 +269,45 @@ def mapped(path: str) -> dict[str, np.ndarray]:
 
 
 class Encoder:
-    """Ids of texts in one task: words from the lexicon, others merged and, up to a bound, remembered."""
+    """Ids of texts in one task: words from the lexicon, others merged.
+
+    Chunks are remembered in two generations: those that the present one hasn't seen are taken over from the one before,
+    so frequent ones stay and others go.
+    """
 
     def __init__(self, tokenizer: Tokenizer, lexicon: dict[str, np.ndarray]):
         self.t, self.lexicon, self.cutter = tokenizer, lexicon, Cutter(tokenizer.special)
-        self.merged: dict[bytes, bytes] = {}
+        self.of: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in tokenizer.special.items()}
+        self.ids, self.ends = memoryview(lexicon["ids"]).cast("B"), np.append(lexicon["ends"], 0).astype(np.int64) * 4
 
-    def _word(self, word: bytes) -> bytes:
-        ids = self.merged.get(word)
-        if ids is None:
-            ids = np.array(self.t.merge(word), "<u4").tobytes()
-            if len(word) <= LONGEST:
-                self.merged[word] = ids
-        return ids
+    def learn(self, chunks: list[bytes]) -> None:
+        """Packed ids of new chunks."""
+        parts = self.cutter.parts(chunks)
+        words = list({w for ws in parts for w in ws if isinstance(w, bytes)})
+        number = numbers(self.lexicon, words)
+        ids, merge = self.ids, self.t.merge
+        spans = zip(words, number.tolist(), self.ends[number].tolist(), self.ends[number + 1].tolist(), strict=True)
+        known: dict[str | bytes, bytes] = {w: bytes(ids[a:b]) if i >= 0 else np.array(merge(w), "<u4").tobytes() for w, i, a, b in spans}
+        known |= self.special
+        self.of |= {c: known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for c, ws in zip(chunks, parts, strict=True)}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each text."""
-        if len(self.merged) > WORDS_KEPT:
-            self.merged.clear()
+        if len(self.of) > CHUNKS_KEPT:
+            self.of, self.before = {}, self.of
         split = [t.split() for t in texts]
-        chunks = list({c for cs in split for c in cs})
-        parts = [self.cutter.parts(c) for c in chunks]
-        words = list({w for ws in parts for w in ws if isinstance(w, bytes)})
-        number = numbers(self.lexicon, words)
-        ids, ends = memoryview(self.lexicon["ids"]).cast("B"), (self.lexicon["ends"].astype(np.int64) * 4).tolist()
-        known: dict[str | bytes, bytes] = dict(self.special)
-        for word, i in zip(words, number.tolist(), strict=True):
-            known[word] = bytes(ids[ends[i] : ends[i + 1]]) if i >= 0 else self._word(word)
-        of = {c: known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for c, ws in zip(chunks, parts, strict=True)}
-        return [b"".join(map(of.__getitem__, cs)) for cs in split]
+        new = {c for cs in split for c in cs}.difference(self.of)
+        again = new.intersection(self.before)
+        self.of |= {c: self.before[c] for c in again}
+        new = list(new - again)
+        self.learn(new)
+        out = [b"".join(map(self.of.__getitem__, cs)) for cs in split]
+        for chunk in new:
+            if len(chunk) > 8 * LONGEST:  # long ones aren't remembered
+                del self.of[chunk]
+        return out
 
 
 def word_counts(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
@@ -284,28 +315,42 @@ def word_counts(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     special = list(tokenizer.special)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, held = Cutter(special), Counter()
+        cutter, chunks = Cutter(special), Counter()
 
         def out() -> pa.RecordBatch:
+            held: Counter[bytes] = Counter()
+            for words, n in zip(cutter.parts(list(chunks)), chunks.values(), strict=True):
+                for word in words:
+                    if isinstance(word, bytes) and len(word) <= LONGEST:
+                        held[word] += n
+            chunks.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
         for batch in pieces(batches, text=0, most=PIECE):
-            chunks: Counter[bytes] = Counter()
             for text in byte_texts(batch.column(0)):
                 chunks.update(text.split())
-            for chunk, n in chunks.items():
-                for word in cutter.parts(chunk):
-                    if isinstance(word, bytes) and len(word) <= LONGEST:
-                        held[word] += n
-            if len(held) > WORDS_COUNTED:
+            if len(chunks) > CHUNKS_COUNTED:
                 yield out()
-                held.clear()
-        if held:
-            yield out()
+        yield out()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> list[bytes]:
+    """The most frequent words of (word, n): all those above the lowest limit that ``most`` of them at the most reach.
+
+    The limit comes from a histogram of the counts in eighths of powers of two, so no task and not the driver sees more.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    taken, limit = 0, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():  # 512 rows at the most
+        taken += r.words
+        if taken > most:
+            break
+        limit = r.step
+    return [] if limit is None else counts.filter(step >= limit).select("word").toArrow().column(0).to_pylist()
+
+
 def lexicon_of(tokenizer: Tokenizer, words: Iterable[bytes]) -> dict[str, np.ndarray]:
     """The lexicon of some words, with their ids."""
     ordered = sorted(words)
@@ -331,8 +376,8 @@ def _handed_out(spark: SparkSession, data: bytes) -> str:
 def encoded(docs: DataFrame, path: str, most: int = LEXICON) -> DataFrame:
     """(doc_id, ids) of every document, ids packed; ``path`` is a tokenizer file, ``most`` the words of the lexicon."""
     tokenizer = Tokenizer(path)
-    frequent = word_counts(docs, tokenizer).orderBy(F.desc("n"), "word").limit(most).select("word").toArrow()  # as many as ``most`` at the most
-    name = _handed_out(docs.sparkSession, packed(lexicon_of(tokenizer, frequent.column(0).to_pylist())))
+    counts = stored(word_counts(docs, tokenizer), "bpe-words")
+    name = _handed_out(docs.sparkSession, packed(lexicon_of(tokenizer, frequent(counts, most))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, mapped(SparkFiles.get(name)))
