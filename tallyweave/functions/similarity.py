@@ -1,4 +1,8 @@
-"""Similarity of names: token-set and weighted ratios over longest common subsequences, in Arrow batches."""
+"""Similarity of names: token-set and weighted ratios over longest common subsequences, in Arrow batches.
+
+``Block`` compares one name with many at once: letters of the one are bits of a number, and each step of the common
+subsequence is taken for all others together. Which names need that at all follows from an upper bound on the score.
+"""
 
 from __future__ import annotations
 
@@ -102,3 +106,141 @@ def token_set(least: float) -> Callable[..., Column]:
 def best(a: pd.Series, b: pd.Series) -> pd.Series:
     """The higher of the token-set and the weighted ratio."""
     return pd.Series([_best(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+#: Letters of a name that fit the bits of a number; longer names are compared one by one.
+BITS = 63
+
+
+def _bag(codes: np.ndarray) -> np.ndarray:
+    return np.bincount(codes % 64, minlength=64).astype(np.int16)
+
+
+def _codes(name: str) -> np.ndarray:
+    return np.frombuffer(name.encode("utf-32-le"), "<u4").astype(np.int64)
+
+
+class _Texts:
+    """Texts as rows of letters, and what one text has in common with them."""
+
+    def __init__(self, texts: list[str]):
+        rows = [_codes(t) for t in texts]
+        self.length = np.array([len(r) for r in rows], np.int64)
+        self.letters = np.zeros((len(rows), int(self.length.max(initial=0))), np.int64)
+        for i, r in enumerate(rows):
+            self.letters[i, : len(r)] = r
+
+    def masks(self, a: str, at: np.ndarray) -> np.ndarray:
+        """For each letter of the rows ``at`` the places, as bits, where ``a`` has it."""
+        codes = _codes(a)
+        known = np.unique(codes)
+        bits = np.array([sum(1 << int(i) for i in np.flatnonzero(codes == c)) for c in known], np.uint64)
+        letters = self.letters[at]
+        k = np.minimum(np.searchsorted(known, letters), len(known) - 1)
+        return np.where(known[k] == letters, bits[k], np.uint64(0))
+
+    @staticmethod
+    def _common(masks: np.ndarray, full: np.uint64, within: np.ndarray | np.uint64) -> np.ndarray:
+        row = np.full(len(masks), full, np.uint64)
+        for column in masks.T:
+            hit = row & column & within
+            row = ((row + hit) | (row - hit)) & full
+        return np.bitwise_count(~row & within).astype(np.int64)
+
+    def ratio(self, a: str, at: np.ndarray) -> np.ndarray:
+        """``ratio`` of ``a`` with each of the rows ``at``."""
+        full = np.uint64((1 << len(a)) - 1)
+        return 200.0 * self._common(self.masks(a, at), full, full) / (len(a) + self.length[at])
+
+    def partial(self, a: str, at: np.ndarray) -> np.ndarray:
+        """``_partial`` of ``a`` with each of the rows ``at``."""
+        n, masks, length, full = len(a), self.masks(a, at), self.length[at], np.uint64((1 << len(a)) - 1)
+        best = np.zeros(len(at))
+        rows = np.flatnonzero(length >= n)
+        for i in range(1 - n, int(length[rows].max(initial=0))):  # parts of the others
+            lo, own = max(0, i), rows[length[rows] > i]
+            part = np.minimum(length[own], i + n) - lo
+            best[own] = np.maximum(best[own], 200.0 * self._common(masks[own, lo : i + n], full, full) / (n + part))
+        rows = np.flatnonzero(length < n)
+        widest = int(length[rows].max(initial=0))
+        one = np.uint64(1)
+        for i in range(1 - widest, n):  # parts of ``a``
+            own = rows[1 - length[rows] <= i]
+            lo, hi = np.full(len(own), max(0, i)), np.minimum(i + length[own], n)
+            within = ((one << hi.astype(np.uint64)) - one) ^ ((one << lo.astype(np.uint64)) - one)
+            best[own] = np.maximum(best[own], 200.0 * self._common(masks[own, :widest], full, within) / (length[own] + hi - lo))
+        return best
+
+
+class Block:
+    """Names of which the most similar ones to a name are sought.
+
+    Of a name without a common word the score can't be above what the letters that both have, in whatever order, would
+    give. Names are scored by falling bound, until the bound is below the k-th best score. Names with a common word, very
+    long ones and those that repeat a word have no such bound and are scored one by one; they are found by their words.
+    """
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        words = [n.split() for n in names]
+        odd = [len(n) > BITS or len(set(w)) < len(w) or not w for n, w in zip(names, words, strict=True)]
+        self.odd, self.even = np.flatnonzero(odd), np.flatnonzero(~np.array(odd, bool))
+        self.having: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            for x in set(w):
+                self.having.setdefault(x, []).append(i)
+        self.plain = _Texts(["" if o else n for n, o in zip(names, odd, strict=True)])
+        self.sorted = _Texts(["" if o else " ".join(sorted(w)) for w, o in zip(words, odd, strict=True)])
+        self.bags = np.array([_bag(_codes(n)) for n in names], np.int16).reshape(-1, 64)
+        self.scored = 0
+
+    def _bound(self, name: str, at: np.ndarray) -> np.ndarray:
+        n, length = len(name), self.plain.length[at]
+        common = np.minimum(self.bags[at], _bag(_codes(name))).sum(axis=1)
+        short, long = np.minimum(n, length), np.maximum(n, length)
+        whole = 200.0 * common / (n + length)
+        part = np.where(long > 8 * short, 0.6, 0.9) * 200.0 * common / (short + np.minimum(common, short))
+        return np.where(long < 1.5 * short, whole, np.maximum(whole, part)) + 1e-9
+
+    def _scores(self, name: str, at: np.ndarray) -> np.ndarray:
+        """``_best`` of names without a word of ``name``."""
+        tidy = " ".join(sorted(name.split()))
+        plain, words = self.plain.ratio(name, at), self.sorted.ratio(tidy, at)
+        n, length = len(name), self.plain.length[at]
+        short, long = np.minimum(n, length), np.maximum(n, length)
+        out = np.maximum(plain, words)
+        far = np.flatnonzero(long >= 1.5 * short)
+        if len(far):
+            scale = np.where(long[far] > 8 * short[far], 0.6, 0.9)
+            part = np.maximum(scale * self.plain.partial(name, at[far]), scale * 0.95 * self.sorted.partial(tidy, at[far]))
+            out[far] = np.maximum(out[far], part)
+        return out
+
+    def top(self, name: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of all names that are at least as similar as the k-th."""
+        words = name.split()
+        if len(name) > BITS or len(set(words)) < len(words):
+            at = np.arange(len(self.names))
+            self.scored += len(at)
+            return at, np.array([_best(name, n) for n in self.names])
+        near = np.unique(np.concatenate([self.odd, *(np.array(self.having[w], np.int64) for w in words if w in self.having)]).astype(np.int64))
+        rest = np.setdiff1d(self.even, near, assume_unique=True)
+        bound = self._bound(name, rest)
+        order = np.argsort(-bound, kind="stable")
+        rest, bound = rest[order], bound[order]
+        found, scores = [near], [np.array([_best(name, self.names[i]) for i in near])]
+        kth, lo = -1.0, 0
+        while True:
+            have = np.concatenate(scores)
+            if len(have) >= k:
+                kth = np.partition(have, len(have) - k)[-k]
+            hi = min(lo + 256, int(np.searchsorted(-bound, -kth, side="right")))
+            if hi <= lo:
+                break
+            found.append(rest[lo:hi])
+            scores.append(self._scores(name, rest[lo:hi]))
+            lo = hi
+        at, have = np.concatenate(found), np.concatenate(scores)
+        self.scored += len(at)
+        keep = have >= kth
+        return at[keep], have[keep]

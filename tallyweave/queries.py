@@ -224,6 +224,13 @@ def mention_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.mentioned(texts, resolve.vocabulary(_dim(spark, sf_dir)))
 
 
+def names_in_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counterparty, or what stands in its place, that each conversation's turn names."""
+    turns = _conversations(spark, sf_dir)
+    texts = turns.select(F.concat_ws(":", "conv_id", "turn").alias("text_id"), (F.col("conv_id") % 25).cast("string").alias("entity_id"), "text")
+    return resolve.names_asked(texts, resolve.vocabulary(_dim(spark, sf_dir)))
+
+
 def period_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which questions need a period, a question per transaction."""
     fact, key = _fact(spark, sf_dir), F.col("transaction_id").cast("bigint")
@@ -312,6 +319,7 @@ QUERIES: dict[str, Query] = {
     "resolve_exact": lambda s, d: resolve.resolved(_mentions(s, d), resolve.vocabulary(_dim(s, d)), fuzzy=False).select("mention_id", "status", "entity", "confidence", "method"),
     "resolve_cascade": lambda s, d: resolve.resolved(_mentions(s, d), resolve.vocabulary(_dim(s, d))),
     "mention_detection": mention_detection,
+    "names_in_conversations": names_in_conversations,
     "period_gate": period_gate,
     "scorecard": scorecard,
     "resolve_statistics": lambda s, d: resolve.with_statistics(resolve.resolved(_mentions(s, d), resolve.vocabulary(_dim(s, d)), fuzzy=False), _mentions(s, d), _dim(s, d)).select("mention_id", "entity", "statistics.txn_count", "statistics.total_debit", "statistics.active_months"),
