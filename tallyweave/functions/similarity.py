@@ -157,10 +157,16 @@ class _Texts:
         n, masks, length, full = len(a), self.masks(a, at), self.length[at], np.uint64((1 << len(a)) - 1)
         best = np.zeros(len(at))
         rows = np.flatnonzero(length >= n)
-        for i in range(1 - n, int(length[rows].max(initial=0))):  # parts of the others
-            lo, own = max(0, i), rows[length[rows] > i]
-            part = np.minimum(length[own], i + n) - lo
-            best[own] = np.maximum(best[own], 200.0 * self._common(masks[own, lo : i + n], full, full) / (n + part))
+        if len(rows):  # parts of the others: beginnings, one letter more each time, then parts from each letter on
+            row = np.full(len(rows), full, np.uint64)
+            for j in range(n - 1):
+                hit = row & masks[rows, j]
+                row = ((row + hit) | (row - hit)) & full
+                best[rows] = np.maximum(best[rows], 200.0 * np.bitwise_count(~row & full) / (n + j + 1))
+        for i in range(int(length[rows].max(initial=0))):
+            own = rows[length[rows] > i]
+            part = np.minimum(length[own], i + n) - i
+            best[own] = np.maximum(best[own], 200.0 * self._common(masks[own, i : i + n], full, full) / (n + part))
         rows = np.flatnonzero(length < n)
         widest = int(length[rows].max(initial=0))
         one = np.uint64(1)
@@ -172,18 +178,24 @@ class _Texts:
         return best
 
 
+def _is_odd(name: str, words: list[str]) -> bool:
+    """Whether a name is very long, repeats a word or isn't its words with single spaces."""
+    return len(name) > BITS or len(set(words)) < len(words) or not words or name != " ".join(words)
+
+
 class Block:
     """Names of which the most similar ones to a name are sought.
 
     Of a name without a common word the score can't be above what the letters that both have, in whatever order, would
     give. Names are scored by falling bound, until the bound is below the k-th best score. Names with a common word, very
-    long ones and those that repeat a word have no such bound and are scored one by one; they are found by their words.
+    long ones, those that repeat a word and those with other than single spaces have no such bound and are scored one by
+    one; they are found by their words.
     """
 
     def __init__(self, names: list[str]):
         self.names = names
         words = [n.split() for n in names]
-        odd = [len(n) > BITS or len(set(w)) < len(w) or not w for n, w in zip(names, words, strict=True)]
+        odd = [_is_odd(n, w) for n, w in zip(names, words, strict=True)]
         self.odd, self.even = np.flatnonzero(odd), np.flatnonzero(~np.array(odd, bool))
         self.having: dict[str, list[int]] = {}
         for i, w in enumerate(words):
@@ -194,52 +206,53 @@ class Block:
         self.bags = np.array([_bag(_codes(n)) for n in names], np.int16).reshape(-1, 64)
         self.scored = 0
 
-    def _bound(self, name: str, at: np.ndarray) -> np.ndarray:
+    def _bounds(self, name: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The most that names without a word of ``name`` can score, and the most that a part of them can."""
         n, length = len(name), self.plain.length[at]
         common = np.minimum(self.bags[at], _bag(_codes(name))).sum(axis=1)
         short, long = np.minimum(n, length), np.maximum(n, length)
         whole = 200.0 * common / (n + length)
-        part = np.where(long > 8 * short, 0.6, 0.9) * 200.0 * common / (short + np.minimum(common, short))
-        return np.where(long < 1.5 * short, whole, np.maximum(whole, part)) + 1e-9
+        part = np.where(long > 8 * short, 0.6, 0.9) * 200.0 * common / (short + np.minimum(common, short)) + 1e-9
+        part[long < 1.5 * short] = 0.0
+        return np.maximum(whole + 1e-9, part), part
 
-    def _scores(self, name: str, at: np.ndarray) -> np.ndarray:
-        """``_best`` of names without a word of ``name``."""
+    def _scores(self, name: str, at: np.ndarray, part: np.ndarray, least: float) -> np.ndarray:
+        """``_best`` of names without a word of ``name``; where it is below ``least``, anything below that."""
         tidy = " ".join(sorted(name.split()))
-        plain, words = self.plain.ratio(name, at), self.sorted.ratio(tidy, at)
+        out = np.maximum(self.plain.ratio(name, at), self.sorted.ratio(tidy, at))
         n, length = len(name), self.plain.length[at]
-        short, long = np.minimum(n, length), np.maximum(n, length)
-        out = np.maximum(plain, words)
-        far = np.flatnonzero(long >= 1.5 * short)
-        if len(far):
-            scale = np.where(long[far] > 8 * short[far], 0.6, 0.9)
-            part = np.maximum(scale * self.plain.partial(name, at[far]), scale * 0.95 * self.sorted.partial(tidy, at[far]))
-            out[far] = np.maximum(out[far], part)
+        scale = np.where(np.maximum(n, length) > 8 * np.minimum(n, length), 0.6, 0.9)
+        for texts, word, weight, most in ((self.plain, name, scale, part), (self.sorted, tidy, scale * 0.95, part * 0.95 + 1e-9)):
+            own = np.flatnonzero((most > out) & (most >= least))
+            if len(own):
+                out[own] = np.maximum(out[own], weight[own] * texts.partial(word, at[own]))
         return out
 
     def top(self, name: str, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of all names that are at least as similar as the k-th."""
         words = name.split()
-        if len(name) > BITS or len(set(words)) < len(words):
-            at = np.arange(len(self.names))
-            self.scored += len(at)
-            return at, np.array([_best(name, n) for n in self.names])
+        if _is_odd(name, words):
+            self.scored += len(self.names)
+            full = np.array([_best(name, n) for n in self.names])
+            at = np.flatnonzero(full >= (np.partition(full, len(full) - k)[-k] if len(full) > k else 0))
+            return at, full[at]
         near = np.unique(np.concatenate([self.odd, *(np.array(self.having[w], np.int64) for w in words if w in self.having)]).astype(np.int64))
         rest = np.setdiff1d(self.even, near, assume_unique=True)
-        bound = self._bound(name, rest)
+        bound, part = self._bounds(name, rest)
         order = np.argsort(-bound, kind="stable")
-        rest, bound = rest[order], bound[order]
+        rest, bound, part = rest[order], bound[order], part[order]
         found, scores = [near], [np.array([_best(name, self.names[i]) for i in near])]
-        kth, lo = -1.0, 0
+        kth, lo, step = -1.0, 0, 64
         while True:
             have = np.concatenate(scores)
             if len(have) >= k:
                 kth = np.partition(have, len(have) - k)[-k]
-            hi = min(lo + 256, int(np.searchsorted(-bound, -kth, side="right")))
+            hi = min(lo + step, int(np.searchsorted(-bound, -kth, side="right")))
             if hi <= lo:
                 break
             found.append(rest[lo:hi])
-            scores.append(self._scores(name, rest[lo:hi]))
-            lo = hi
+            scores.append(self._scores(name, rest[lo:hi], part[lo:hi], kth))
+            lo, step = hi, 2 * step
         at, have = np.concatenate(found), np.concatenate(scores)
         self.scored += len(at)
         keep = have >= kth

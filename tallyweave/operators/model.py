@@ -16,7 +16,8 @@ FACT = [
 ]
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has few rows."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
@@ -27,7 +28,7 @@ def fact(extracted: DataFrame, aliases: DataFrame, account: DataFrame, checked:
     """
     owner = account.select("account_id", "entity_id")
     if checked:
-        aliases, owner = _small(aliases), _small(owner)
+        aliases, owner = small(aliases), small(owner)
     rows = extracted.join(aliases, "merchant_raw", "left").join(owner, "account_id", "left")
     rows = rows.withColumns(
         {

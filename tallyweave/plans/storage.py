@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 
@@ -30,3 +32,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def state_of(spark: SparkSession, paths: list[str]) -> str:
+    """Changes with the names, sizes and modification times of the files at ``paths`` or in these folders."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    said = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        said += [jvm.org.apache.commons.lang3.ArrayUtils.toString(fs.globStatus(jvm.org.apache.hadoop.fs.Path(x))) for x in (path, f"{path}/*")]
+    return hashlib.sha256(re.sub(r"access_?[tT]ime=\d+", "", " ".join(said)).encode()).hexdigest()

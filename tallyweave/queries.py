@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 from datetime import date
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import narration, periods, privacy, similarity
 from .operators import adhoc, balances, conversations, model, payouts, quality, resolve, spend, trust, vocabulary
 from .plans import build
-from .plans.storage import shared_dir, stored
+from .plans.storage import shared_dir, state_of, stored
 from .sources import landing, ledger
 from .streaming import ingest
 
@@ -37,7 +38,10 @@ def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return narration.extracted(t["transaction"], t["bank"])
 
 
-_built: dict[tuple[str, str], str] = {}
+_built: dict[tuple[str, str, str, bool], str] = {}
+_building = threading.Lock()
+#: Tables that the ledger is made of.
+LEDGER_TABLES = ["orders", "part", "customer"]
 
 
 def _place(spark: SparkSession, tag: str) -> str:
@@ -45,13 +49,18 @@ def _place(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def warehouse(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The warehouse of a folder's tables: built once per application, then read. Names aren't clustered, so that SQL can check it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
-        root = _place(spark, "warehouse")
-        build.full(spark, _tables(spark, sf_dir), root, cluster=False)
-        _built[key] = root
+def warehouse(spark: SparkSession, sf_dir: str, cluster: bool = False) -> dict[str, DataFrame]:
+    """The warehouse of a folder's tables: built once per application and state of their files, then read.
+
+    Names are clustered in one of the two that there are; SQL can check the other.
+    """
+    state = state_of(spark, [f"{sf_dir}/{n}.parquet" for n in LEDGER_TABLES])
+    key = (spark.sparkContext.applicationId, sf_dir, state, cluster)
+    with _building:
+        if key not in _built:
+            root = _place(spark, "warehouse")
+            build.full(spark, _tables(spark, sf_dir), root, cluster=cluster)
+            _built[key] = root
     return build.read(spark, _built[key])
 
 
@@ -119,6 +128,11 @@ def name_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.clusters(counted)
 
 
+def clustered_counterparties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entity's counterparties under their clustered names, from the clustered warehouse."""
+    return warehouse(spark, sf_dir, cluster=True)["dim"]
+
+
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vocabulary.folded(vocabulary.vocabulary(_extracted(spark, sf_dir))).select("brand").distinct()
     ranked = rows.select(F.col("brand").alias("name"), F.col("brand").alias("rank"))
@@ -274,6 +288,7 @@ QUERIES: dict[str, Query] = {
     "kind_scores": _aliases,
     "vocabulary_statistics": lambda s, d: vocabulary.statistics(vocabulary.vocabulary(_extracted(s, d)), _aliases(s, d), _tables(s, d)["bank"]),
     "name_clusters": name_clusters,
+    "clustered_counterparties": clustered_counterparties,
     "name_similarity": name_similarity,
     "txn_fact": _fact,
     "merchant_dim": _dim,
