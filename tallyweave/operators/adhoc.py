@@ -6,12 +6,27 @@ Functions that call into the JVM are shadowed. The cap lies outside the text, so
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.privacy import masked, redacted_fields
+from . import resolve
 
 CAP = 200
+_LITERAL = re.compile(r"'((?:''|[^'])*)'")
+#: Literals, quoted names and comments, in which a question mark is no place for a parameter.
+_QUOTED = re.compile(r"'(?:''|[^'])*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+
+
+class Unresolved(ValueError):
+    """A filter names a counterparty that isn't known, or several; ``status``, ``value`` and ``candidates`` say which."""
+
+    def __init__(self, status: str, value: str, candidates: list[str]):
+        super().__init__(f"{value!r}: {status.lower().replace('_', ' ')}, near: {', '.join(candidates) or 'none'}")
+        self.status, self.value, self.candidates = status, value, candidates
+
 HEADLINE = ("amount", "total", "sum", "balance", "spend", "value")
 
 
@@ -25,14 +40,37 @@ def views(fact: DataFrame, account: DataFrame, bank: DataFrame, entity: str) ->
     return {"my_transactions": redacted_fields(own, ["description"]), "my_accounts": accounts}
 
 
-def run(spark: SparkSession, paths: dict[str, str], text: str, params: list | None = None) -> tuple[DataFrame, DataFrame]:
+def named(spark: SparkSession, text: str, params: list, vocab: DataFrame, entity: str) -> tuple[str, list]:
+    """``text`` and ``params`` with the counterparties that they filter by under their canonical names.
+
+    Enums, numbers, days and periods stay. A value that is no counterparty of the entity, or may be several, raises
+    ``Unresolved``, as the filter would find nothing and look like an answer.
+    """
+    values = {v for v in [*(p for p in params if isinstance(p, str)), *(x.replace("''", "'") for x in _LITERAL.findall(text))] if v.strip()}
+    if not values:
+        return text, params
+    asked = spark.createDataFrame([(v, entity, v) for v in sorted(values)], "mention_id string, entity_id string, name string")
+    known = {}
+    for r in resolve.guarded(asked, vocab.filter(F.col("entity_id") == entity)).collect():  # a row for each value of one text
+        if r.status in ("NOT_FOUND", "AMBIGUOUS"):
+            raise Unresolved(r.status, r.mention_id, r.candidates)
+        known[r.mention_id] = r.value if r.status == "MATCH" else r.mention_id
+    quoted = lambda m: "'" + known.get(m[1].replace("''", "'"), m[1].replace("''", "'")).replace("'", "''") + "'"
+    return _LITERAL.sub(quoted, text), [known.get(p, p) if isinstance(p, str) else p for p in params]
+
+
+def run(spark: SparkSession, paths: dict[str, str], text: str, params: list | None = None, vocab: DataFrame | None = None, entity: str = "") -> tuple[DataFrame, DataFrame]:
     """(rows, summary) of a SELECT over stored views (name to Parquet path).
 
-    summary has the number of rows shown and whether there are more.
+    summary has the number of rows shown and whether there are more. With ``vocab``, the names of ``entity``, what the
+    text filters by is resolved before it runs.
     """
     params = params or []
-    if text.count("?") != len(params):
-        raise ValueError(f"{len(params)} parameters for {text.count('?')} places")
+    places = _QUOTED.sub(" ", text).count("?")
+    if places != len(params):
+        raise ValueError(f"{len(params)} parameters for {places} places")
+    if vocab is not None:
+        text, params = named(spark, text, params, vocab, entity)
     session = spark.newSession()
     for name, path in paths.items():
         session.read.parquet(path).createOrReplaceTempView(name)

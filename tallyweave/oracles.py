@@ -231,6 +231,7 @@ ORACLES = {
         used AS (SELECT vendor_id, CASE WHEN n_out >= 2 THEN n_out ELSE n_all END AS n, CASE WHEN n_out >= 2 THEN mean_out ELSE mean_all END AS mean, CASE WHEN n_out >= 2 THEN sd_out ELSE sd_all END AS sd FROM stats)
         SELECT vendor_name, payout_key, line, payout_date, amount, round(mean, 2) AS usual, round(x / mean, 1) AS times FROM marked m JOIN used u ON m.vendor_id = u.vendor_id JOIN vendors v ON m.vendor_id = v.vendor_id
         WHERE inside AND x > mean + 1.5 * coalesce(sd, 0.3 * mean) AND x > 1.4 * mean AND n >= 2""",
+    "stream_fact": f"{_BASE} SELECT * FROM fact",
     "stream_dedupe": "SELECT event_id, user_id, event_type, value FROM events",
     "stream_monthly": "SELECT CAST(date_trunc('month', ts) AS DATE) AS txn_month, event_type, count(*) AS txns, CAST(sum(value) AS DECIMAL(25,2)) AS total FROM events GROUP BY 1, 2",
 }

@@ -50,7 +50,12 @@ def _place(spark: SparkSession, tag: str) -> str:
 
 
 def warehouse(spark: SparkSession, sf_dir: str, cluster: bool = False) -> dict[str, DataFrame]:
-    """The warehouse of a folder's tables: built once per application and state of their files, then read.
+    """The warehouse of a folder's tables, read."""
+    return build.read(spark, warehouse_root(spark, sf_dir, cluster))
+
+
+def warehouse_root(spark: SparkSession, sf_dir: str, cluster: bool = False) -> str:
+    """Where the warehouse of a folder's tables is: built once per application and state of their files.
 
     Names are clustered in one of the two that there are; SQL can check the other.
     """
@@ -61,7 +66,7 @@ def warehouse(spark: SparkSession, sf_dir: str, cluster: bool = False) -> dict[s
             root = _place(spark, "warehouse")
             build.full(spark, _tables(spark, sf_dir), root, cluster=cluster)
             _built[key] = root
-    return build.read(spark, _built[key])
+    return _built[key]
 
 
 def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +233,21 @@ def adhoc_weekend(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = warehouse(spark, sf_dir)
     tables = {n: stored(df, n).inputFiles()[0].rsplit("/", 1)[0] for n, df in adhoc.views(t["fact"], t["account"], t["bank"], "3").items()}
     text = "SELECT channel, count(*) AS txns, sum(transaction_amount) AS total FROM my_transactions WHERE dayofweek(transaction_date) IN (1, 7) AND transaction_type = ? GROUP BY channel"
-    return adhoc.run(spark, tables, text, ["debit"])[0]
+    return adhoc.run(spark, tables, text, ["debit"], resolve.vocabulary(t["dim"]), "3")[0]
+
+
+def guarded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the guard of ad-hoc filters says of each name that is asked for."""
+    return resolve.guarded(_mentions(spark, sf_dir), resolve.vocabulary(_dim(spark, sf_dir)))
+
+
+def stream_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions as a stream of files, joined with the warehouse's aliases batch by batch: the same fact."""
+    at = _place(spark, "stream")
+    _tables(spark, sf_dir)["transaction"].write.parquet(f"{at}/in")
+    root = warehouse_root(spark, sf_dir)
+    ingest.run_fact(ingest.source(spark, f"{at}/in"), root, at, f"{at}/checkpoint").awaitTermination()
+    return ingest.committed(spark, f"{at}/fact", build.read(spark, root)["fact"].schema)
 
 
 def mention_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,6 +363,7 @@ QUERIES: dict[str, Query] = {
     "adhoc_weekend_counts": _of_fact(adhoc.weekend_counts),
     "adhoc_channel_by_month": _of_fact(adhoc.channels_by_month),
     "adhoc_select": adhoc_weekend,
+    "guarded_values": guarded_values,
     "quality_report": quality_report,
     "grounding_check": lambda s, d: trust.grounded(*_answers(s, d)),
     "answer_sentences": answer_sentences,
@@ -366,6 +386,7 @@ QUERIES: dict[str, Query] = {
     "reconciliation_audit": _of_payouts(payouts.audit, ["unreconciled", "disputed"]),
     "payout_outliers": _of_payouts(payouts.outliers, date(2000, 1, 1), date(2000, 6, 30), 1.5, 1.4),
     "stream_dedupe": stream_dedupe,
+    "stream_fact": stream_fact,
     "stream_monthly": stream_monthly,
     "landed_rows": lambda s, d: landing.snapshot(_tables(s, d)["account"].orderBy("account_id"), 200),
 }

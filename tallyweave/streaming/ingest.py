@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.narration import extracted
+from ..operators import model, vocabulary
 from ..operators.model import MONEY
+from ..plans import build
+from ..plans.storage import stored
 from ..sources.ledger import SCHEMAS
-from ..terms import LOOKBACK_DAYS, UNKNOWN
+from ..terms import LOOKBACK_DAYS
 
 
 def source(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,10 +29,44 @@ def deduplicated(stream: DataFrame, key: str = "transaction_id", ts: str = "tran
     return stream.withColumn("event_time", F.col(ts).cast("timestamp")).withWatermark("event_time", lateness).dropDuplicatesWithinWatermark([key])
 
 
-def enriched(stream: DataFrame, bank: DataFrame, aliases: DataFrame, account: DataFrame) -> DataFrame:
-    """Extraction and static joins on a stream."""
-    rows = extracted(stream, bank).join(aliases, "merchant_raw", "left").join(account.select("account_id", "entity_id"), "account_id", "left")
-    return rows.withColumns({"merchant_norm": F.coalesce("merchant_norm", F.lit(UNKNOWN)), "counterparty_kind": F.coalesce("counterparty_kind", F.lit("unknown"))})
+def append_batch(batch: DataFrame, i: int, folder: str, query: str) -> None:
+    """Writes batch ``i`` of a query into a folder of its own, then names it in the log.
+
+    What the log doesn't name isn't there for readers. A batch that comes again, or whose write ended before the log had
+    it, is written anew in the same place, so each of its rows is there once.
+    """
+    at = f"{folder}/data/{query}/{i}"
+    batch.write.mode("overwrite").parquet(at)
+    entry = batch.sparkSession.range(1).select(F.lit(query).alias("query"), F.lit(i).cast("bigint").alias("batch"), F.lit(at).alias("path"))
+    entry.coalesce(1).write.mode("overwrite").parquet(f"{folder}/log/{query}/{i}")
+
+
+def committed(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The rows of all batches that the log names."""
+    try:
+        log = spark.read.option("recursiveFileLookup", "true").schema("path string").parquet(f"{folder}/log")
+        paths = [r.path for r in log.collect()]  # a row for each batch
+    except AnalysisException as e:  # before the first batch
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        paths = []
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def run_fact(stream: DataFrame, root: str, folder: str, checkpoint: str, query: str = "fact") -> StreamingQuery:
+    """Drains transactions as facts into ``folder``/fact, with the aliases and accounts of the warehouse at ``root``.
+
+    Each batch reads the aliases anew, so strings that an increment has added meanwhile have their names. Strings that
+    have none yet are facts without a name, and go with their counts to ``folder``/unseen, the next increment's vocabulary.
+    """
+
+    def write(batch: DataFrame, i: int) -> None:
+        w = build.read(batch.sparkSession, root)
+        rows = stored(extracted(batch, w["bank"]), "stream-extracted")
+        append_batch(model.fact(rows, w["alias"], w["account"], checked=True), i, f"{folder}/fact", query)
+        append_batch(vocabulary.vocabulary(rows).join(w["alias"], "merchant_raw", "left_anti"), i, f"{folder}/unseen", query)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def daily(stream: DataFrame, ts: str, amount: str, keys: list[str], lateness: str = f"{LOOKBACK_DAYS} days") -> DataFrame:
