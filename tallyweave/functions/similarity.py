@@ -187,9 +187,9 @@ class Block:
     """Names of which the most similar ones to a name are sought.
 
     Of a name without a common word the score can't be above what the letters that both have, in whatever order, would
-    give. Names are scored by falling bound, until the bound is below the k-th best score. Names with a common word, very
-    long ones, those that repeat a word and those with other than single spaces have no such bound and are scored one by
-    one; they are found by their words.
+    give. Names are scored by falling bound, until the bound is below the k-th best score. Names with a common word, found
+    by their words, have a bound from these words as well, and are scored one by one. Very long names, those that repeat a
+    word and those with other than single spaces have no bound.
     """
 
     def __init__(self, names: list[str]):
@@ -216,6 +216,13 @@ class Block:
         part[long < 1.5 * short] = 0.0
         return np.maximum(whole + 1e-9, part), part
 
+    def _bounds_shared(self, name: str, at: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """The most that names can score whose words in common with ``name`` have ``shared`` letters, spaces between them too."""
+        n, length = len(name), self.plain.length[at]
+        short, long = np.minimum(n, length), np.maximum(n, length)
+        words = np.where(long >= 1.5 * short, np.where(long > 8 * short, 0.6, 0.9) * 95.0, 0.0)
+        return np.maximum(np.maximum(self._bounds(name, at)[0], words), 200.0 * shared / (shared + short)) + 1e-9
+
     def _scores(self, name: str, at: np.ndarray, part: np.ndarray, least: float) -> np.ndarray:
         """``_best`` of names without a word of ``name``; where it is below ``least``, anything below that."""
         tidy = " ".join(sorted(name.split()))
@@ -236,12 +243,23 @@ class Block:
             full = np.array([_best(name, n) for n in self.names])
             at = np.flatnonzero(full >= (np.partition(full, len(full) - k)[-k] if len(full) > k else 0))
             return at, full[at]
-        near = np.unique(np.concatenate([self.odd, *(np.array(self.having[w], np.int64) for w in words if w in self.having)]).astype(np.int64))
-        rest = np.setdiff1d(self.even, near, assume_unique=True)
+        shared = np.zeros(len(self.names), np.int64)  # letters of the words that both have, each with a space
+        for w in words:
+            shared[self.having.get(w, [])] += len(w) + 1
+        shared[self.odd] = 0
+        near, rest = np.flatnonzero(shared), self.even[shared[self.even] == 0]
         bound, part = self._bounds(name, rest)
         order = np.argsort(-bound, kind="stable")
         rest, bound, part = rest[order], bound[order], part[order]
-        found, scores = [near], [np.array([_best(name, self.names[i]) for i in near])]
+        found, scores = [self.odd], [np.array([_best(name, self.names[i]) for i in self.odd])]
+        most = self._bounds_shared(name, near, shared[near] - 1)
+        order = np.argsort(-most, kind="stable")
+        for at in range(0, len(near), 16):
+            have = np.concatenate(scores)
+            if len(have) >= k and most[order[at]] < np.partition(have, len(have) - k)[-k]:
+                break
+            found.append(near[order[at : at + 16]])
+            scores.append(np.array([_best(name, self.names[i]) for i in found[-1]]))
         kth, lo, step = -1.0, 0, 64
         while True:
             have = np.concatenate(scores)
