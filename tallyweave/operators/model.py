@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.privacy import blind_index
 from ..terms import NOT_RANKED, UNKNOWN
 
 MONEY = "decimal(25,2)"
@@ -14,6 +15,8 @@ FACT = [
     "transaction_id", "account_id", "entity_id", "transaction_date", "txn_month", "transaction_type", "transaction_amount",
     "description", "channel", "transaction_reference_id", "utr_number", "merchant_norm", "counterparty_kind", "kind_confidence",
 ]
+#: The column with the blind index of the UTR number, in facts that are built with a pepper.
+BLIND = "utr_blind_idx"
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -21,10 +24,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def fact(extracted: DataFrame, aliases: DataFrame, account: DataFrame, checked: bool = False) -> DataFrame:
+def fact(extracted: DataFrame, aliases: DataFrame, account: DataFrame, checked: bool = False, pepper: str | None = None) -> DataFrame:
     """One row per transaction with its counterparty and entity; rows without either stay.
 
-    With ``checked`` the sizes of the small sides are counted first, and broadcast if they are small.
+    With ``checked`` the sizes of the small sides are counted first, and broadcast if they are small. With a ``pepper``
+    the UTR number's blind index is a column too.
     """
     owner = account.select("account_id", "entity_id")
     if checked:
@@ -37,7 +41,7 @@ def fact(extracted: DataFrame, aliases: DataFrame, account: DataFrame, checked:
             "kind_confidence": F.coalesce("kind_confidence", F.lit(0.0)),
         }
     )
-    return rows.select(*FACT)
+    return rows.select(*FACT, *([blind_index(F.col("utr_number"), pepper).alias(BLIND)] if pepper else []))
 
 
 def amount_if(condition: Column, amount: str = "transaction_amount") -> Column:

@@ -53,6 +53,26 @@ def audit(payouts: DataFrame, vendors: DataFrame, statuses: list[str], n: int =
     return first.select("payout_key", "line", "vendor_name", "payout_date", "amount", "reconciliation_status").crossJoin(F.broadcast(whole))
 
 
+def audit_files(tables: dict[str, DataFrame], statuses: list[str], n: int = 50) -> DataFrame:
+    """The newest transactions of some reconciliation statuses with their vendors, and the number and sum of all such.
+
+    From the five files' tables. Transactions without a reconciliation or a vendor take no part.
+    """
+    wanted = filtered(tables["reconciliation_status"], statuses).select("transaction_id", "reconciliation_status", "notes")
+    vendors = tables["vendor_list"].select("vendor_id", "vendor_name")
+    rows = tables["transactions"].join(wanted, "transaction_id").join(vendors, "vendor_id")
+    whole = rows.agg(F.count("*").alias("matches"), _sum().alias("match_total"))
+    first = rows.orderBy(F.desc("transaction_date"), F.desc("amount"), "transaction_id").limit(n)
+    return first.select("transaction_id", "vendor_name", "transaction_date", "amount", "reconciliation_status", "notes").crossJoin(F.broadcast(whole))
+
+
+def file_totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """(what, rows, total): payouts by status, and transactions without a payout, from the five files' tables."""
+    paid = tables["vendor_payouts"].groupBy(F.col("status").alias("what")).agg(F.count("*").alias("rows"), _sum().alias("total"))
+    unpaid = tables["transactions"].filter("payout_id is null").agg(F.lit("no payout").alias("what"), F.count("*").alias("rows"), _sum().alias("total"))
+    return paid.unionByName(unpaid)
+
+
 def category_summary(payouts: DataFrame) -> DataFrame:
     return payouts.groupBy("category").agg(F.count("*").alias("payouts"), _sum().alias("total"))
 

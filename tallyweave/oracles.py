@@ -5,7 +5,7 @@ from __future__ import annotations
 from .functions import narration, periods
 from .functions.names import _SUFFIX
 from .operators import model, vocabulary
-from .queries import BEFORE, DAYS, LAST, Q1, Q2
+from .queries import BEFORE, DAYS, LAST, PEPPER, Q1, Q2
 from .sources import ledger
 from .terms import LEGAL
 
@@ -78,6 +78,33 @@ _CALENDAR = f"""WITH anchors AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS an
     cal AS (SELECT anchor, token, s AS "start", CAST(CASE WHEN token IN ('this_month', 'last_month', 'two_months_ago') THEN s + INTERVAL '1 months' WHEN token = 'last_year' THEN s + INTERVAL '12 months'
         WHEN token = 'ytd' THEN CAST(date_trunc('month', anchor) AS DATE) + INTERVAL '1 months' ELSE s + INTERVAL '3 months' END - INTERVAL '1 days' AS DATE) AS "end" FROM started)
 """
+_QUARTERS = {f"q{i + 1}": (_plus(_YEAR, 3 * i), _plus(_YEAR, 3 * i + 3)) for i in range(4)}
+_LAST_MONTH, _NEXT = (_plus(_MONTH, -1), _MONTH), _plus(_MONTH, 1)
+#: Canonical form, first day and the day after the last of each phrase; no days for all time, no form for unknown ones.
+_PHRASES = {
+    "last month": ("last_month", *_LAST_MONTH), "lastMonth": ("last_month", *_LAST_MONTH), " LAST-MONTH ": ("last_month", *_LAST_MONTH), "prior_month": ("last_month", *_LAST_MONTH),
+    "this quarter": ("this_quarter", _QUARTER, _plus(_QUARTER, 3)), "q1": ("q1", *_QUARTERS["q1"]), "q9": (None,), "ytd": ("ytd", _YEAR, _NEXT),
+    "last 3 months": ("last_3_months", _plus(_MONTH, -2), _NEXT), "last_30_days": ("last_30_days", "anchor - 29", "anchor + 1"), "past_2_months": ("past_2_months", _plus(_MONTH, -1), _NEXT),
+    "last_99_months": (None,), "2000": ("2000", "DATE '2000-01-01'", "DATE '2001-01-01'"), "fy2001": ("fy2001", "DATE '2001-01-01'", "DATE '2002-01-01'"),
+    "in 2000": ("in_2000", "DATE '2000-01-01'", "DATE '2001-01-01'"), "the year 1999": ("the_year_1999", "DATE '1999-01-01'", "DATE '2000-01-01'"),
+    "april": ("april", _plus(_YEAR, 3), _plus(_YEAR, 4)), "feb_2000": ("feb_2000", "DATE '2000-02-01'", "DATE '2000-03-01'"), "total": ("all_time",), "": ("all_time",), "fortnight": (None,),
+    "last year": ("last_year", _plus(_YEAR, -12), _YEAR), "month before last": ("two_months_ago", _plus(_MONTH, -2), _plus(_MONTH, -1)), "q4": ("q4", *_QUARTERS["q4"]),
+}
+
+
+def _phrase(phrase: str, form: str | None, start: str = "NULL", after: str = "NULL") -> str:
+    status = "RESOLVED" if start != "NULL" else "ALL_TIME" if form else "UNRESOLVED"
+    whole = "NULL::BOOLEAN" if form is None else "true" if start == "NULL" else f"day({start}) = 1 AND day({after}) = 1"
+    return f"""SELECT anchor, '{phrase}' AS phrase, '{status}' AS status, {f"'{form}'" if form else "NULL::VARCHAR"} AS canonical,
+        CAST({start} AS DATE) AS "start", CAST({after} AS DATE) - 1 AS "end", {whole} AS month_aligned FROM anchors"""
+
+
+def _hmac(value: str, key: str) -> str:
+    """HMAC-SHA256 of a text in hex, the key having at most 64 bytes."""
+    blob = lambda mask: "".join(f"\\x{k ^ mask:02X}" for k in key.encode().ljust(64, b"\0"))
+    return f"sha256('{blob(0x5C)}'::BLOB || unhex(sha256('{blob(0x36)}'::BLOB || encode({value}))))"
+
+
 _SCORE = "round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.96::DOUBLE * CASE WHEN entity_id::INT % 2 = 0 THEN 0.92::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN unattributed > 0.02 THEN 1 - unattributed ELSE 1.0::DOUBLE END * CASE WHEN entity_id::INT % 5 = 0 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END)), 3)"
 _UNATTRIBUTED = "round(coalesce(sum(CASE WHEN merchant_norm = 'UNKNOWN' THEN txn_count ELSE 0 END)::DOUBLE / sum(txn_count), 0), 6)"
 _COVER = "round(count(*) FILTER (WHERE merchant_norm <> 'UNKNOWN')::DOUBLE / count(*), 6)"
@@ -160,6 +187,22 @@ ORACLES = {
         whole AS (SELECT entity_id, reference, count(*) AS matches, sum(transaction_amount)::DECIMAL(25,2) AS match_total FROM hits GROUP BY entity_id, reference),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY entity_id, reference ORDER BY transaction_date DESC, transaction_id)::INTEGER AS rank FROM hits)
         SELECT r.entity_id, r.reference, rank, transaction_id, transaction_amount, matches, match_total FROM ranked r JOIN whole w ON r.entity_id = w.entity_id AND r.reference = w.reference WHERE rank <= 50""",
+    "utr_lookup": f"""{_BASE} SELECT entity_id, transaction_id, {_hmac("upper(trim(utr_number))", PEPPER)} AS utr_blind_idx, transaction_amount FROM fact
+        WHERE utr_number IN ({", ".join(f"'UTR{i}'" for i in range(100000, 115000, 1000))})""",
+    "period_phrases": "WITH anchors AS (SELECT DISTINCT last_day(o_orderdate)::DATE AS anchor FROM orders) " + " UNION ALL ".join(_phrase(p, *x) for p, x in _PHRASES.items()),
+    "warehouse_build": f"""{_BASE} SELECT count(*) AS facts, count(DISTINCT entity_id) AS entities, count(DISTINCT account_id) AS accounts, max(transaction_date)::DATE AS anchor, {_COVER} AS coverage, 0::BIGINT AS added FROM fact""",
+    "answer_sentences": f"""{_BASE} SELECT entity_id, 'You spent ₹' || format('{{:,.2f}}', sum(total_amount)::DOUBLE) || ' in ' || sum(txn_count)::BIGINT::VARCHAR || ' transactions.' AS answer
+        FROM rollup_monthly WHERE {_DEBIT} AND {_days(LAST, 'txn_month')} GROUP BY entity_id""",
+    "amounts_written": f"""{_TXN} SELECT account_id::BIGINT AS answer_id, 'The balance is ' || CASE WHEN abs(available_balance) >= 1000 THEN CASE WHEN available_balance < 0 THEN '-' ELSE '' END || '₹' || format('{{:,.2f}}', abs(available_balance)::DOUBLE)
+        ELSE available_balance::VARCHAR END || ' in 2 accounts' || CASE WHEN account_id::BIGINT % 5 = 0 THEN ' and 98,765,432.10' ELSE '' END AS text FROM account""",
+    "landed_rows": f"""{_TXN} SELECT '{{"account_id":"' || account_id || '","entity_id":"' || entity_id || '","account_number":"' || account_number || '","program_id":' || program_id::VARCHAR || ',"available_balance":'
+        || available_balance::VARCHAR || ',"bank_code":"' || bank_code || '"}}' AS json FROM account ORDER BY account_id LIMIT 200""",
+    "payout_files_audit": f"""WITH {ledger.PAYOUT_FILES_ORACLE}, rows AS (SELECT t.*, vendor_name, reconciliation_status, notes FROM transactions t JOIN vendor_list v ON t.vendor_id = v.vendor_id
+            JOIN reconciliation_status r ON t.transaction_id = r.transaction_id WHERE reconciliation_status IN ('Unreconciled', 'Disputed'))
+        SELECT transaction_id, vendor_name, transaction_date, amount, reconciliation_status, notes, (SELECT count(*) FROM rows) AS matches, (SELECT sum(amount)::DECIMAL(25,2) FROM rows) AS match_total
+        FROM rows ORDER BY transaction_date DESC, amount DESC, transaction_id LIMIT 50""",
+    "payout_files_totals": f"""WITH {ledger.PAYOUT_FILES_ORACLE} SELECT status AS what, count(*) AS "rows", sum(amount)::DECIMAL(25,2) AS total FROM vendor_payouts GROUP BY status
+        UNION ALL SELECT 'no payout', count(*), sum(amount)::DECIMAL(25,2) FROM transactions WHERE payout_id IS NULL""",
     "unattributed_share": f"{_BASE} SELECT entity_id, {_UNATTRIBUTED} AS unattributed FROM rollup_monthly WHERE {_DEBIT} AND {_days(LAST, 'txn_month')} GROUP BY entity_id",
     "confidence_bands": f"""{_BASE}, shares AS (SELECT entity_id, {_UNATTRIBUTED} AS unattributed FROM rollup_monthly GROUP BY entity_id), scores AS (SELECT *, {_SCORE} AS score FROM shares)
         SELECT entity_id, unattributed, score, CASE WHEN score >= 0.88 THEN 'High' WHEN score >= 0.72 THEN 'Medium' ELSE 'Low' END AS band,

@@ -109,13 +109,21 @@ def _published(spark: SparkSession, root: str, m: dict) -> dict:
     return manifest(spark, root)
 
 
+def _write_fact(rows: DataFrame, at: str) -> None:
+    """Facts with Bloom filters, as large as their values need, on the two columns that are looked up by value."""
+    writer = rows.write.option("parquet.bloom.filter.adaptive.enabled", "true")
+    for name in {"transaction_reference_id", model.BLIND} & set(rows.columns):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    writer.parquet(at)
+
+
 def _snapshots(tables: dict[str, DataFrame], at: str) -> None:
     for name in ("account", "bank"):
         tables[name].write.parquet(f"{at}/{name}")
 
 
-def full(spark: SparkSession, tables: dict[str, DataFrame], root: str, cluster: bool = True) -> dict:
-    """Extract, map and aggregate everything; returns the manifest."""
+def full(spark: SparkSession, tables: dict[str, DataFrame], root: str, cluster: bool = True, pepper: str | None = None) -> dict:
+    """Extract, map and aggregate everything; returns the manifest. With a ``pepper`` facts have blind indexes."""
     version = f"v-{uuid.uuid4().hex[:12]}"
     at = f"{root}/{version}"
     rows = extracted(tables["transaction"], tables["bank"])
@@ -124,13 +132,13 @@ def full(spark: SparkSession, tables: dict[str, DataFrame], root: str, cluster:
     vocabulary.aliases(vocabulary.vocabulary(rows), cluster).write.parquet(f"{at}/alias")
     aliases = spark.read.parquet(f"{at}/alias")
     seen = Observation()
-    fact = _clustered(model.fact(rows, aliases, tables["account"], checked=True), "transaction_date")
-    fact.observe(seen, F.max("transaction_date").alias("watermark"), F.count("*").alias("row_count")).write.parquet(f"{at}/fact")
+    fact = _clustered(model.fact(rows, aliases, tables["account"], checked=True, pepper=pepper), "transaction_date")
+    _write_fact(fact.observe(seen, F.max("transaction_date").alias("watermark"), F.count("*").alias("row_count")), f"{at}/fact")
     _write_parts(_clustered(model.rollup(spark.read.parquet(f"{at}/fact"))), month_part(F.col("txn_month")), f"{at}/rollup")
     rollup = spark.read.parquet(f"{at}/rollup")
     _write_parts(model.dim_of_rollup(rollup.drop("part"), aliases).repartition("entity_id"), share_part(F.col("entity_id")), f"{at}/dim")
     _snapshots(tables, at)
-    m = {"schema_hash": fingerprint(ALIAS_VERSION), "alias_map_version": ALIAS_VERSION, "version": version, "snapshot": version, "fact_segments": [version], "alias_segments": [version]}
+    m = {"schema_hash": fingerprint(ALIAS_VERSION, pepper), "alias_map_version": ALIAS_VERSION, "version": version, "snapshot": version, "fact_segments": [version], "alias_segments": [version]}
     parts = {f"{name}_parts": {p: version for p in _present(df, F.col("part"))} for name, df in (("rollup", rollup), ("dim", spark.read.parquet(f"{at}/dim")))}
     return _published(spark, root, m | parts | {k: seen.get[k] for k in ("watermark", "row_count")})
 
@@ -146,7 +154,7 @@ def compact(spark: SparkSession, root: str) -> dict:
     """The segments of fact and aliases as one each, in a new version; returns the manifest."""
     m, version = manifest(spark, root), f"v-{uuid.uuid4().hex[:12]}"
     old, at = _read(spark, root, m), f"{root}/{version}"
-    _clustered(old["fact"], "transaction_date").write.parquet(f"{at}/fact")
+    _write_fact(_clustered(old["fact"], "transaction_date"), f"{at}/fact")
     old["alias"].repartition("merchant_raw").write.parquet(f"{at}/alias")
     for name, part in (("rollup", month_part(F.col("txn_month"))), ("dim", share_part(F.col("entity_id")))):
         _write_parts(old[name].repartition(part), part, f"{at}/{name}")
@@ -154,11 +162,14 @@ def compact(spark: SparkSession, root: str) -> dict:
     return _published(spark, root, m | parts | {"version": version, "fact_segments": [version], "alias_segments": [version]})
 
 
-def increment(spark: SparkSession, tables: dict[str, DataFrame], root: str, cluster: bool = True) -> dict:
-    """Adds what is new; returns the manifest with ``before`` and ``added`` rows. Running it again adds nothing."""
+def increment(spark: SparkSession, tables: dict[str, DataFrame], root: str, cluster: bool = True, pepper: str | None = None) -> dict:
+    """Adds what is new; returns the manifest with ``before`` and ``added`` rows. Running it again adds nothing.
+
+    With another ``pepper`` than the build's everything is built anew.
+    """
     m = manifest(spark, root)
-    if m is None or m["schema_hash"] != fingerprint(ALIAS_VERSION) or m["alias_map_version"] != ALIAS_VERSION:
-        return full(spark, tables, root, cluster) | {"before": None, "added": None}
+    if m is None or m["schema_hash"] != fingerprint(ALIAS_VERSION, pepper) or m["alias_map_version"] != ALIAS_VERSION:
+        return full(spark, tables, root, cluster, pepper) | {"before": None, "added": None}
     old, version = _read(spark, root, m), f"v-{uuid.uuid4().hex[:12]}"
     at = f"{root}/{version}"
     seen = Observation()
@@ -174,7 +185,7 @@ def increment(spark: SparkSession, tables: dict[str, DataFrame], root: str, clus
     known = old["dim"].groupBy("merchant_norm").agg(F.min("counterparty_kind").alias("counterparty_kind"), F.max("kind_confidence").alias("kind_confidence"), F.sum("txn_count").alias("freq"))
     vocabulary.aliases(unseen, cluster, known).write.parquet(f"{at}/alias")
     aliases = old["alias"].unionByName(spark.read.parquet(f"{at}/alias"))
-    _clustered(model.fact(delta, aliases, tables["account"], checked=True), "transaction_date").write.parquet(f"{at}/fact")
+    _write_fact(_clustered(model.fact(delta, aliases, tables["account"], checked=True, pepper=pepper), "transaction_date"), f"{at}/fact")
     fact = spark.read.parquet(f"{at}/fact")
     month, share = month_part(F.col("txn_month")), share_part(F.col("entity_id"))
     months, shares = _present(fact, month), _present(fact, share)

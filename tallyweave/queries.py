@@ -64,7 +64,7 @@ def warehouse_root(spark: SparkSession, sf_dir: str, cluster: bool = False) -> s
     with _building:
         if key not in _built:
             root = _place(spark, "warehouse")
-            build.full(spark, _tables(spark, sf_dir), root, cluster=cluster)
+            build.full(spark, _tables(spark, sf_dir), root, cluster=cluster, pepper=PEPPER)
             _built[key] = root
     return _built[key]
 
@@ -74,7 +74,7 @@ def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warehouse(spark, sf_dir)["fact"]
+    return warehouse(spark, sf_dir)["fact"].drop(model.BLIND)
 
 
 def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +110,13 @@ def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return a.select("answer_id", F.concat(F.lit("The balance is "), F.col("value").cast("string"), F.lit(" in 2 accounts"), wrong).alias("text")), a
 
 
+def _payout_files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The five CSV files of vendor payouts, written from the given tables and read under their declared schemas."""
+    at = _place(spark, "payout-files")
+    ledger.write_payout_files(spark, sf_dir, at)
+    return landing.read_payout_files(spark, at)
+
+
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet")
 
@@ -247,7 +254,7 @@ def stream_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     _tables(spark, sf_dir)["transaction"].write.parquet(f"{at}/in")
     root = warehouse_root(spark, sf_dir)
     ingest.run_fact(ingest.source(spark, f"{at}/in"), root, at, f"{at}/checkpoint").awaitTermination()
-    return ingest.committed(spark, f"{at}/fact", build.read(spark, root)["fact"].schema)
+    return ingest.committed(spark, f"{at}/fact", build.read(spark, root)["fact"].drop(model.BLIND).schema)
 
 
 def mention_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,7 +353,7 @@ QUERIES: dict[str, Query] = {
     "primary_account": _of_account(balances.primary_accounts),
     "busiest_entity": lambda s, d: balances.busiest(_rollup(s, d), 3),
     "reference_lookup": lambda s, d: balances.by_reference(_fact(s, d), s.range(0, 5000, 500).select(F.concat(F.lit("REF"), F.col("id").cast("string")).alias("reference"))),
-    "utr_lookup": lambda s, d: balances.by_utr(_fact(s, d), s.range(100000, 115000, 1000).select(F.concat(F.lit("utr"), F.col("id").cast("string")).alias("utr")), PEPPER),
+    "utr_lookup": lambda s, d: balances.by_utr(warehouse(s, d)["fact"], s.range(100000, 115000, 1000).select(F.concat(F.lit("utr"), F.col("id").cast("string")).alias("utr")), PEPPER),
     "unattributed_share": _events(spend.unattributed, LAST, "debit"),
     "confidence_bands": confidence_bands,
     "resolve_tiers": lambda s, d: resolve.tiered(_mentions(s, d), resolve.vocabulary(_dim(s, d))),
@@ -385,6 +392,8 @@ QUERIES: dict[str, Query] = {
     "monthly_change": lambda s, d: payouts.monthly_change(_payouts(s, d)[0]),
     "reconciliation_audit": _of_payouts(payouts.audit, ["unreconciled", "disputed"]),
     "payout_outliers": _of_payouts(payouts.outliers, date(2000, 1, 1), date(2000, 6, 30), 1.5, 1.4),
+    "payout_files_audit": lambda s, d: payouts.audit_files(_payout_files(s, d), ["unreconciled", "DISPUTED"]),
+    "payout_files_totals": lambda s, d: payouts.file_totals(_payout_files(s, d)),
     "stream_dedupe": stream_dedupe,
     "stream_fact": stream_fact,
     "stream_monthly": stream_monthly,

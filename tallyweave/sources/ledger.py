@@ -120,6 +120,30 @@ def renamed(df: DataFrame, physical: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed({v: k for k, v in physical.items()})
 
 
+#: The five files of vendor payouts made from orders, suppliers and nations: plain SQL on both engines.
+PAYOUT_FILES = {
+    "vendor_list": "SELECT 'V' || CAST(s_suppkey AS STRING) AS vendor_id, s_name || ', \"' || s_name || '\" Ltd' AS vendor_name, 'nation ' || CAST(s_nationkey AS STRING) AS category FROM {supplier}",
+    "chart_of_accounts": "SELECT 'A' || CAST(n_nationkey AS STRING) AS account_id, n_name AS account_name, 'Expense' AS account_type FROM {nation}",
+    "vendor_payouts": """SELECT 'P' || CAST(o_orderkey AS STRING) AS payout_id, CAST(o_orderdate AS DATE) AS payout_date, 'V' || CAST(o_orderkey % n_suppliers AS STRING) AS vendor_id,
+        CAST(o_totalprice AS DECIMAL(15,2)) AS amount, 'INR' AS currency, CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Pending' ELSE 'Failed' END AS status, o_orderpriority || ', paid' AS description
+        FROM {orders} CROSS JOIN (SELECT count(*) AS n_suppliers FROM {supplier}) WHERE o_orderkey % 3 <> 0""",
+    "transactions": """SELECT 'T' || CAST(o_orderkey AS STRING) AS transaction_id, CAST(o_orderdate AS DATE) AS transaction_date, 'V' || CAST(o_orderkey % n_suppliers AS STRING) AS vendor_id,
+        'A' || CAST(o_custkey % 25 AS STRING) AS account_id, CAST(o_totalprice AS DECIMAL(15,2)) AS amount, 'Debit' AS transaction_type,
+        CASE WHEN o_orderkey % 3 <> 0 THEN 'P' || CAST(o_orderkey AS STRING) END AS payout_id, o_orderpriority AS description
+        FROM {orders} CROSS JOIN (SELECT count(*) AS n_suppliers FROM {supplier})""",
+    "reconciliation_status": """SELECT 'T' || CAST(o_orderkey AS STRING) AS transaction_id, CASE o_orderkey % 4 WHEN 0 THEN 'Reconciled' WHEN 1 THEN 'Unreconciled' WHEN 2 THEN 'Pending' ELSE 'Disputed' END AS reconciliation_status,
+        CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderdate AS DATE) END AS reconciled_date, 'order ' || CAST(o_orderkey AS STRING) || ', ' || o_orderpriority AS notes FROM {orders}""",
+}
+PAYOUT_FILES_ORACLE = ",\n".join(f"{name} AS ({text.format(supplier='supplier', nation='nation', orders='orders')})" for name, text in PAYOUT_FILES.items())
+
+
+def write_payout_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The five files as CSV in ``folder``, each in parts."""
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("supplier", "nation", "orders")}
+    for name, text in PAYOUT_FILES.items():
+        spark.sql(text, **{k: v for k, v in t.items() if f"{{{k}}}" in text}).write.csv(f"{folder}/{name}.csv", header=True, escape='"')
+
+
 def payouts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Vendors, payouts and reconciliation as views of suppliers and line items."""
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
