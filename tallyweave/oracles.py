@@ -132,6 +132,25 @@ def _tiers() -> str:
         """
 
 
+def _rupees(c: str) -> str:
+    return f"CASE WHEN {c} < 0 THEN '-' ELSE '' END || '₹' || format('{{:,.2f}}', abs({c})::DOUBLE)"
+
+
+def _n(c: str, what: str) -> str:
+    return f"{c}::VARCHAR || CASE WHEN {c} = 1 THEN ' {what}' ELSE ' {what}s' END"
+
+
+def _sentences(rows: str, text: str) -> str:
+    return f"SELECT entity_id, {text} AS answer FROM ({rows}) x"
+
+
+_MONTHS = f"""{_BASE}, months AS (SELECT entity_id, txn_month, sum(total_amount)::DECIMAL(25,2) AS total FROM rollup_monthly WHERE {_DEBIT} GROUP BY entity_id, txn_month),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY total DESC, txn_month DESC) AS hi, row_number() OVER (PARTITION BY entity_id ORDER BY total, txn_month DESC) AS lo FROM months)
+        SELECT entity_id, max(CASE WHEN hi = 1 THEN txn_month END) AS top_month, max(total) AS top_total, max(CASE WHEN lo = 1 THEN txn_month END) AS low_month, min(total) AS low_total FROM ranked GROUP BY entity_id"""
+#: Windows that are given themselves, which a year 1999 is too, or nothing to compare with.
+_OWN = """(token IN ('this_month', 'ytd') OR "start" = DATE '1999-01-01' AND "end" = DATE '1999-12-31')"""
+_PRECEDING = """CAST("start" - to_months(CAST(datediff('month', "start", "end") + 1 AS INTEGER)) AS DATE)"""
+
 ORACLES = {
     "narration_extract": f"{_BASE} SELECT transaction_id, channel, merchant_raw, txn_month FROM extracted",
     "channel_mix": f"{_BASE} SELECT channel, count(*) AS txns FROM extracted GROUP BY channel",
@@ -193,6 +212,22 @@ ORACLES = {
     "warehouse_build": f"""{_BASE} SELECT count(*) AS facts, count(DISTINCT entity_id) AS entities, count(DISTINCT account_id) AS accounts, max(transaction_date)::DATE AS anchor, {_COVER} AS coverage, 0::BIGINT AS added FROM fact""",
     "answer_sentences": f"""{_BASE} SELECT entity_id, 'You spent ₹' || format('{{:,.2f}}', sum(total_amount)::DOUBLE) || ' in ' || sum(txn_count)::BIGINT::VARCHAR || ' transactions.' AS answer
         FROM rollup_monthly WHERE {_DEBIT} AND {_days(LAST, 'txn_month')} GROUP BY entity_id""",
+    "month_sentences": _sentences(_MONTHS, f"""'Your highest month was ' || strftime(top_month, '%B %Y') || ' with ' || {_rupees("top_total")} || ', the lowest ' || strftime(low_month, '%B %Y') || ' with ' || {_rupees("low_total")} || '.'"""),
+    "rank_sentences": _sentences(_top(_DEBIT, 1), f"""'Number ' || rank::VARCHAR || ' is ' || merchant_norm || ' with ' || {_rupees("total")} || ' of ' || {_rupees("all_total")} || CASE WHEN truncated THEN ', of ' || groups::VARCHAR || ' in all' ELSE '' END || '.'"""),
+    "comparison_sentences": _sentences(_compare(LAST, BEFORE), f"""'It was ' || {_rupees("later")} || ' after ' || {_rupees("earlier")} || CASE WHEN delta < 0 THEN ', a fall of ' ELSE ', a rise of ' END || {_rupees("abs(delta)")}
+        || CASE WHEN pct_change IS NOT NULL THEN ' (' || pct_change::VARCHAR || ' %)' ELSE '' END || '.'"""),
+    "listing_sentences": _sentences(_listing(f"transaction_type = 'credit' AND {_days(DAYS, 'transaction_date::DATE')}", "transaction_date DESC", 1), f"""{_n("matches", "transaction")} || ' of ' || {_rupees("match_total")} || CASE WHEN truncated THEN ', the first of them shown' ELSE '' END || '.'"""),
+    "threshold_sentences": _sentences(_listing(f"{_DEBIT} AND transaction_amount >= 450000", "transaction_amount DESC", 1), f"""{_n("matches", "transaction")} || ' above the amount, ' || {_rupees("match_total")} || ' together.'"""),
+    "grounding_of_rows": f"""{_BASE} SELECT entity_id AS answer_id, entity_id::INT % 5 <> 0 AS grounded, CASE WHEN entity_id::INT % 5 = 0 THEN [format('{{:,.2f}}', sum(total_amount)::DOUBLE)] ELSE []::VARCHAR[] END AS offending
+        FROM rollup_monthly WHERE {_DEBIT} AND {_days(LAST, 'txn_month')} GROUP BY entity_id""",
+    "answer_scopes": f"""SELECT entity_id, rank, 'counterparty: ' || merchant_norm || '; period: q2; direction: credit; kind: ' || counterparty_kind AS scope
+        FROM ({_top(f"transaction_type = 'credit' AND counterparty_kind = 'person' AND {_days(Q2, 'txn_month')}", 3, "false")}) x""",
+    "amounts_between": _listing(f"{_DEBIT} AND transaction_amount >= 100000 AND transaction_amount <= 200000", "transaction_amount ASC", 10),
+    "compared_windows": f"""{_CALENDAR} SELECT anchor, token, CASE WHEN {_OWN} THEN {_PRECEDING} ELSE DATE '1999-01-01' END AS base_start,
+        CASE WHEN {_OWN} THEN CAST("start" - INTERVAL '1 days' AS DATE) ELSE DATE '1999-12-31' END AS base_end FROM cal""",
+    "period_suggestions": f"""SELECT anchor, unnest(['q9', 'last_99_months', 'fortnight']) AS phrase, '{",".join(periods.SUGGESTIONS)}' AS suggestions
+        FROM (SELECT DISTINCT last_day(o_orderdate)::DATE AS anchor FROM orders) x""",
+    "account_ownership": "SELECT DISTINCT c_nationkey::VARCHAR AS entity_id, c_custkey::VARCHAR AS account_id FROM customer WHERE c_custkey % 25 = c_nationkey AND c_custkey IN (SELECT o_custkey FROM orders)",
     "amounts_written": f"""{_TXN} SELECT account_id::BIGINT AS answer_id, 'The balance is ' || CASE WHEN abs(available_balance) >= 1000 THEN CASE WHEN available_balance < 0 THEN '-' ELSE '' END || '₹' || format('{{:,.2f}}', abs(available_balance)::DOUBLE)
         ELSE available_balance::VARCHAR END || ' in 2 accounts' || CASE WHEN account_id::BIGINT % 5 = 0 THEN ' and 98,765,432.10' ELSE '' END AS text FROM account""",
     "landed_rows": f"""{_TXN} SELECT '{{"account_id":"' || account_id || '","entity_id":"' || entity_id || '","account_number":"' || account_number || '","program_id":' || program_id::VARCHAR || ',"available_balance":'

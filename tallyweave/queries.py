@@ -204,6 +204,45 @@ def answer_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select("entity_id", text.alias("answer"))
 
 
+def _said(kind: str, rows: DataFrame) -> DataFrame:
+    """A sentence per row of an operator's result."""
+    return rows.select("entity_id", trust.sentence(kind).alias("answer"))
+
+
+def grounding_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the answers' figures are in any column of the rows they come from; every fifth entity's rows are withheld."""
+    rows = spend.spend_facts(_rows(spark, sf_dir, LAST), "debit").withColumnRenamed("entity_id", "answer_id")
+    facts = trust.figures_of(rows.filter(F.col("answer_id").cast("int") % 5 != 0))
+    return trust.grounded(rows.select("answer_id", trust.sentence("spend").alias("text")), facts)
+
+
+def compared_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each calendar window is compared with, where the asker named the window itself, none, or the year 1999."""
+    own, none = F.col("token") == "this_month", F.col("token") == "ytd"
+    given = lambda c, d: F.when(own, F.col(c)).when(~none, F.lit(d))
+    windows = _calendar(spark, sf_dir).withColumns({"base_start": given("start", date(1999, 1, 1)), "base_end": given("end", date(1999, 12, 31))})
+    return spend.compared_with(windows).select("anchor", "token", "base_start", "base_end")
+
+
+def period_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may be asked instead of the phrases that aren't understood."""
+    rows = period_phrases(spark, sf_dir).withColumn("suggestions", F.concat_ws(",", periods.suggestions(F.col("status"))))
+    return rows.filter("status = 'UNRESOLVED'").select("anchor", "phrase", "suggestions")
+
+
+def account_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pairs of entity and account that orders claim, those that exist."""
+    claimed = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 25).cast("string").alias("entity_id"), F.col("o_custkey").cast("string").alias("account_id"))
+    return balances.owned(claimed.distinct(), _tables(spark, sf_dir)["account"])
+
+
+def answer_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each answer on a leading person covers."""
+    rows = spend.top_counterparties(_rows(spark, sf_dir, Q2), "credit", 3, "person")
+    text = spend.scope_text(F.col("merchant_norm"), F.lit("q2"), F.lit("credit"), F.col("counterparty_kind"), F.lit(None).cast("string"))
+    return rows.select("entity_id", "rank", text.alias("scope"))
+
+
 def _stream_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -330,6 +369,8 @@ QUERIES: dict[str, Query] = {
     "period_calendar": _calendar,
     "period_phrases": period_phrases,
     "preceding_window": lambda s, d: spend.baseline(_calendar(s, d)).select("anchor", "token", "base_start", "base_end"),
+    "compared_windows": compared_windows,
+    "period_suggestions": period_suggestions,
     "spend_facts": _events(spend.spend_facts, LAST, "debit"),
     "spend_all_time": _events(spend.spend_facts, None, "credit"),
     "spend_by_merchant": _events(spend.spend_by, LAST, "debit", "merchant_norm"),
@@ -345,12 +386,14 @@ QUERIES: dict[str, Query] = {
     "largest_transaction": _of_fact(spend.extreme, True, "debit"),
     "smallest_transaction": _of_fact(spend.extreme, False, "debit"),
     "over_threshold": _of_fact(spend.listing, order_by="amount", limit=20, direction="debit", least=450000.0),
+    "amounts_between": _of_fact(spend.listing, order_by="amount", ascending=True, limit=10, direction="debit", least=100000.0, most=200000.0),
     "first_in_year": _of_fact(spend.listing, ascending=True, limit=3, start=date(2000, 1, 1), end=date(2000, 12, 31)),
     "compare_months": _events(spend.compared, None, "debit", LAST, BEFORE),
     "compare_quarters": _events(spend.compared, None, "debit", Q1, Q2, "SWIGGY"),
     "balances": _of_account(balances.balances),
     "balance_totals": lambda s, d: balances.balance_totals(_tables(s, d)["account"]),
     "primary_account": _of_account(balances.primary_accounts),
+    "account_ownership": account_ownership,
     "busiest_entity": lambda s, d: balances.busiest(_rollup(s, d), 3),
     "reference_lookup": lambda s, d: balances.by_reference(_fact(s, d), s.range(0, 5000, 500).select(F.concat(F.lit("REF"), F.col("id").cast("string")).alias("reference"))),
     "utr_lookup": lambda s, d: balances.by_utr(warehouse(s, d)["fact"], s.range(100000, 115000, 1000).select(F.concat(F.lit("utr"), F.col("id").cast("string")).alias("utr")), PEPPER),
@@ -376,6 +419,13 @@ QUERIES: dict[str, Query] = {
     "answer_sentences": answer_sentences,
     "balance_sentences": lambda s, d: balances.balance_totals(_tables(s, d)["account"]).select("entity_id", trust.sentence("balances").alias("answer")),
     "extreme_sentences": lambda s, d: spend.extreme(_fact(s, d), True, "debit").select("entity_id", trust.sentence("extreme").alias("answer")),
+    "month_sentences": lambda s, d: _said("monthly", spend.month_extremes(_rows(s, d, None), "debit")),
+    "rank_sentences": lambda s, d: _said("rank", spend.top_counterparties(_rows(s, d, None), "debit", 1)),
+    "comparison_sentences": lambda s, d: _said("compare", spend.compared(_rows(s, d, None), "debit", LAST, BEFORE)),
+    "listing_sentences": lambda s, d: _said("list", spend.listing(_fact(s, d), limit=1, direction="credit", start=DAYS[0], end=DAYS[1])),
+    "threshold_sentences": lambda s, d: _said("threshold", spend.listing(_fact(s, d), order_by="amount", limit=1, direction="debit", least=450000.0)),
+    "grounding_of_rows": grounding_of_rows,
+    "answer_scopes": answer_scopes,
     "amounts_written": lambda s, d: trust.amounts_written(*_answers(s, d)),
     "question_tags": lambda s, d: conversations.tagged(_questions(s, d)),
     "context_carry_forward": lambda s, d: conversations.carried(conversations.tagged(_questions(s, d))),
