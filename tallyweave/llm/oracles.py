@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .licences import BLANK, CUES, END, RULES, SENTENCES, any_known, doubled
+from .licences import BLANK, CUES, END, SENTENCES, TAGS, any_known, doubled
+from .licences import steps as rule_steps
 
 
 def _op3() -> str:
@@ -10,12 +11,15 @@ def _op3() -> str:
     cased = " ".join(f"WHEN '{doubled(v)}' THEN '{k}'" for k, v in SENTENCES.items())
     cued = " OR ".join(f"contains(p, '{x}')" for x in CUES)
     steps, last = [], "s0"
-    for i, (name, run) in enumerate(RULES, 1):
-        run = "".join(f"<{x}>" for x in run)
-        steps.append(f"s{i} AS (SELECT doc_id, replace(seq, '{run}', '|') AS seq, CASE WHEN contains(seq, '{run}') THEN list_append(found, '{name}') ELSE found END AS found FROM {last})")
+    for i, (name, run) in enumerate(rule_steps(), 1):
+        named = f"contains(seq, '{run}')" if name else "false"
+        steps.append(f"s{i} AS (SELECT doc_id, replace(seq, '{run}', '|') AS seq, CASE WHEN {named} THEN list_append(found, '{name}') ELSE found END AS found FROM {last})")
         last = f"s{i}"
+    text = "coalesce(text, '')"
+    for pattern, put in TAGS:
+        text = f"regexp_replace({text}, '{pattern}', '{put.format('', *(chr(92) + x for x in '123'))}', 'g')"
     return f"""
-WITH cut AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{BLANK}', chr(1), 'g'), '{END}', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+WITH cut AS (SELECT doc_id, string_split(regexp_replace(regexp_replace({text}, '{BLANK}', chr(1), 'g'), '{END}', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
 one AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM cut),
 plain AS (SELECT doc_id, i, {plain("s")} AS p FROM one),
 matched AS (SELECT doc_id, i, regexp_extract_all(' ' || replace(p, ' ', '  ') || ' ', '{any_known()}', 1) AS m FROM plain WHERE {cued}),

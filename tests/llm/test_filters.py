@@ -143,6 +143,27 @@ def test_published_texts(spark):
         assert sorted(r.licences) == sorted(rows[r.doc_id][1]), rows[r.doc_id][0]
 
 
+ADVERTISING = """3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+   This product includes software developed by the organization."""
+
+
+def _clauses(spark, text):
+    return licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licences
+
+
+def test_advertising_clause_makes_another_licence(spark):
+    """The published text with four clauses, its acknowledgement with and without a word of licences; then no known clause at all."""
+    third = BSD3.index("3. Neither")
+    four = BSD3[:third] + ADVERTISING + "\n\n4" + BSD3[third + 1 :]
+    assert _clauses(spark, four) == ["BSD-4-Clause"]
+    assert _clauses(spark, four.replace("by the organization", "by the organization, licensed by X")) == ["BSD-4-Clause"]
+    assert _clauses(spark, four.replace("acknowledgement", "acknowledgment")) == ["BSD-4-Clause"]
+    other = BSD3[:third] + "3. No copyright notice may be shown.\n\n4" + BSD3[third + 1 :]
+    assert _clauses(spark, other) == []
+    assert _clauses(spark, BSD2) == ["BSD-2-Clause"] and _clauses(spark, BSD3) == ["BSD-3-Clause"]
+
+
 def test_every_known_sentence_has_a_cue():
     for sentence in licences.SENTENCES.values():
         assert any(c in sentence for c in licences.CUES) and any(c in sentence for c in licences.CUE_WORDS)
@@ -158,6 +179,21 @@ def test_every_known_sentence_has_a_cue():
         ("This program is free\nsoftware: you can", [], 0),
         ("Under some other licence we know nothing of.", [], 1),
         ("A licence that\nwe don't know.\n\nNor that other licence", [], 2),
+        ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"], 0),
+        ("/* SPDX-License-Identifier: GPL-2.0-only */", ["GPL-2.0-only"], 0),
+        ("# SPDX-License-Identifier: GPL-3.0-or-later\r\n# more", ["GPL-3.0-or-later"], 0),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0\nnext", ["Apache-2.0", "MIT"], 0),
+        ("SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0\nnext", [], 1),
+        ("SPDX-License-Identifier: Nobody-1.0", [], 1),
+        ("SPDX-License-Identifier: BSD-3-Clause\nSPDX-License-Identifier: Zlib\n", ["BSD-3-Clause", "Zlib"], 0),
+        ("Licensed under the Apache License, Version 2.0 or the MIT license.", ["Apache-2.0 OR MIT"], 0),
+        ("Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:", ["Zlib"], 0),
+        ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"], 0),
+        ("This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0", ["EPL-2.0"], 0),
+        ("Eclipse Public License - v 2.0", ["EPL-2.0"], 0),
+        ("CC0 1.0 Universal", ["CC0-1.0"], 0),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", ["AGPL-3.0"], 0),
+        ("it under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.", ["GPL-2.0-only"], 0),
         ("", [], 0),
         (None, [], 0),
         ("x" * 100_000, [], 0),
