@@ -121,7 +121,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, sample: int = 2000) -> Model:
-    """A model from (doc_id, text, lang); rows without lang are left out. What reaches the driver: a profile of each language."""
+    """A model from (doc_id, text, lang); rows without lang are left out, and those whose lang is ``und``, which names no
+    language. What reaches the driver: a profile of each language.
+    """
     known = docs.select("doc_id", "text", "lang").filter("lang is not null and lang <> 'und'")
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in counts]
@@ -187,7 +189,13 @@ def identify(docs: DataFrame, learned: Column, sample: int = 2000) -> DataFrame:
 
 
 def fluent(docs: DataFrame, sample: int = 2000, least: float = 0.15) -> DataFrame:
-    """The documents whose language is told: not ``und``, and at least ``least`` of their n-grams are the language's own."""
+    """The documents whose language is told: not ``und``, and at least ``least`` of their n-grams are the language's own.
+
+    Where no row has a language (null and ``und`` are none), nothing can be told of any document, and all stay.
+    """
+    model = learn(docs, sample)
+    if not model.languages:
+        return docs
     names = [fresh(n, docs.columns) for n in ("lang_pred", "lang_score", "lang_covered")]
-    out = tagged(docs, learn(docs, sample), docs.columns, names)
+    out = tagged(docs, model, docs.columns, names)
     return out.filter((F.col(names[0]) != "und") & (F.col(names[2]) >= least)).select(*docs.columns)

@@ -15,8 +15,12 @@ it is a cover position in both, so the two share an anchor there; documents that
 Tasks combine what they have before they shuffle it: an anchor's context or a window leaves a task once, however many
 documents of the task share it, so a passage that a third of all documents share is a few rows per task.
 
+What is known of a document is gathered by doc_id; where rows of one doc_id, or rows without one, differ in text, by
+doc_id and text, so however many rows share an id, each gets the hashes of its own text and no others.
+
 Defined results: a null text has no words; texts shorter than a window stay whole. A null doc_id counts as larger than
-all others. Rows with equal doc_id never remove anything from one another. Only doc_id and text are read.
+all others but 2**63 - 1, which it equals. Rows with equal doc_id never remove anything from one another. Only doc_id
+and text are read.
 """
 
 from __future__ import annotations
@@ -175,8 +179,17 @@ def _longs(column: pa.Array, i: int) -> np.ndarray:
     return np.empty(0, np.uint64) if not value.is_valid else value.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
+def _open_windows(words: Hashed, covered: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Where the windows over anchors to check start that no covered anchor settles."""
+    at, _, c = anchors(words)
+    open_ = starts_over(at[np.isin(c, check)], words.n)
+    if len(covered):
+        open_ &= ~starts_over(at[np.isin(c, covered)], words.n)
+    return np.flatnonzero(open_)
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows over anchors to check that no covered anchor settles, from (doc, text, covered, check)."""
+    """The open windows of (doc, text, covered, check), combined."""
     held: list[tuple] = []
     size = 0
     for batch in pieces(batches):
@@ -184,12 +197,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Hashed(text)
             if words.n < WINDOW:
                 continue
-            at, _, c = anchors(words)
-            open_ = starts_over(at[np.isin(c, _longs(batch.column(3), i))], words.n)
-            covered = _longs(batch.column(2), i)
-            if len(covered):
-                open_ &= ~starts_over(at[np.isin(c, covered)], words.n)
-            start = np.flatnonzero(open_)
+            start = _open_windows(words, _longs(batch.column(2), i), _longs(batch.column(3), i))
             held.append((words.runs(start, start + WINDOW), words.runs(start, start + WINDOW, "two"), np.full(len(start), doc, np.int64)))
             size += len(start)
             if size >= COMBINED:
@@ -199,6 +207,22 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _combined_windows(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _own_rows(batches: Iterator[pa.RecordBatch], windows: bool) -> Iterator[pa.RecordBatch]:
+    """(doc, mark, c): the contexts of each text's anchors, or with ``windows`` its open windows, from (doc, text, mark, ...)."""
+    for batch in pieces(batches):
+        for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True)):
+            words = Hashed(text)
+            if words.n < WINDOW:
+                continue
+            if windows:
+                start = _open_windows(words, _longs(batch.column(3), i), _longs(batch.column(4), i))
+                c = np.unique(words.runs(start, start + WINDOW))
+            else:
+                c = np.unique(anchors(words)[2])
+            mark = batch.column(2)[i].as_py()
+            yield pa.RecordBatch.from_arrays([_long(np.full(len(c), doc, np.int64)), _long(np.full(len(c), mark, np.int64)), _long(c)], names=["doc", "mark", "c"])
+
+
 def kept_words(text: bytes, covered: np.ndarray, windows: np.ndarray) -> tuple[list[bytes], int]:
     """Words that stay, and how many there were, given hashes of covered anchors in context and of repeated windows."""
     found = text.split()
@@ -220,14 +244,44 @@ def kept_words(text: bytes, covered: np.ndarray, windows: np.ndarray) -> tuple[l
     return list(compress(found, (np.cumsum(marks)[:n] == 0).tolist())), n
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+def _placed(docs: DataFrame, doc: str, mark: str) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with ``doc``, their order, and ``mark``, which tells apart texts of one doc; and the docs of several texts.
+
+    Rows without doc_id rank last, with one another and with an id of 2**63 - 1. Where a doc has one text only, which is
+    the rule, mark is 0; elsewhere it is a hash of the text, so that what is known of a text is gathered by itself.
+    """
+    rows = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = rows.select(F.col(doc).alias("doc"), text.alias("text")).groupBy("doc").agg(F.min("text").alias("a"), F.max("text").alias("b"))
+    several = stored(texts.filter("a <> b").select("doc"), "substring-several")
+    if several.isEmpty():
+        return rows.withColumn(mark, F.lit(0).cast("bigint")), None
+    named = fresh("several", rows.columns)
+    rows = rows.join(several.select(F.col("doc").alias(named)), F.col(doc) == F.col(named), "left")
+    return rows.withColumn(mark, F.when(F.col(named).isNull(), 0).otherwise(F.coalesce(F.nullif(text, F.lit(0)), F.lit(1)))).drop(named), several
+
+
+def _dealt(fates: DataFrame, rows: DataFrame, several: DataFrame | None, columns: list[str], windows: bool = False) -> DataFrame:
+    """(doc, mark, *columns) of fates (doc, *columns): one row of a doc and hash goes to each text of the doc that has it.
+
+    ``columns`` of a row hold its hash or null. The texts' own hashes meet the fates by doc and hash, so a row that many
+    texts of one doc share is met once by each of them, and no list is longer than its text.
+    """
+    if several is None:
+        return fates.withColumn("mark", F.lit(0).cast("bigint"))
+    fates = stored(fates, "substring-fates")
+    alone = fates.join(several, "doc", "left_anti").withColumn("mark", F.lit(0).cast("bigint"))
+    known = fates.join(several, "doc", "left_semi").groupBy("doc", F.coalesce(*columns).alias("c")).agg(*(F.max(n).alias(n) for n in columns))
+    own = rows.filter("mark <> 0").mapInArrow(lambda b: _own_rows(b, windows), "doc long, mark long, c long")
+    return alone.select("doc", "mark", *columns).unionByName(own.join(known, ["doc", "c"]).select("doc", "mark", *columns))
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What documents have to remove: (doc, covered, check) of their anchors, and (doc, windows)."""
-    rows = _keyed(docs)
-    found = rows.mapInArrow(_anchor_rows, "key long, c long, doc long, kind byte")
+def repeats(rows: DataFrame, several: DataFrame | None) -> DataFrame:
+    """What texts have to remove: (doc, mark, covered, windows), hashes of anchors in context and of windows.
+
+    ``rows`` hold doc, text and mark, ``several`` the docs of several texts, both as ``_placed`` gives them.
+    """
+    found = rows.select("doc", "text").mapInArrow(_anchor_rows, "key long, c long, doc long, kind byte")
     shared = F.when(F.col("kind") == 0, F.col("c"))
     # by key first: the rows then lie right for both windows
     found = found.withColumn("several", F.min(shared).over(Window.partitionBy("key")) < F.max(shared).over(Window.partitionBy("key")))
@@ -235,13 +289,18 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     covered = (F.col("kind") == 1) | (F.col("kind") == 0) & (F.col("doc") > F.col("least"))
     check = (F.col("kind") == 2) | (F.col("kind") == 0) & F.col("several") & ~covered
     fates = found.select("doc", F.when(covered, F.col("c")).alias("covered"), F.when(check, F.col("c")).alias("check")).filter("covered is not null or check is not null")
-    marks = stored(fates.groupBy("doc").agg(F.collect_list("covered").alias("covered"), F.collect_list("check").alias("check")), "substring-anchors")
-    asked = rows.join(marks.filter(F.size("check") > 0), "doc").select("doc", "text", "covered", "check")
-    seen = asked.mapInArrow(_window_rows, "key long, one long, two long, doc long, kind byte")
+    fates = _dealt(fates, rows.select("doc", "text", "mark"), several, ["covered", "check"])
+    key = ["doc"] if several is None else ["doc", "mark"]
+    none = F.lit(0).cast("bigint").alias("mark")
+    marks = stored(fates.groupBy(*key).agg(F.collect_list("covered").alias("covered"), F.collect_list("check").alias("check")), "substring-anchors")
+    asked = rows.join(marks.filter(F.size("check") > 0), key).select("doc", "text", "mark", "covered", "check")
+    seen = asked.select("doc", "text", "covered", "check").mapInArrow(_window_rows, "key long, one long, two long, doc long, kind byte")
     least = F.min(F.when(F.col("kind") == 0, F.col("doc"))).over(Window.partitionBy("key", "one", "two"))
     seen = seen.withColumn("least", least).filter((F.col("kind") == 1) | (F.col("doc") > F.col("least")))
-    windows = stored(seen.groupBy("doc").agg(F.collect_list("one").alias("windows")), "substring-windows")
-    return marks.filter(F.size("covered") > 0).select("doc", "covered"), windows
+    again = _dealt(seen.select("doc", F.col("one").alias("window")), asked, several, ["window"], windows=True)
+    windows = stored(again.groupBy(*key).agg(F.collect_list("window").alias("windows")), "substring-windows")
+    what = marks.filter(F.size("covered") > 0).select(*key, "covered").join(windows, key, "full")
+    return what.select("doc", none if several is None else F.col("mark"), "covered", "windows")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,16 +315,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _with_repeats(docs: DataFrame) -> DataFrame:
-    """(doc, text, covered, windows) of every document."""
-    covered, windows = repeats(docs)
-    what = covered.join(windows, "doc", "full")
-    return _keyed(docs).join(what, "doc", "left").select("doc", "text", "covered", "windows")
-
-
 def removal_digest(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
-    rows = _with_repeats(docs).select(F.nullif(F.col("doc"), F.lit(_LAST)).alias("doc_id"), "text", "covered", "windows")
+    rows, several = _placed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), "doc", "mark")
+    key = ["doc"] if several is None else ["doc", "mark"]
+    what = repeats(rows, several)
+    rows = rows.join(what.drop("mark") if several is None else what, key, "left").select("doc_id", "text", "covered", "windows")
     return rows.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -291,10 +346,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A document of which nothing is left goes; one that came without words stays.
     """
-    covered, windows = repeats(docs.select("doc_id", "text"))
-    doc, a, b = (fresh(n, docs.columns) for n in ("doc", "covered", "windows"))
-    what = covered.join(windows, "doc", "full").select(F.col("doc").alias(doc), F.col("covered").alias(a), F.col("windows").alias(b))
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
-    rows = docs.join(what, key == F.col(doc), "left").select(*docs.columns, a, b)
+    doc, mark, a, b, of_doc, of_mark = (fresh(n, docs.columns) for n in ("doc", "mark", "covered", "windows", "of_doc", "of_mark"))
+    rows, several = _placed(docs, doc, mark)
+    of = rows.select(F.col(doc).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.col(mark).alias("mark"))
+    what = repeats(of, several).toDF(of_doc, of_mark, a, b)
+    same = F.col(doc) == F.col(of_doc)
+    if several is not None:
+        same &= F.col(mark) == F.col(of_mark)
+    rows = rows.join(what, same, "left").select(*docs.columns, a, b)
     at = docs.columns.index("text")
     return rows.mapInArrow(lambda batches: _stripped(batches, at), docs.schema)

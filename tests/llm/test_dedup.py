@@ -365,6 +365,44 @@ def test_removal_with_periodic_and_overlapping_passages(spark):
     assert sorted(got) == sorted(plain_removal(rows))
 
 
+def test_removal_among_rows_without_id_and_of_repeated_ids(spark):
+    """Rows that share no id or one id differ in text; all hold passages of other rows, some in contexts of their own."""
+    rng = np.random.default_rng(17)
+    shared = [[f"s{k}x{i}" for i in range(70)] for k in range(4)]
+    rows = [(3, " ".join(shared[0])), (1 << 62, " ".join(shared[3])), ((1 << 63) - 2, " ".join(shared[1] + shared[0][:55]))]
+    for i in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 9000, 30)]
+        for k in rng.permutation(4)[:2]:
+            words += shared[k][int(rng.integers(0, 15)) :] + [f"w{rng.integers(0, 9000)}"]
+        rows.append(((None, 7, 7, i)[i % 4], " ".join(words)))
+    rows += [(None, None), (7, ""), (7, None), rows[5], rows[5], rows[4]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(plain_removal(rows), key=key)
+    assert sorted((tuple(r) for r in substrings.removal_digest(docs).collect()), key=key) == want
+    assert sum(r[2] > 0 for r in want if r[0] is None) > 20 and sum(r[2] > 0 for r in want if r[0] == 7) > 20
+    stripped = substrings.without_repeats(docs.withColumn("doc", F.lit(1)).withColumn("of_doc", F.lit(2)).withColumn("Mark", F.lit(3)))
+    assert stripped.columns == ["doc_id", "text", "doc", "of_doc", "Mark"]
+    got = sorted(((r.doc_id, hashlib.sha256(" ".join(WORDS.findall(r.text or "")).encode()).hexdigest()) for r in stripped.collect()), key=key)
+    assert got == sorted(((i, h) for i, n, gone, h in want if gone == 0 or gone < n), key=key)
+
+
+def test_the_largest_id_stays(spark):
+    rows = spark.createDataFrame([((1 << 63) - 1, "a"), (None, "b")], "doc_id long, text string")
+    assert {r.doc_id for r in substrings.removal_digest(rows).collect()} == {(1 << 63) - 1, None}
+
+
+def test_many_rows_without_id_get_their_own_hashes_only(spark):
+    """10,000 rows without id hold one passage of a row with one; each is told of its own anchors and windows."""
+    passage = " ".join(f"p{i}" for i in range(100))
+    tail = F.expr("concat_ws(' ', transform(sequence(1, 60), x -> concat('t', id, 'y', x)))")
+    rows = spark.range(10000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit(f"{passage} "), tail).alias("text"))
+    docs = rows.unionByName(spark.createDataFrame([(5, f"{passage} end")], "doc_id long, text string"))
+    told = substrings.repeats(*substrings._placed(docs, "doc", "mark"))
+    anchors, windows, n = told.select(F.max(F.size("covered")), F.max(F.size("windows")), F.count("*")).first()
+    assert 1 <= anchors <= 40 and 1 <= windows <= 112 and n == 10000
+    assert {tuple(r) for r in substrings.removal_digest(docs).groupBy("n_removed").count().collect()} == {(0, 1), (100, 10000)}
+
+
 def test_cover_is_a_difference_cover():
     p = substrings.PERIOD
     assert {(a - b) % p for a in substrings.COVER for b in substrings.COVER} == set(range(p))

@@ -294,6 +294,38 @@ def test_language_of_nothing(spark, empty, docs):
     assert {r.lang_pred for r in langid.identify(docs, F.lit(False)).collect()} == {"und"}
 
 
+def test_fluent_keeps_what_a_plain_count_keeps(spark, docs):
+    """A document stays if the winning language has at least 15 of 100 of its n-grams, false positives taken off."""
+    letters = docs.select("doc_id", "text", "lang").filter("doc_id is not null").dropDuplicates(["doc_id"])
+    noise = [(100000 + i, " ".join(["qzx" * (1 + i % 3), "vkq", "xjz"] * i), None) for i in range(1, 8)]
+    rows = letters.unionByName(spark.createDataFrame(noise, letters.schema))
+    model = langid.learn(rows)
+    kept = {r.doc_id for r in langid.fluent(rows).collect()}
+    texts = {r.doc_id: r.text or "" for r in rows.collect()}
+    cells = [model.cells, *model.more]
+    for doc_id, text in texts.items():
+        hits = list(map(gram_hash, grams_by_hand(text)))
+        if not any(c.isalpha() for c in text):
+            assert doc_id not in kept
+            continue
+        at = langid._cells(np.array(hits, np.uint64), len(model.cells))
+        share = []
+        for k in range(len(model.languages)):
+            bits = [np.all([(cells[k // 64][x[g]] >> np.uint64(k % 64)) & np.uint64(1) for x in at]) for g in range(len(hits))]
+            share.append((sum(bits) / len(hits) - model.wrong[k]) / (1 - model.wrong[k]))
+        if abs(max(share) - 0.15) > 1e-9:
+            assert (doc_id in kept) == (max(share) >= 0.15)
+    assert not {100000 + i for i in range(1, 8)} & kept and len(kept) > 20
+
+
+def test_fluent_without_languages_keeps_all(spark, docs):
+    from pyspark.sql import functions as F
+
+    for lang in (None, "und"):
+        rows = docs.withColumn("lang", F.lit(lang).cast("string"))
+        assert langid.fluent(rows).count() == docs.count()
+
+
 def test_more_languages_than_a_mask_word_has_bits(spark):
     rng = np.random.default_rng(4)
     letters = [[chr(0x4E00 + 10 * k + i) for i in range(10)] for k in range(70)]
