@@ -42,6 +42,8 @@ WORDS, SEED, MOST = 3, 42, 3
 #: Gray orders, one for each quarter that leads; values of a block; fan-out of the index's nodes; node pairs of a front.
 ORDERS, BLOCK_ROWS, FAN_BITS, FRONT = 4, 16384, 3, 1 << 15
 FAN = 1 << FAN_BITS
+#: Sets of a hot key, about, with which its others are compared first.
+LEADS = 8
 #: The leading quarter's bits.
 LEADING = np.uint64(0xFFFF << 48)
 
@@ -440,25 +442,54 @@ def _similar(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.Reco
         yield from found(held)
 
 
-def units(nodes: DataFrame, block: int) -> DataFrame:
-    """(a, b, node, side): which sets are compared with which, so that any two that share a key meet.
-
-    A node is at home in its most frequent key; homes are cut into blocks of about ``block`` nodes. Unit (a, a) has a
-    block's own nodes, unit (a, b) those of two blocks with a key in common that have it.
-    """
+def homes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, n, node) of keys that several sets share, and (node, home, m): its most frequent key, at home to m sets."""
     rows = nodes.select(F.explode("keys").alias("key"), "node")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(rows.join(shared, "key"), "near-members")
     home = members.groupBy("node").agg(F.max_by("key", F.struct("n", "key")).alias("home"))
-    sizes = home.groupBy("home").agg(F.count("*").alias("m"))
-    home = home.join(sizes, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / block))))
-    members = stored(members.join(home.select("node", "block"), "node").select("key", "node", "block"), "near-blocks")
-    met = members.select("key", "block").distinct()
+    return members, stored(home.join(home.groupBy("home").agg(F.count("*").alias("m")), "home").select("node", "home", "m"), "near-homes")
+
+
+def first_units(home: DataFrame, block: int) -> DataFrame:
+    """(a, b, node, side): the sets at home in a key that has more than a block of them, each with about LEADS of these.
+
+    Leads go to each part of their home, so the rows are m and LEADS * m / block.
+    """
+    hot = home.filter(F.col("m") > block).withColumn("parts", F.ceil(F.col("m") / block))
+    lead = F.pmod(F.xxhash64("node", F.lit("lead")), F.ceil(F.col("m") / LEADS)) == 0
+    others = hot.filter(~lead).select(F.col("home").alias("a"), F.pmod(F.xxhash64("node"), "parts").alias("b"), "node", F.lit(0).alias("side"))
+    part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    return others.unionByName(hot.filter(lead).select(F.col("home").alias("a"), part.alias("b"), "node", F.lit(1).alias("side")))
+
+
+def units(members: DataFrame, home: DataFrame, roots: DataFrame | None, block: int) -> DataFrame:
+    """(a, b, node, side): which sets are compared with which, so that any two that share a key meet or have one root.
+
+    Homes are cut into blocks of about ``block`` sets. Unit (a, a) has a block's own sets, unit (a, b) those of two blocks
+    with a key in common that have it. ``roots`` (a, b): components known so far. Where a block or more of a home have one
+    root, they lie in blocks of their own, which don't meet themselves or others of that root.
+    """
+    if roots is None:
+        home = home.withColumn("label", F.lit(None).cast("bigint"))
+    else:
+        known = roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        known = known.unionByName(known.select(F.col("root").alias("node"), "root").distinct())
+        home = home.join(known, "node", "left")
+        large = home.filter("root is not null").groupBy("home", "root").agg(F.count("*").alias("g")).filter(F.col("g") >= block)
+        home = home.join(large, ["home", "root"], "left").withColumn("label", F.when(F.col("g").isNotNull(), F.col("root")))
+    home = stored(home.select("node", "home", "label"), "near-labels")
+    sizes = home.groupBy(F.col("home").alias("of"), F.col("label").alias("as")).agg(F.count("*").alias("m"))
+    home = home.join(sizes, (F.col("home") == F.col("of")) & F.col("label").eqNullSafe(F.col("as")))
+    home = home.select("node", "label", F.xxhash64("home", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / block))).alias("block"))
+    members = stored(members.join(home, "node").select("key", "node", "block", "label"), "near-blocks")
+    met = members.select("key", "block", "label").distinct()
     several = met.groupBy("key").agg(F.count("*").alias("blocks")).filter("blocks > 1").select("key")
-    met = met.join(several, "key").select(F.col("key"), F.col("block").alias("other"))
-    across = members.join(met, "key").filter("block <> other")
+    met = met.join(several, "key").select("key", F.col("block").alias("other"), F.col("label").alias("as"))
+    across = members.join(met, "key").filter((F.col("block") != F.col("other")) & F.coalesce(F.col("label") != F.col("as"), F.lit(True)))
     across = across.select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "node", (F.col("block") > F.col("other")).cast("int").alias("side")).distinct()
-    return members.select(F.col("block").alias("a"), F.col("block").alias("b"), "node", F.lit(0).alias("side")).distinct().unionByName(across)
+    own = members.filter("label is null").select(F.col("block").alias("a"), F.col("block").alias("b"), "node", F.lit(0).alias("side"))
+    return own.distinct().unionByName(across)
 
 
 def similar_links(texts: DataFrame, nodes: DataFrame, tenths: int, block: int = 512, words: int = 5, chunk: int = 1024) -> DataFrame:
@@ -466,10 +497,12 @@ def similar_links(texts: DataFrame, nodes: DataFrame, tenths: int, block: int =
 
     ``texts``: (row, text); ``nodes``: (node, row, keys, size), row being that of one of its texts. Only texts of nodes
     that share a key are read for their sets, and a set goes to each of its units once, however many keys it shares
-    there; long sets in rows of ``chunk`` shingles.
+    there; long sets in rows of ``chunk`` shingles. Where more than a block of sets are at home in a key, they are compared
+    with a few of them first; those that these connect needn't meet again, so the rows of a group of copies grow with the
+    group. Sets that share a key and stay unlike the few meet all others of the key in blocks.
     """
-    where = stored(units(nodes, block), "near-units")
-    asked = nodes.join(where.select("node").distinct(), "node", "left_semi").select("row")
+    members, home = homes(nodes)
+    asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select("row")
     sets = texts.join(asked, "row", "left_semi").dropDuplicates(["row"]).select("row", "text")
     sets = stored(sets.mapInArrow(lambda b: _sets(b, words), "node long, shingles array<long>"), "near-sets")
     sets = sets.join(nodes.select("node", "keys"), "node")
@@ -477,8 +510,15 @@ def similar_links(texts: DataFrame, nodes: DataFrame, tenths: int, block: int =
     sets = sets.select("node", "keys", "shingles", start.alias("s"))
     sets = sets.select("node", F.when(F.col("s") == 1, F.col("keys")).alias("keys"), F.slice("shingles", F.col("s"), F.lit(chunk)).alias("shingles"))
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = where.join(sets, "node").select("a", "b", "node", "side", "keys", "shingles").repartition(n, "a", "b").sortWithinPartitions("a", "b", "node")
-    return rows.mapInArrow(lambda b: _similar(b, tenths), "a long, b long")
+
+    def compared(where: DataFrame) -> DataFrame:
+        rows = where.join(sets, "node").select("a", "b", "node", "side", "keys", "shingles").repartition(n, "a", "b").sortWithinPartitions("a", "b", "node")
+        return rows.mapInArrow(lambda b: _similar(b, tenths), "a long, b long")
+
+    if home.filter(F.col("m") > block).isEmpty():
+        return compared(stored(units(members, home, None, block), "near-units"))
+    first = stored(compared(stored(first_units(home, block), "near-first")), "near-led")
+    return first.unionByName(compared(stored(units(members, home, components(first), block), "near-units")))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, tenths: int = 8, rows: int = 5, bands: int = 20) -> DataFrame:

@@ -216,6 +216,27 @@ def test_similar_links_compare_all_pairs_of_a_bucket(spark, block):
     assert got == {frozenset(nodes[i : i + 2]) for i in range(1, 21, 2)}
 
 
+def test_sets_of_a_hot_key_meet_leads_and_what_these_leave(spark):
+    """10,000 sets share a key; leads connect all but 20: these meet everything, the others don't meet one another."""
+    nodes = spark.range(1, 10001).selectExpr("id * 7919 as node", "id as row", "array(7L, 1000000 + id) as keys", "30L as size")
+    members, home = simhash.homes(nodes)
+    first = simhash.first_units(home, 512).groupBy("side").count().collect()
+    counts = {r.side: r["count"] for r in first}
+    assert counts[1] <= 30 * 20 and 10000 - 30 <= counts[0] <= 10000
+    roots = spark.range(2, 9981).selectExpr("id * 7919 as a", "7919L as b")
+    rows = simhash.units(members, home, roots, 512).collect()
+    assert len(rows) <= 10000 + 20 * 41 and len({r.node for r in rows}) == 10000
+    at = {}
+    for r in rows:
+        at.setdefault((r.a, r.b), []).append(r)
+    opened = {7919 * i for i in range(9981, 10001)}
+    met = set()
+    for (a, b), group in at.items():
+        for x in group:
+            met |= {frozenset((x.node, y.node)) for y in group if (a == b or x.side != y.side) and x.node in opened}
+    assert len(met - {frozenset((x,)) for x in opened}) == 20 * 9980 + 190
+
+
 def test_shared_counts():
     rng = np.random.default_rng(10)
     sets = [np.unique(rng.integers(0, 9000, k)) for k in (5000, 4000, 1, 0, 7000)]
@@ -226,7 +247,7 @@ def test_shared_counts():
                 assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
 
 
-@pytest.mark.parametrize(("block", "chunk"), [(512, 1024), (20, 7)])
+@pytest.mark.parametrize(("block", "chunk"), [(512, 1024), (20, 7), (100, 50)])
 def test_one_large_group_of_near_copies(spark, monkeypatch, block, chunk):
     """300 texts that each differ from one text in up to a dozen words: no two need be alike enough, chains are."""
     rng = np.random.default_rng(13)
