@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tallyweave.functions import similarity
+from tallyweave.functions import narration, similarity
 from tallyweave.operators import adhoc, quality, resolve, spend, vocabulary
 from tallyweave.plans import build
 from tallyweave.plans.storage import stored
@@ -72,6 +72,14 @@ def test_resolution(spark):
     assert {r.mention_id: (r.status, r.entity) for r in resolve.resolved(again, vocab).collect()} == {0: ("MATCH", "SWIGGY"), 1: ("MATCH", "SWIGGY"), 2: ("NOT_FOUND", None), 3: ("NOT_FOUND", None)}
 
 
+def test_names_are_normalised_once_per_string(spark, tables):
+    """No join's filter brings the normalisation down to the transactions."""
+    rows = narration.extracted(tables["transaction"], tables["bank"])
+    out = vocabulary.aliases(vocabulary.vocabulary(rows), cluster=False)
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.merchant_raw for r in out.collect()} == {r.merchant_raw for r in rows.collect() if r.merchant_raw is not None}
+
+
 def test_build_reconciles(spark, tables, built):
     found = {r["check"]: r.found for r in quality.report(tables["transaction"], built["fact"], built["rollup"], built["dim"], tables["bank"]).collect()}
     assert all(v == 0 for v in found.values()), found
