@@ -84,6 +84,19 @@ def test_ties_are_counted_and_few_are_shown(spark, dim):
             assert by[i][0].n == len(hold)
 
 
+def test_all_names_of_the_best_tier(spark, dim):
+    rows, vocab = dim
+    mentions = spark.createDataFrame([(i, e, n) for i, (e, n) in enumerate(asked_names(rows))], "mention_id int, entity_id string, name string")
+    by = {}
+    for r in resolve.tiers(mentions, vocab).collect():
+        by.setdefault(r.mention_id, []).append(r)
+    almond = next(i for i, (e, n) in enumerate(asked_names(rows)) if (e, n) == ("1", "almond"))
+    assert [r.merchant_norm for r in sorted(by[almond], key=lambda r: r["rank"])] == [m for c, m in sorted((-c, m) for e, m, _, c, _ in rows if e == "1" and m.startswith("ALMOND "))]
+    first = {(r.mention_id, r["rank"]): r for r in resolve.tiered(mentions, vocab).collect()}
+    assert {(i, r["rank"]): r for i, v in by.items() for r in v if r["rank"] <= 5} == first
+    assert all(sorted(r["rank"] for r in v) == list(range(1, v[0].n + 1)) for v in by.values())
+
+
 def test_mentions_equal_a_plain_search(spark, dim):
     rows, vocab = dim
     rng = random.Random(6)
