@@ -7,7 +7,7 @@ import random
 import pytest
 
 from tallyweave.functions import similarity
-from tallyweave.operators import resolve
+from tallyweave.operators import resolve, vocabulary
 
 
 def made_names(n: int, seed: int) -> list[str]:
@@ -38,6 +38,31 @@ def test_bound_leaves_most_names_out():
     assert block.scored < 0.4 * 20 * len(names)
 
 
+def test_alike_equals_all_pairs():
+    names = made_names(300, 7)
+    known = similarity.Alike(names)
+    for least in (70, 92):
+        for q in [*names[::5], "SWIGY", "TATA FOO", "Y" * 90]:
+            at, score = known.of(q, least)
+            assert dict(zip(at.tolist(), score.tolist(), strict=True)) == {i: s for i, n in enumerate(names) if (s := similarity.token_set_ratio(q, n)) >= least}
+
+
+def test_similar_pairs_are_all_found_and_few_are_met(spark):
+    """Names with random words of few letters: at 92 and at 70 all pairs, and by the keys few that aren't alike."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("ABCDEFGH") for _ in range(rng.randint(3, 14))) + rng.choice(["", " ROY", " BIG STORE"]) for _ in range(60)]
+    cut = lambda n: " ".join((n[:i] + rng.choice(["", "A", " "]) + n[i + rng.randint(0, 1) :]).split()) if (i := rng.randrange(len(n))) else n
+    names = sorted({*base, *(cut(cut(b)) for b in base for _ in range(3)), "FOO FOO", "X" * 80, "X" * 78} - {""})
+    ranked = spark.createDataFrame([(n, n) for n in names], "name string, rank string")
+    for least in (92, 70):
+        got = {(r.high, r.low): r.score for r in vocabulary.similar_pairs(ranked, least).collect()}
+        assert got == {(a, b): s for i, a in enumerate(names) for b in names[i + 1 :] if (s := similarity.token_set_ratio(a, b)) >= least}
+    many = spark.createDataFrame([(f"BIG RING {w}",) for w in {"".join(rng.choice("ABCDEFGHIJKLMNOP") for _ in range(12)) for _ in range(3000)}], "name string")
+    keys = vocabulary._letter_keys(many.selectExpr("name", "name AS rank", "true AS fresh", "split(name, ' ') AS words"), 0.92).groupBy("g", "key").count()
+    met = keys.selectExpr("sum(count * (count - 1) / 2)").first()[0]
+    assert met < 0.02 * 3000 * 3000 / 2
+
+
 VOCAB = "entity_id string, merchant_norm string, counterparty_kind string, txn_count long, total_credit double"
 
 
