@@ -356,13 +356,15 @@ def band_keys(shingles: np.ndarray, rows: int, bands: int) -> np.ndarray:
 
 
 def _banded(batches: Iterator[pa.RecordBatch], words: int, rows: int, bands: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, mark, row, node, size, keys): the hash, size and band keys of the set of a text's shingles."""
+    """(doc_id, mark, row, node, size, keys, fp): the hash, size and band keys of the set of a text's shingles, and its fingerprint."""
     for batch in pieces(batches):
-        sets = [np.unique(shingle_hashes(t, words)) for t in byte_texts(batch.column(1))]
+        texts = list(byte_texts(batch.column(1)))
+        fp = pa.array(np.array([fingerprint(shingle_hashes(t)) for t in texts], np.uint64).view(np.int64))
+        sets = [np.unique(shingle_hashes(t, words)) for t in texts]
         node = pa.array(np.array([_hash(x.tobytes()) for x in sets], np.uint64).view(np.int64))
         keys = pa.array([band_keys(x, rows, bands).view(np.int64) for x in sets], pa.list_(pa.int64()))
-        arrays = [batch.column(0), batch.column(2), batch.column(3), node, pa.array([len(x) for x in sets], pa.int64()), keys]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "row", "node", "size", "keys"])
+        arrays = [batch.column(0), batch.column(2), batch.column(3), node, pa.array([len(x) for x in sets], pa.int64()), keys, fp]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "row", "node", "size", "keys", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -393,8 +395,8 @@ def shared_counts(of: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarray:
 def _similar(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.RecordBatch]:
     """Links (node, smallest node of its group there) of units, from (a, b, node, side, keys, shingles) sorted by unit.
 
-    A unit's sets are compared if they share a key and, where it has two sides, lie on different ones. Rows of one node
-    follow one another, its shingles dealt over them.
+    A unit's sets are compared if they share a key, or their sides are from 2 on, and, where it has two sides, lie on
+    different ones. Rows of one node follow one another, its shingles dealt over them.
     """
     held: list[tuple] = []
 
@@ -411,11 +413,14 @@ def _similar(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.Reco
             side[place[node]] = s
             for k in () if keys is None else keys:
                 members.setdefault(k, set()).add(place[node])
-        for group in members.values():
-            if len(group) > 1:
-                near[np.ix_(list(group), list(group))] = True
+        if (side > 1).any():
+            near[:] = True
+        else:
+            for group in members.values():
+                if len(group) > 1:
+                    near[np.ix_(list(group), list(group))] = True
         near &= 10 * np.minimum(size[:, None], size) >= tenths * np.maximum(size[:, None], size)
-        if side.any():
+        if (side & 1).any():
             near &= side[:, None] != side
         near &= np.triu(np.ones((n, n), bool), 1)
         if not near.any():
@@ -467,8 +472,9 @@ def units(members: DataFrame, home: DataFrame, roots: DataFrame | None, block: i
     """(a, b, node, side): which sets are compared with which, so that any two that share a key meet or have one root.
 
     Homes are cut into blocks of about ``block`` sets. Unit (a, a) has a block's own sets, unit (a, b) those of two blocks
-    with a key in common that have it. ``roots`` (a, b): components known so far. Where a block or more of a home have one
-    root, they lie in blocks of their own, which don't meet themselves or others of that root.
+    with a key in common that have it. ``roots`` (a, b): components known so far. Where a block or more of all sets have one
+    root, they lie in blocks of their own, whatever their homes, which don't meet themselves or others of that root.
+    Sets of keys that more than a block of them share are sent by pairs of blocks: once to each, however many keys they share.
     """
     if roots is None:
         home = home.withColumn("label", F.lit(None).cast("bigint"))
@@ -476,33 +482,61 @@ def units(members: DataFrame, home: DataFrame, roots: DataFrame | None, block: i
         known = roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
         known = known.unionByName(known.select(F.col("root").alias("node"), "root").distinct())
         home = home.join(known, "node", "left")
-        large = home.filter("root is not null").groupBy("home", "root").agg(F.count("*").alias("g")).filter(F.col("g") >= block)
-        home = home.join(large, ["home", "root"], "left").withColumn("label", F.when(F.col("g").isNotNull(), F.col("root")))
+        home = stored(home.select("node", "home", "root"), "near-rooted")  # both sides shuffled, so that a large root is split
+        large = stored(home.filter("root is not null").groupBy("root").agg(F.count("*").alias("g")).filter(F.col("g") >= block), "near-large")
+        home = home.join(large, "root", "left").withColumn("label", F.when(F.col("g").isNotNull(), F.col("root")))
+        home = home.withColumn("home", F.coalesce("label", "home"))
     home = stored(home.select("node", "home", "label"), "near-labels")
     sizes = home.groupBy(F.col("home").alias("of"), F.col("label").alias("as")).agg(F.count("*").alias("m"))
     home = home.join(sizes, (F.col("home") == F.col("of")) & F.col("label").eqNullSafe(F.col("as")))
     home = home.select("node", "label", F.xxhash64("home", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / block))).alias("block"))
-    members = stored(members.join(home, "node").select("key", "node", "block", "label"), "near-blocks")
-    met = members.select("key", "block", "label").distinct()
+    members = stored(members.join(home, "node").select("key", "n", "node", "block", "label"), "near-blocks")
+    met = members.select("key", "n", "block", "label").distinct()
     several = met.groupBy("key").agg(F.count("*").alias("blocks")).filter("blocks > 1").select("key")
-    met = met.join(several, "key").select("key", F.col("block").alias("other"), F.col("label").alias("as"))
-    across = members.join(met, "key").filter((F.col("block") != F.col("other")) & F.coalesce(F.col("label") != F.col("as"), F.lit(True)))
+    met = stored(met.join(several, "key"), "near-met")
+    other = met.select("key", F.col("block").alias("other"), F.col("label").alias("as"))
+    apart, hot = (F.col("block") != F.col("other")) & F.coalesce(F.col("label") != F.col("as"), F.lit(True)), F.col("n") > block
+    across = members.filter(~hot).join(other, "key").filter(apart).select("block", "other", "node")
+    pairs = met.filter(hot).join(other, "key").filter(apart).select("block", "other").distinct()
+    across = across.unionByName(members.filter(hot).select("block", "node").distinct().join(pairs, "block").select("block", "other", "node"))
     across = across.select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "node", (F.col("block") > F.col("other")).cast("int").alias("side")).distinct()
     own = members.filter("label is null").select(F.col("block").alias("a"), F.col("block").alias("b"), "node", F.lit(0).alias("side"))
     return own.distinct().unionByName(across)
 
 
-def similar_links(texts: DataFrame, nodes: DataFrame, tenths: int, block: int = 512, words: int = 5, chunk: int = 1024) -> DataFrame:
+def print_homes(prints: DataFrame, most: int = MOST) -> DataFrame:
+    """(node, home, m): each set whose fingerprint ``fp`` the index links with others', its component of these, and how many sets that has."""
+    prints = stored(prints.select("node", "fp").distinct(), "near-fingerprints")
+    roots = components(links(prints.select("fp").distinct(), most)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    rows = stored(prints.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")), "near-rooted")
+    rows = stored(rows.groupBy("node").agg(F.min("root").alias("home")), "near-rooted")  # a set can have several fingerprints
+    sizes = stored(rows.groupBy("home").agg(F.count("*").alias("m")).filter("m > 1"), "near-sizes")
+    return stored(rows.join(sizes, "home").select("node", "home", "m"), "near-print-homes")
+
+
+def print_units(home: DataFrame, block: int) -> DataFrame:
+    """(a, b, node, side): the sets of each component of fingerprints, all with each other up to a block, else with leads; sides from 2 on."""
+    small = home.filter(F.col("m") <= block).select(F.col("home").alias("a"), F.lit(-1).cast("bigint").alias("b"), "node", F.lit(2).alias("side"))
+    return small.unionByName(first_units(home, block).withColumn("side", F.col("side") + 2))
+
+
+def similar_links(texts: DataFrame, nodes: DataFrame, tenths: int, block: int = 512, words: int = 5, chunk: int = 1024, prints: DataFrame | None = None) -> DataFrame:
     """(a, b): links whose components are those of all pairs that share a band key and are similar enough.
 
     ``texts``: (row, text); ``nodes``: (node, row, keys, size), row being that of one of its texts. Only texts of nodes
     that share a key are read for their sets, and a set goes to each of its units once, however many keys it shares
     there; long sets in rows of ``chunk`` shingles. Where more than a block of sets are at home in a key, they are compared
     with a few of them first; those that these connect needn't meet again, so the rows of a group of copies grow with the
-    group. Sets that share a key and stay unlike the few meet all others of the key in blocks.
+    group. Sets that share a key and stay unlike the few meet all others of the key in blocks. ``prints`` (node, fp): what the index
+    of fingerprints puts together is compared before that, whether it shares a key or not, and connected sets of large
+    groups needn't meet again, either.
     """
     members, home = homes(nodes)
-    asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select("row")
+    asked, near = members.select("node"), None
+    if prints is not None:
+        near = print_homes(prints)
+        asked = asked.unionByName(near.select("node"))
+    asked = nodes.join(asked.distinct(), "node", "left_semi").select("row")
     sets = texts.join(asked, "row", "left_semi").dropDuplicates(["row"]).select("row", "text")
     sets = stored(sets.mapInArrow(lambda b: _sets(b, words), "node long, shingles array<long>"), "near-sets")
     sets = sets.join(nodes.select("node", "keys"), "node")
@@ -515,27 +549,33 @@ def similar_links(texts: DataFrame, nodes: DataFrame, tenths: int, block: int =
         rows = where.join(sets, "node").select("a", "b", "node", "side", "keys", "shingles").repartition(n, "a", "b").sortWithinPartitions("a", "b", "node")
         return rows.mapInArrow(lambda b: _similar(b, tenths), "a long, b long")
 
-    if home.filter(F.col("m") > block).isEmpty():
+    where = None if near is None else print_units(near, block)
+    if not home.filter(F.col("m") > block).isEmpty():
+        led = first_units(home, block)
+        where = led if where is None else where.unionByName(led)
+    if where is None:
         return compared(stored(units(members, home, None, block), "near-units"))
-    first = stored(compared(stored(first_units(home, block), "near-first")), "near-led")
+    first = stored(compared(stored(where, "near-first")), "near-led")
     return first.unionByName(compared(stored(units(members, home, components(first), block), "near-units")))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, tenths: int = 8, rows: int = 5, bands: int = 20) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest doc_id stays, once.
 
-    Documents link if the Jaccard similarity of their sets of ``words``-word shingles is at least ``tenths`` tenths,
-    which is counted, and if they share one of ``bands`` keys of ``rows`` min-hashes, which is how pairs are found: at
-    0.8 all but one in 2,800 are, above it fewer are missed. Texts without words are alike. Of rows with the smallest
+    Documents link if the Jaccard similarity of their sets of ``words``-word shingles is at least ``tenths`` tenths, which is
+    counted. Pairs are found through SimHash fingerprints that the Gray-order index links, first; as these are near at a
+    far higher similarity only, also by ``bands`` keys of ``rows`` min-hashes, of which two at 0.8 share one but for one
+    pair in 2,800, and fewer are missed above it. Texts without words are alike. Of rows with the smallest
     doc_id and different texts the one whose text has the smallest hash stays.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     texts = texts.withColumn("row", F.xxhash64("doc_id", "mark"))
-    schema = "doc_id long, mark long, row long, node long, size long, keys array<long>"
+    schema = "doc_id long, mark long, row long, node long, size long, keys array<long>, fp long"
     prints = stored(texts.mapInArrow(lambda b: _banded(b, words, rows, bands), schema), "near-prints")
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.min("keys").alias("keys"), F.min("size").alias("size"))
     nodes = stored(nodes, "near-nodes")
-    groups = grouped(similar_links(texts.select("row", "text"), nodes, tenths, words=words), nodes.select("node", "first"))
+    found = similar_links(texts.select("row", "text"), nodes, tenths, words=words, prints=prints.select("node", "fp"))
+    groups = grouped(found, nodes.select("node", "first"))
     key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")
     keep = prints.select("doc_id", "mark", "node").join(groups, "node").groupBy("root").agg(F.min(key).alias("k"))
     kept_id, kept_mark = (fresh(n, docs.columns) for n in ("kept_id", "kept_mark"))

@@ -237,6 +237,20 @@ def test_sets_of_a_hot_key_meet_leads_and_what_these_leave(spark):
     assert len(met - {frozenset((x,)) for x in opened}) == 20 * 9980 + 190
 
 
+def test_fingerprints_put_copies_together_that_share_no_key(spark):
+    """Two texts of 400 words, of which one differs, and one of other words: the index finds the two where no key does, which is then counted."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"v{i}" for i in range(400))]
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    node = [int(np.uint64(simhash._hash(x.tobytes())).view(np.int64)) for x in sets]
+    fp = [int(np.uint64(simhash.fingerprint(simhash.shingle_hashes(t.encode()))).view(np.int64)) for t in texts]
+    nodes = spark.createDataFrame([(n, i, [i], len(s)) for i, (n, s) in enumerate(zip(node, sets, strict=True))], "node long, row long, keys array<long>, size long")
+    rows, prints = spark.createDataFrame(list(enumerate(texts)), "row long, text string"), spark.createDataFrame(list(zip(node, fp, strict=True)), "node long, fp long")
+    assert (fp[0] ^ fp[1]).bit_count() <= 3
+    got = {frozenset((r.a, r.b)) for r in simhash.similar_links(rows, nodes, 8, prints=prints).collect()}
+    assert got == {frozenset(node[:2])}
+
+
 def test_shared_counts():
     rng = np.random.default_rng(10)
     sets = [np.unique(rng.integers(0, 9000, k)) for k in (5000, 4000, 1, 0, 7000)]
