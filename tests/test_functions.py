@@ -139,3 +139,19 @@ def test_bands_and_grounding(spark):
     facts = spark.createDataFrame([(1, 1234.5), (2, 1234.5), (4, -1234.5)], "answer_id int, value double")
     got = {r.answer_id: (r.grounded, r.offending) for r in trust.grounded(answers, facts).collect()}
     assert got == {1: (True, []), 2: (False, ["9,999.99"]), 3: (True, []), 4: (True, [])}
+
+
+def test_legal_forms_and_marks_as_the_plain_patterns_find_them(spark):
+    """Names and narrations at the edges of the cheap tests, against the patterns alone; names are told by their last letters first."""
+    texts = ["A LTD", "A LTD.", "A PVT. LTD. . ", "LTD", "A,LTD,", "X&CO", "MICO", "A CO INDIA PVT LTD", "A LIMITED LTD LLP INC", "acorp", "", "A.", "my own account", "PRE/SELF/X", "- Self - x", "surcharges", "GST on fee", "gst once", "penalty.", "min bal"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    plain = F.trim(F.regexp_replace(F.trim(F.upper("t")), r"[^A-Z0-9 &.'-]", " "))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, r"\s+[A-Z]{0,4}\d[A-Z0-9]*$", ""), r"\s+", " "))
+    for _ in range(3):
+        plain = F.regexp_replace(plain, names._NAMED, "$1")
+    fee = F.lower("t").rlike(narration._any(narration.FEE_MARKS, True))
+    own = F.lower("t").rlike(narration._any(narration.SELF_MARKS, False))
+    got = rows.select("t", names.normalised(F.col("t")).alias("a"), plain.alias("b"), narration.is_fee(F.col("t")).alias("c"), fee.alias("d"), narration.is_self(F.col("t")).alias("e"), own.alias("f"))
+    for r in got.collect():
+        assert (r.a, r.c, r.e) == (r.b, r.d, r.f), r
+    assert "endswith" in str(names.normalised(F.col("t"))).lower()
