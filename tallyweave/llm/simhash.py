@@ -447,13 +447,18 @@ def _similar(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.Reco
         yield from found(held)
 
 
+def _home(members: DataFrame) -> DataFrame:
+    """(node, home, m): the most frequent key of each set of ``members`` (key, n, node), at home to m sets."""
+    home = members.groupBy("node").agg(F.max_by("key", F.struct("n", "key")).alias("home"))
+    return stored(home.join(home.groupBy("home").agg(F.count("*").alias("m")), "home").select("node", "home", "m"), "near-homes")
+
+
 def homes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, n, node) of keys that several sets share, and (node, home, m): its most frequent key, at home to m sets."""
     rows = nodes.select(F.explode("keys").alias("key"), "node")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(rows.join(shared, "key"), "near-members")
-    home = members.groupBy("node").agg(F.max_by("key", F.struct("n", "key")).alias("home"))
-    return members, stored(home.join(home.groupBy("home").agg(F.count("*").alias("m")), "home").select("node", "home", "m"), "near-homes")
+    return members, _home(members)
 
 
 def first_units(home: DataFrame, block: int) -> DataFrame:
@@ -505,21 +510,31 @@ def units(members: DataFrame, home: DataFrame, roots: DataFrame | None, block: i
 
 
 def print_homes(prints: DataFrame, most: int = MOST) -> DataFrame:
-    """(node, home, m): each set whose fingerprint ``fp`` the index links with others', its component of these, and how many sets that has."""
+    """(node, home, m): each set whose fingerprint ``fp`` the index links with others', its component of these, and how many sets that has.
+
+    A set can have several fingerprints, and then is in the component of each.
+    """
     prints = stored(prints.select("node", "fp").distinct(), "near-fingerprints")
     roots = components(links(prints.select("fp").distinct(), most)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    rows = stored(prints.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")), "near-rooted")
-    rows = stored(rows.groupBy("node").agg(F.min("root").alias("home")), "near-rooted")  # a set can have several fingerprints
+    rows = stored(prints.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("home")).distinct(), "near-rooted")
     sizes = stored(rows.groupBy("home").agg(F.count("*").alias("m")).filter("m > 1"), "near-sizes")
     return stored(rows.join(sizes, "home").select("node", "home", "m"), "near-print-homes")
 
 
 def print_units(home: DataFrame, block: int) -> DataFrame:
-    """(a, b, node, side): the sets of each component of fingerprints, all with each other up to a block, else with leads; sides from 2 on."""
+    """(a, b, node, side): the sets of each component of fingerprints, all with each other up to a block, else with leads; sides from 2 on.
+
+    What the leads leave of a larger component meets the rest of it through its key (``print_keys``).
+    """
     small = home.filter(F.col("m") <= block).select(F.col("home").alias("a"), F.lit(-1).cast("bigint").alias("b"), "node", F.lit(2).alias("side"))
     return small.unionByName(first_units(home, block).withColumn("side", F.col("side") + 2))
 
 
+def print_keys(home: DataFrame, block: int) -> DataFrame:
+    """(key, n, node): components of fingerprints that have more than a block of sets, as a key that these share."""
+    return home.filter(F.col("m") > block).select(F.xxhash64("home", F.lit("print")).alias("key"), F.col("m").alias("n"), "node")
+
+
 def similar_links(texts: DataFrame, nodes: DataFrame, tenths: int, block: int = 512, words: int = 5, chunk: int = 1024, prints: DataFrame | None = None) -> DataFrame:
     """(a, b): links whose components are those of all pairs that share a band key and are similar enough.
 
@@ -528,18 +543,24 @@ def similar_links(texts: DataFrame, nodes: DataFrame, tenths: int, block: int =
     there; long sets in rows of ``chunk`` shingles. Where more than a block of sets are at home in a key, they are compared
     with a few of them first; those that these connect needn't meet again, so the rows of a group of copies grow with the
     group. Sets that share a key and stay unlike the few meet all others of the key in blocks. ``prints`` (node, fp): what the index
-    of fingerprints puts together is compared before that, whether it shares a key or not, and connected sets of large
-    groups needn't meet again, either.
+    of fingerprints puts together is compared before that, whether it shares a band key or not: a component of up to a block
+    at once, a larger one with a few of its sets and then as a key that its sets share, so no two of it are left out.
     """
     members, home = homes(nodes)
-    asked, near = members.select("node"), None
+    asked, near, keyed = members.select("node"), None, nodes.select("node", "keys")
+    again, at_home = members, home
     if prints is not None:
         near = print_homes(prints)
         asked = asked.unionByName(near.select("node"))
+        if not (large := print_keys(near, block)).isEmpty():
+            again = members.unionByName(large)
+            at_home = _home(again)
+            own = large.groupBy("node").agg(F.collect_set("key").alias("own"))
+            keyed = keyed.join(own, "node", "left").select("node", F.concat("keys", F.coalesce("own", F.array().cast("array<bigint>"))).alias("keys"))
     asked = nodes.join(asked.distinct(), "node", "left_semi").select("row")
     sets = texts.join(asked, "row", "left_semi").dropDuplicates(["row"]).select("row", "text")
     sets = stored(sets.mapInArrow(lambda b: _sets(b, words), "node long, shingles array<long>"), "near-sets")
-    sets = sets.join(nodes.select("node", "keys"), "node")
+    sets = sets.join(keyed, "node")
     start = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("shingles")), F.lit(chunk)))
     sets = sets.select("node", "keys", "shingles", start.alias("s"))
     sets = sets.select("node", F.when(F.col("s") == 1, F.col("keys")).alias("keys"), F.slice("shingles", F.col("s"), F.lit(chunk)).alias("shingles"))
@@ -554,17 +575,17 @@ def similar_links(texts: DataFrame, nodes: DataFrame, tenths: int, block: int =
         led = first_units(home, block)
         where = led if where is None else where.unionByName(led)
     if where is None:
-        return compared(stored(units(members, home, None, block), "near-units"))
+        return compared(stored(units(again, at_home, None, block), "near-units"))
     first = stored(compared(stored(where, "near-first")), "near-led")
-    return first.unionByName(compared(stored(units(members, home, components(first), block), "near-units")))
+    return first.unionByName(compared(stored(units(again, at_home, components(first), block), "near-units")))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, tenths: int = 8, rows: int = 5, bands: int = 20) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest doc_id stays, once.
 
     Documents link if the Jaccard similarity of their sets of ``words``-word shingles is at least ``tenths`` tenths, which is
-    counted. Pairs are found through SimHash fingerprints that the Gray-order index links, first; as these are near at a
-    far higher similarity only, also by ``bands`` keys of ``rows`` min-hashes, of which two at 0.8 share one but for one
+    counted. Pairs are found through SimHash fingerprints that the Gray-order index links, first, all of each component; as
+    these are near at a far higher similarity only, also by ``bands`` keys of ``rows`` min-hashes, of which two at 0.8 share one but for one
     pair in 2,800, and fewer are missed above it. Texts without words are alike. Of rows with the smallest
     doc_id and different texts the one whose text has the smallest hash stays.
     """

@@ -251,6 +251,34 @@ def test_fingerprints_put_copies_together_that_share_no_key(spark):
     assert got == {frozenset(node[:2])}
 
 
+def _given(spark, texts, prints):
+    """(rows, nodes, prints, the sets' hashes) of texts whose sets share no band key, with the fingerprints given."""
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    node = [int(np.uint64(simhash._hash(x.tobytes())).view(np.int64)) for x in sets]
+    nodes = spark.createDataFrame([(n, i, [i], len(s)) for i, (n, s) in enumerate(zip(node, sets, strict=True))], "node long, row long, keys array<long>, size long")
+    rows, prints = spark.createDataFrame(list(enumerate(texts)), "row long, text string"), spark.createDataFrame([(node[i], p) for i, p in prints], "node long, fp long")
+    return rows, nodes, prints, node
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_all_sets_of_a_large_component_of_fingerprints_meet(spark, block):
+    """80 texts of one fingerprint and no key in common, alike in twos only: most are unlike the leads, and all pairs are found."""
+    pair = lambda i: [f"w{i}x{k}" for k in range(60)]
+    texts = [" ".join([*pair(i // 2)[: 60 - i % 2], f"end{i}"]) for i in range(80)]
+    rows, nodes, prints, node = _given(spark, texts, [(i, 5) for i in range(80)])
+    got = {frozenset((r.a, r.b)) for r in simhash.similar_links(rows, nodes, 8, block, prints=prints).collect()}
+    assert got == {frozenset(node[i : i + 2]) for i in range(0, 80, 2)}
+
+
+def test_a_set_of_several_fingerprints_meets_the_components_of_all(spark):
+    """One set has two fingerprints that are far apart; sets like it have one of them each."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words[:-1], "a"]), " ".join([*words[:-1], "b"])]
+    rows, nodes, prints, node = _given(spark, texts, [(0, 0), (0, (1 << 40) - 1), (1, 0), (2, (1 << 40) - 1)])
+    roots = simhash.components(simhash.similar_links(rows, nodes, 8, prints=prints)).collect()
+    assert {r.a for r in roots} | {r.b for r in roots} == set(node) and len({r.b for r in roots}) == 1
+
+
 def test_shared_counts():
     rng = np.random.default_rng(10)
     sets = [np.unique(rng.integers(0, 9000, k)) for k in (5000, 4000, 1, 0, 7000)]
