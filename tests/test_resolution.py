@@ -8,6 +8,8 @@ import pytest
 
 from tallyweave.functions import similarity
 from tallyweave.operators import resolve, vocabulary
+from tallyweave.operators.model import small
+from tallyweave.plans.storage import stored
 
 
 def made_names(n: int, seed: int) -> list[str]:
@@ -122,6 +124,21 @@ def test_all_names_of_the_best_tier(spark, dim):
     assert all(sorted(r["rank"] for r in v) == list(range(1, v[0].n + 1)) for v in by.values())
 
 
+def test_keys_of_names_are_never_broadcast(spark, dim, monkeypatch):
+    """Spark takes the exploded keys of a stored vocabulary for as few bytes as its names; only what is counted is broadcast."""
+    rows, vocab = dim
+    mentions = spark.createDataFrame([(i, e, n) for i, (e, n) in enumerate(asked_names(rows))], "mention_id int, entity_id string, name string")
+    mentions, vocab, real, plans = stored(mentions, "mentions"), stored(vocab, "vocabulary"), resolve.stored, []
+    monkeypatch.setattr(resolve, "stored", lambda df, tag: (plans.append((tag, df._jdf.queryExecution().executedPlan().toString())), real(df, tag))[1])
+    monkeypatch.setattr(resolve, "BROADCAST_ROWS", 40)
+    assert resolve.resolved(mentions, vocab).count() == len(asked_names(rows))
+    assert sum(tag == "rarest-keys" for tag, _ in plans) == 2 and sum(tag == "nearest" for tag, _ in plans) == 1
+    assert not [tag for tag, plan in plans if tag in ("rarest-keys", "asked", "settled") and "BroadcastHashJoin" in plan]
+    assert "BroadcastHashJoin" not in next(plan for tag, plan in plans if tag == "hits")
+    many = spark.range(1).selectExpr("explode(sequence(1L, 300000L)) as id")
+    assert "BroadcastHashJoin" not in spark.range(10).join(small(many), "id")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mentions_equal_a_plain_search(spark, dim):
     rows, vocab = dim
     rng = random.Random(6)
